@@ -5,23 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rlz, suffix
+from . import lines, packing, quality, rlz, simhash, suffix, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The URL rules of the registered query.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"), min_bytes=200, with_kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
+
+
+def mirror_hosts(pages: DataFrame) -> DataFrame:
+    """Mobile mirrors: hosts m.X for which X, www.X or blog.X stands in the corpus too."""
+    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).distinct()
+    site = F.regexp_replace("host", "^(m|www|blog)[.]", "")
+    mobile = hosts.where(F.startswith("host", F.lit("m."))).withColumn("site", site)
+    others = hosts.where(~F.startswith("host", F.lit("m."))).select(site.alias("site")).distinct()
+    return mobile.join(others, "site", "left_semi").select("host")
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, mirror_hosts(pages), URL_RULES)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, with_kept=False)
+
+
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz.remove_passages(_table(spark, sf_dir, "documents"), window_words=20, with_kept=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.piece_counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
