@@ -38,13 +38,15 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col, text)
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rk, text): only the columns the operators need, null text as empty."""
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id, rk, text): only the columns the operators need, null text as empty; ``carry`` adds row, a struct of all
+    columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         row_key(F.col(id_col), text).alias("rk"),
         text.alias("text"),
+        *([F.struct("*").alias("row")] if carry else []),
     )
 
 
@@ -52,6 +54,11 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return (left["rk"] == right["rk"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+def replaced(df: DataFrame, row_type, changes: dict) -> DataFrame:
+    """The columns that ``row`` carried, with those in ``changes`` given anew."""
+    return df.select(*[changes[f.name].alias(f.name) if f.name in changes else F.col(f"row.`{f.name}`").alias(f.name) for f in row_type.fields])
+
+
 def utf8_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of an Arrow string array, end to end, and the offsets (n + 1) of each text in them."""
     if isinstance(array, pa.ChunkedArray):

@@ -87,18 +87,20 @@ class LineIndex:
 
 
 def drop_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, batches: int = 4, with_kept: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, batches: int = 4, with_kept: bool = True, carry: bool = False
 ) -> DataFrame:
     """Drop the lines whose key stands in at least ``min_docs`` documents and has ``min_chars`` code points at least.
 
     ``keep_first`` keeps them in the document with the smallest id. Returns one row per input row: doc_id, n_lines
-    (before), n_dropped, kept_sha256 of the kept lines joined by LF and, if ``with_kept``, kept (that text).
+    (before), n_dropped, kept_sha256 of the kept lines joined by LF and, if ``with_kept``, kept (that text), if ``carry`` also row (a
+    struct of all input columns).
 
     Null and empty texts are one empty line, which has no key and stays. Rows that repeat an id are separate documents
     unless their texts are equal too: then they count once and share the result. Null ids are a document like others
     (and the first of all). An empty table gives an empty result; further columns are not read.
     """
-    keyed = keyed_texts(docs, id_col, text_col)
+    keyed = keyed_texts(docs, id_col, text_col, carry)
+    extra = ["row"] if carry else []
     lines = saved(line_keys(keyed, min_chars).withColumn("batch", F.pmod("rk", F.lit(batches))), "lines")
     index = LineIndex(min_docs)
     for number in range(batches):
@@ -109,7 +111,7 @@ def drop_lines(
         first = dropped.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
         dropped = dropped.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "rk").eqNullSafe(F.col("first")))
     dropped = dropped.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
-    joined = keyed.join(dropped, same_doc(keyed, dropped), "left").select(keyed["doc_id"], "text", "lines")
+    joined = keyed.join(dropped, same_doc(keyed, dropped), "left").select(keyed["doc_id"], "text", "lines", *extra)
 
     def apply(batches):
         for batch in batches:
@@ -128,6 +130,8 @@ def drop_lines(
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [batch.column("doc_id")] + [pa.array(c, k) for c, k in zip(columns, kinds)]
             names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays[: 4 + with_kept], names=names[: 4 + with_kept])
+            arrays, names = arrays[: 4 + with_kept], names[: 4 + with_kept]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(x) for x in extra], names=names + extra)
 
-    return joined.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_kept)
+    ddl = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_kept
+    return joined.mapInArrow(apply, ddl + (f", row {keyed.schema['row'].dataType.simpleString()}" if carry else ""))

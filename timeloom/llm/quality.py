@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, keyed_texts, same_doc
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -117,3 +117,11 @@ def quality_rules(
     left = n_words - F.col("common_words")
     depleted = (F.col("common_words") > 0) & ((left < min_words) | (100 * left < min_left_percent * n_words))
     return joined.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~depleted)
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    judged = quality_rules(docs, id_col, text_col, host_col)
+    rejected = judged.where("not kept").select("doc_id", "rk").distinct()
+    keyed = keyed_texts(docs, id_col, text_col, carry=True)
+    return keyed.join(rejected, same_doc(keyed, rejected), "left_anti").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, rlz, simhash, suffix, tokens, urls
+from . import lines, mixing, nearest, packing, quality, rlz, simhash, suffix, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 
+#: The domains of the labelled table and the shares of tokens that the mixture is to have.
+WEIGHTS = {"clean": 0.95, "poor": 0.04, "toxic": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("clean")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(_table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), WEIGHTS).drop("rk")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
 
@@ -28,7 +41,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, max_distance=2)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def mirror_hosts(pages: DataFrame) -> DataFrame:
@@ -50,6 +64,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, with_kept=False)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8_parts
+from .common import keyed_texts, same_doc, saved, utf8_parts
 from .components import components
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -57,17 +57,17 @@ def fingerprint_of(text: bytes, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(doc_id, fp): the majority bits of the XXH64 hashes (seed 42) of all word shingles, repeats included."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, rk, fp): the majority bits of the XXH64 hashes (seed 42) of all word shingles, repeats included."""
+    texts = keyed_texts(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
             raw, offsets = utf8_parts(batch.column("text"))
             data = raw.tobytes()
             found = [fingerprint_of(data[a:b], shingle_words) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(found, pa.int64())], names=["doc_id", "rk", "fp"])
 
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, "doc_id long, rk long, fp long")
 
 
 # ---- Golay keys ----------------------------------------------------------------------------------------------------
@@ -216,7 +216,8 @@ def links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links), and
+    component and rk, keys of the component and, with doc_id, of the row.
 
     Documents link if their fingerprints differ in at most ``max_distance`` bits. Texts are lower-cased in A-Z; a text
     with fewer words than a shingle is one shingle; a text without words (null, empty, blank) has fingerprint zero and
@@ -228,6 +229,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct, max_distance))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
+    classes = named.join(lowest, "root").select("fp", "component_id", F.col("root").alias("component"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marked.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "component", "rk")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps one: that with the smallest id (null
+    first), and among rows of that id one. All columns stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle_words, max_distance)
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.*")
+    keyed = keyed_texts(docs, id_col, text_col, carry=True)
+    kept = keyed.join(first, same_doc(keyed, first), "left_semi").dropDuplicates(["doc_id", "rk"])
+    return kept.select("row.*")
