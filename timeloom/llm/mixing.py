@@ -21,7 +21,9 @@ from .common import keyed_texts, same_doc, saved
 #: Labelled rows of a domain that the classifier is fitted on; a bound on the sample, chosen by a hash of the id.
 MAX_LABELLED = 5_000
 #: Hash buckets of the classifier's words.
-FEATURES = 1 << 16
+FEATURES = 1 << 17
+#: Iterations and L2 penalty of the fit.
+MAX_STEPS, PENALTY = 40, 1e-4
 
 
 def _features(text: Column) -> Column:
@@ -56,13 +58,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "label_id").select("label", _features(F.col("text")).alias("words"))
     rows = saved(_hashed(rows).select("label", "features"), "labelled")
-    weight = F.create_map(*[x for r in rows.groupBy("label").count().collect() for x in (F.lit(r["label"]), F.lit(1.0 / r["count"]))])[F.col("label")]
-    total = rows.count()
-    rows = rows.withColumn("weight", weight * total / len(domains)) if total else rows.withColumn("weight", F.lit(1.0))
-    model = LogisticRegression(family="multinomial", maxIter=25, regParam=0.01, weightCol="weight", standardization=False).fit(rows)
-    if model.numClasses != len(domains):
+    # each row stands for as many labelled ones as the sample leaves out, so the posteriors keep the domains' true shares
+    used = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(used) < len(domains):
         raise ValueError("the labelled documents of some domain are not in the corpus")
-    return model
+    scale = sum(used.values()) / sum(sizes.values())
+    weight = F.create_map(*[x for n, count in used.items() for x in (F.lit(n), F.lit(scale * sizes[n] / count))])[F.col("label")]
+    rows = rows.withColumn("weight", weight)
+    return LogisticRegression(family="multinomial", maxIter=MAX_STEPS, regParam=PENALTY, weightCol="weight", standardization=False).fit(rows)
 
 
 def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, text_col: str) -> DataFrame:

@@ -276,8 +276,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         single = single.dropDuplicates(["anchor", "fhash", "windows", "at"])
         twice = single.groupBy("anchor", "whash").agg(F.sum("copies").alias("n")).where("n >= 2")
         spans = spans.unionByName(single.join(twice.drop("n"), ["anchor", "whash"], "left_semi").select("anchor", "fhash", "windows", "at", F.lit(1).alias("n")))
-    placed = found.join(spans, ["anchor", "fhash", "windows"]).select("doc_id", "rk", (F.col("start") + F.col("at")).alias("start"), "n")
-    return keyed, placed.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # one row a content, so that the join gives one row for each place of a content, however its spans are parted
+    listed = spans.groupBy("anchor", "fhash", "windows").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    placed = found.join(listed, ["anchor", "fhash", "windows"])
+    placed = placed.select("doc_id", "rk", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["n"].alias("n"))).alias("spans"))
+    return keyed, placed.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, with_kept: bool = True) -> DataFrame:
