@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, same_doc, saved, utf8_parts
+from .common import forget, keyed_texts, same_doc, saved, utf8_parts
 from .rolling import BYTE_VALUES, chunks, gathered, gram_hash, prefix, window_runs, word_bounds, word_values
 
 #: Symbols in one unit of vectorised work; bounds memory, not results.
@@ -68,7 +68,9 @@ def candidates(keyed: DataFrame, width: int, gram: int, words: bool) -> DataFram
     """Runs whose minimiser stands at least twice in the corpus, as a saved table."""
     runs = saved(keyed.mapInArrow(_runs(width, gram, words), RUNS), "runs")
     repeated = runs.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n >= 2").select("anchor")
-    return saved(runs.join(repeated, "anchor", "left_semi").drop("weight"), "candidates")
+    found = saved(runs.join(repeated, "anchor", "left_semi"), "candidates")
+    forget(runs)
+    return found
 
 
 def contents(found: DataFrame, width: int, symbol_bytes: int) -> tuple[DataFrame, int, bool]:
@@ -76,8 +78,8 @@ def contents(found: DataFrame, width: int, symbol_bytes: int) -> tuple[DataFrame
 
     A minimiser is hot if the contents under it would fill a shard alone: ``hot`` marks its rows.
     """
-    folded = found.groupBy("anchor", "fhash", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rk", "start")).alias("at"))
-    folded = saved(folded.select("anchor", "fhash", "windows", "copies", "at.*"), "contents")
+    folded = found.groupBy("anchor", "fhash", "windows").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rk", "start")).alias("at"), F.max("weight").alias("weight"))
+    folded = saved(folded.select("anchor", "fhash", "windows", "copies", "weight", "at.*"), "contents")
     size = (F.col("windows") + (width - 1)).cast("long") * symbol_bytes
     per = folded.groupBy("anchor").agg(F.sum(size).alias("bytes"))
     hot = per.where(F.col("bytes") > SHARD_BYTES).select("anchor", F.lit(True).alias("hot"))

@@ -93,7 +93,9 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window_words:
     keyed = texts(docs, id_col, text_col)
     found = candidates(keyed, window_words, min(GRAM, window_words), words=True)
     folded, shards, any_hot = contents(found, window_words, 8)
-    cut = with_symbols(keyed, folded.where("not hot"), window_words, True, shards)
+    # a content alone under its minimiser, and without a repeat of its own, has nothing to be parsed against
+    met = folded.groupBy("anchor").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).where("n > 1 or weight > 1").select("anchor")
+    cut = with_symbols(keyed, folded.where("not hot").join(met, "anchor", "left_semi"), window_words, True, shards)
     placed = cut.groupBy("shard").applyInArrow(_parse(window_words), PLACED)
     if any_hot:
         single = hot_windows(with_symbols(keyed, folded.where("hot"), window_words, True, shards), window_words, True)
