@@ -21,18 +21,18 @@ from .common import keyed_texts, same_doc, saved
 #: Labelled rows of a domain that the classifier is fitted on; a bound on the sample, chosen by a hash of the id.
 MAX_LABELLED = 5_000
 #: Hash buckets of the classifier's words.
-FEATURES = 1 << 17
+FEATURES = 1 << 15
 #: Iterations and L2 penalty of the fit.
-MAX_STEPS, PENALTY = 40, 1e-4
+MAX_STEPS, PENALTY = 25, 1e-4
 
 
 def _features(text: Column) -> Column:
     """Lower-cased words without marks at their ends, and three marks of style: shares of symbols, of capitals and of
     repeated lines, in steps."""
-    words = F.filter(F.split(F.lower(text), "[\\x20-\\x2F\\x3A-\\x3F\\x5B-\\x5F\\x7B-\\x7E\\x09-\\x0D]+"), lambda w: w != "")
+    words = F.split(F.lower(text), "[\\x20-\\x2F\\x3A-\\x3F\\x5B-\\x5F\\x7B-\\x7E\\x09-\\x0D]+")
     size = F.greatest(F.length(text), F.lit(1))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
     lines = F.split(text, "\n")
     again = F.size(lines) - F.size(F.array_distinct(lines))
     step = lambda part, whole, scale: F.least(F.lit(9), F.floor(scale * part / whole)).cast("string")
@@ -71,7 +71,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
 def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, rk, n_tokens, p): number of words and domain posteriors of each document."""
     keyed = keyed_texts(docs, id_col, text_col)
-    n = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    n = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     table = _hashed(keyed.select("doc_id", "rk", n.alias("n_tokens"), _features(F.col("text")).alias("words")))
     scored = model.transform(table.select("doc_id", "rk", "n_tokens", "features"))
     return scored.select("doc_id", "rk", "n_tokens", vector_to_array("probability").alias("p"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import lines, mixing, nearest, packing, quality, rlz, simhash, suffix, tokens, urls
 
+from .oracles import ORACLES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,3 +86,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB SQL by query; the queries that SQL cannot express are compared with brute force in tests."""
+    return dict(ORACLES)
