@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import BEFORE, IN_ORDER, bucketed, but_last, fold_islands, last, renumbered
+from .timeline import before, in_order, bucketed, but_last, fold_islands, last, renumbered
 
 FIELDS = ["start_s", "end_s", "text"]
 #: Seconds that a cue without duration gets.
@@ -24,9 +24,9 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
     end = F.greatest(F.lit(0.0), F.coalesce("end_s", "start_s", F.lit(0.0)))
     rows = chunks.select("media_id", "seq", start.alias("start_s"), end.alias("end_s"), T.clean_text(F.col("text")).alias("text")).where("text <> ''")
     rows = rows.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + SLIVER).otherwise(F.col("end_s")))
-    rows = rows.withColumn("before", F.lag("text").over(IN_ORDER)).where("before is null or before <> text").drop("before")
+    rows = rows.withColumn("before", F.lag("text").over(in_order())).where("before is null or before <> text").drop("before")
     # ends move on by a sliver for each row at most, so beyond that bound no row can push another
-    bound = F.max("end_s").over(BEFORE) + SLIVER * (F.row_number().over(IN_ORDER) - 1)
+    bound = F.max("end_s").over(before()) + SLIVER * (F.row_number().over(in_order()) - 1)
 
     def step(acc: Column, row: Column) -> Column:
         reach = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(last(acc)["end_s"])
@@ -39,8 +39,8 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
 
 def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float = 6.0, max_chars: int = 42) -> DataFrame:
     """Merge cues into longer ones until a pause, the end of a sentence, or a limit on duration or length."""
-    pause = F.col("start_s") - F.lag("end_s").over(IN_ORDER) > max_gap_s
-    new = F.lag("seq").over(IN_ORDER).isNull() | pause | T.ends_sentence(F.lag("text").over(IN_ORDER))
+    pause = F.col("start_s") - F.lag("end_s").over(in_order()) > max_gap_s
+    new = F.lag("seq").over(in_order()).isNull() | pause | T.ends_sentence(F.lag("text").over(in_order()))
 
     def step(acc: Column, row: Column) -> Column:
         def joined(text: Column) -> Column:

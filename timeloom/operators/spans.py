@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import BEFORE, IN_ORDER, but_last, fold_islands, last, renumbered
+from .timeline import before, in_order, but_last, fold_islands, last, renumbered
 
 FIELDS = ["start_s", "end_s"]
 
@@ -15,7 +15,7 @@ def parse_silence_log(lines: DataFrame) -> DataFrame:
     number = lambda kind: F.regexp_extract("line", rf"silence_{kind}:\s*([0-9.]+)", 1).try_cast("double")
     start = number("start")
     events = lines.select("media_id", F.col("line_no").alias("seq"), start.alias("start"), F.when(start.isNull(), number("end")).alias("end"))
-    events = events.where("start is not null or end is not null").withColumn("start_s", F.lag("start").over(IN_ORDER))
+    events = events.where("start is not null or end is not null").withColumn("start_s", F.lag("start").over(in_order()))
     found = events.where("end is not null and start_s is not null and end > start_s")
     return renumbered(found.select("media_id", "seq", "start_s", F.col("end").alias("end_s")), "seq")
 
@@ -50,7 +50,7 @@ def merge_spans(spans: DataFrame, max_duration_s: float, merge_gap_s: float = 0.
     ``standalone`` always merges spans that overlap or touch, others up to ``merge_gap_s`` apart if the whole stays
     within ``max_duration_s``; ``docker`` asks for both conditions always.
     """
-    gap = F.col("start_s") - F.lag("end_s").over(IN_ORDER)
+    gap = F.col("start_s") - F.lag("end_s").over(in_order())
     hard = gap > (max(merge_gap_s, 0.0) if profile == "standalone" else merge_gap_s)
 
     def step(acc: Column, row: Column) -> Column:
@@ -77,7 +77,7 @@ def complement_spans(silences: DataFrame, media: DataFrame, min_duration_s: floa
 
     ``standalone`` tests the shortest duration once more on padded spans, ``docker`` does not.
     """
-    cursor = F.greatest(F.lit(0.0), F.coalesce(F.max("end_s").over(BEFORE), F.lit(0.0)))
+    cursor = F.greatest(F.lit(0.0), F.coalesce(F.max("end_s").over(before()), F.lit(0.0)))
     gaps = silences.select("media_id", "seq", cursor.alias("from_s"), F.col("start_s").alias("to_s"))
     ends = silences.groupBy("media_id").agg(F.max("end_s").alias("end_s"), F.max("seq").alias("seq"))
     tails = media.join(ends, "media_id", "left").select("media_id", (F.coalesce("seq", F.lit(0)) + 1).alias("seq"), F.greatest(F.lit(0.0), F.coalesce("end_s", F.lit(0.0))).alias("from_s"), F.col("duration_s").alias("to_s"))
@@ -91,8 +91,8 @@ def complement_spans(silences: DataFrame, media: DataFrame, min_duration_s: floa
 def merge_overlapping_spans(spans: DataFrame, tolerance_s: float = 0.05) -> DataFrame:
     """Union of spans sorted by (start, end) that start at most ``tolerance_s`` after everything before them ends."""
     ordered = renumbered(spans, "start_s", "end_s")
-    reach = F.max("end_s").over(BEFORE)
-    marked = ordered.withColumn("island", F.sum(F.when(reach.isNull() | (F.col("start_s") > reach + tolerance_s), 1).otherwise(0)).over(IN_ORDER))
+    reach = F.max("end_s").over(before())
+    marked = ordered.withColumn("island", F.sum(F.when(reach.isNull() | (F.col("start_s") > reach + tolerance_s), 1).otherwise(0)).over(in_order()))
     merged = marked.groupBy("media_id", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
     return renumbered(merged, "island").select("media_id", "seq", "start_s", "end_s")
 

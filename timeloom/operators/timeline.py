@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Every operator keys rows by media_id and orders them by seq, so their windows share one exchange and sort.
-IN_ORDER = Window.partitionBy("media_id").orderBy("seq")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_order() -> WindowSpec:
+    """Every operator keys rows by media_id and orders them by seq, so their windows share one exchange and sort."""
+    return Window.partitionBy("media_id").orderBy("seq")
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def renumbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -24,7 +29,7 @@ def fold_islands(rows: DataFrame, new_island: Column, fields: list[str], step: C
     can touch across a break must be ruled out by the break, so islands fold independently and media spread over many.
     Returns media_id, seq (renumbered) and the fields.
     """
-    marked = rows.withColumn("island", F.sum(F.when(new_island, 1).otherwise(0)).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("island", F.sum(F.when(new_island, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     lists = marked.groupBy("media_id", "island").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("rows"))
     kind = "array<struct<" + ", ".join(f"{f}: {rows.schema[f].dataType.simpleString()}" for f in fields) + ">>"
     folded = F.aggregate("rows", F.array().cast(kind), lambda acc, row: step(acc, row).cast(kind))

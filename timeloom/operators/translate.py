@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import IN_ORDER
+from .timeline import in_order
 
 
 def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int = 0) -> DataFrame:
@@ -16,7 +16,7 @@ def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int
     one separator, would come to that length.
     """
     if text_split_size <= 0:
-        at = F.row_number().over(IN_ORDER) - 1
+        at = F.row_number().over(in_order()) - 1
         return entries.withColumns({"batch_no": F.floor(at / batch_size).cast("int"), "local_no": (at % batch_size + 1).cast("int")})
     # only lengths are folded: a few bytes for each entry of a media
     lengths = entries.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))).alias("rows"))
@@ -48,7 +48,7 @@ def parse_replies(replies: DataFrame, members: DataFrame, profile: str = "standa
     lacks discards what follows, and a number given twice counts as given last. ``standalone`` also parts labels that
     follow one another on a line and removes labels left in the text.
     """
-    lines = F.filter(F.transform(F.split("reply", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), T.strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("reply", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), T.strip), lambda x: x != "")
     if profile == "standalone":
         parted = lambda x: F.when(x.rlike(r"(?U)^\d+[.)]\s+\[\d+\]\s+"), F.array(x)).otherwise(F.split(x, r"(?U)\s+(?=\[\d+\]\s+)"))
         lines = F.filter(F.transform(F.flatten(F.transform(lines, parted)), T.strip), lambda x: x != "")

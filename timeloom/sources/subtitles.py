@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.timing import format_srt_time, parse_srt_time
 from ..operators.jobs import stem
 
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def read_texts(spark: SparkSession, root: str, recurse: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def parse_srt(texts: DataFrame) -> DataFrame:
 def parse_srt_entries(texts: DataFrame) -> DataFrame:
     """Entries (media_id, seq, timecode, text) of subtitle texts: blocks of three lines at least with the time code,
     kept as it is, on the second; text lines are joined by a space."""
-    body = F.regexp_replace(F.regexp_replace("body", "^﻿", ""), "\r\n", "\n")
+    body = F.regexp_replace(F.regexp_replace("body", "^\ufeff", ""), "\r\n", "\n")
     blocks = texts.select("media_id", F.posexplode(F.split(T.strip(body), r"(?U)\n\s*\n")).alias("block", "b")).withColumn("lines", F.split("b", _LINES))
     blocks = blocks.where((F.size("lines") >= 3) & F.contains(F.get("lines", F.lit(1)), F.lit("-->")))
     text = T.strip(F.array_join(F.transform(F.slice("lines", F.lit(3), F.size("lines")), T.strip), " "))
@@ -45,7 +45,7 @@ def parse_srt_entries(texts: DataFrame) -> DataFrame:
 
 def count_srt_blocks(body: Column) -> Column:
     """Blocks with a time line; none is null."""
-    blocks = F.split(F.regexp_replace(F.regexp_replace(body, "^﻿", ""), "\r\n", "\n"), "\n\n")
+    blocks = F.split(F.regexp_replace(F.regexp_replace(body, "^\ufeff", ""), "\r\n", "\n"), "\n\n")
     return F.nullif(F.size(F.filter(blocks, lambda b: F.contains(b, F.lit("-->")))), F.lit(0))
 
 
