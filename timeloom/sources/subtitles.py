@@ -14,7 +14,7 @@ _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def read_texts(spark: SparkSession, root: str, recurse: bool = False) -> DataFrame:
     """(media_id, path, body) of the .srt files under a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.srt").option("recursiveFileLookup", recurse).text(root)
+    files = spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", recurse).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(stem(path).alias("media_id"), path.alias("path"), F.col("value").alias("body"))
 
