@@ -22,9 +22,10 @@ def translation_samples(reports: DataFrame) -> DataFrame:
     return rows.withColumn("seconds_per_subtitle", F.col("processing_seconds") / F.col("subtitle_count"))
 
 
-def history_ratios(reports: DataFrame, asr_backend: str | None = "kotoba") -> DataFrame:
-    """Realtime factors of all runs of a backend, whatever their status; an unnamed backend is the default one."""
-    named = F.coalesce(F.when(F.col("asr_backend") != "", F.col("asr_backend")), F.lit("kotoba"))
+def history_ratios(reports: DataFrame, asr_backend: str | None = None, unnamed: str = "default") -> DataFrame:
+    """Realtime factors of all runs of a backend, whatever their status (of all backends if none is
+    given); runs that name no backend count as ``unnamed``."""
+    named = F.coalesce(F.when(F.col("asr_backend") != "", F.col("asr_backend")), F.lit(unnamed))
     rows = reports if asr_backend is None else reports.where(named == asr_backend)
     media = F.coalesce(positive(F.col("media_duration_seconds")), positive(F.col("audio_duration_seconds")))
     return rows.withColumns({"asr_backend": named, "ratio": positive(F.col("processing_seconds")) / media}).where("ratio is not null")
