@@ -47,4 +47,4 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op5_url_cascade": URLS, "op8_line_dedup": LINES, "op9_passage_dedup": PASSAGES}
+ORACLES = {"op5_url_cascade": URLS, "op6_quality_rules": QUALITY, "op8_line_dedup": LINES, "op9_passage_dedup": PASSAGES}

@@ -74,11 +74,11 @@ def frequent_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
     normal = F.transform(F.split("text", "\n", -1), lambda line: F.lower(F.btrim(line, F.lit(BLANKS))))
-    entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.size(F.split(line, _GAP)).alias("words")))
+    entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.substring(F.md5(line), 1, 16).alias("code"), F.size(F.split(line, _GAP)).alias("words")))
     base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "host", entry.alias("entries"))
-    hashes = F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["h"])))
-    lines = base.withColumn("hashes", hashes).select("doc_id", "rk", "host", F.get("hashes", F.lit(0)).alias("low"), F.coalesce(F.get("hashes", F.lit(1)), F.lit(0)).alias("next"), F.posexplode("entries").alias("at", "e"))
-    lines = lines.select("doc_id", "rk", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words"), F.when(F.col("e.h") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("mate"))
+    codes = F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["code"])))
+    lines = base.withColumn("codes", codes).select("doc_id", "rk", "host", F.get("codes", F.lit(0)).alias("low"), F.coalesce(F.get("codes", F.lit(1)), F.lit("")).alias("next"), F.posexplode("entries").alias("at", "e"))
+    lines = lines.select("doc_id", "rk", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words"), F.when(F.col("e.code") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("mate"))
     per = lines.groupBy("host", "h", "mate").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     common = per.where(F.col("docs") > max_docs).select("host", "h")
     removed = lines.join(common, ["host", "h"], "left_semi").groupBy("doc_id", "rk", "at").agg(F.max("words").alias("words"))
