@@ -47,15 +47,16 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col, text)
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, carry: bool = False, text_in_row: bool = True) -> DataFrame:
     """(doc_id, rk, text): only the columns the operators need, null text as empty; ``carry`` adds row, a struct of all
-    columns."""
+    columns, or of all but the text, which need not travel twice then."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    row = ["*"] if text_in_row else [F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()]
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         row_key(F.col(id_col), text).alias("rk"),
         text.alias("text"),
-        *([F.struct("*").alias("row")] if carry else []),
+        *([F.struct(*row).alias("row")] if carry else []),
     )
 
 
@@ -83,3 +84,12 @@ def utf8_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     raw = raw[offsets[0] : offsets[-1]]
     return raw, offsets - offsets[0]
+
+
+def slices(batches, limit: int = 4 << 20):
+    """The rows of Arrow batches in slices of about ``limit`` bytes, and one row at least: bounds what a worker holds
+    beside the batch itself."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, same_doc, saved, utf8_parts
+from .common import keyed_texts, same_doc, saved, slices, utf8_parts
 
 _STRIP = b" \t\n\x0b\x0c\r"
 LINES = "doc_id long, rk long, line int, h1 long, h2 long"
@@ -20,7 +20,7 @@ def line_keys(keyed: DataFrame, min_chars: int) -> DataFrame:
     """One row for each line with a key: the line without ASCII blanks at its ends, A-Z lower-cased, 128-bit hashed."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = utf8_parts(batch.column("text"))
             data = raw.tobytes()
             row, number, digests = [], [], []
@@ -93,13 +93,13 @@ def drop_lines(
 
     ``keep_first`` keeps them in the document with the smallest id. Returns one row per input row: doc_id, n_lines
     (before), n_dropped, kept_sha256 of the kept lines joined by LF and, if ``with_kept``, kept (that text), if ``carry`` also row (a
-    struct of all input columns).
+    struct of all input columns but the text).
 
     Null and empty texts are one empty line, which has no key and stays. Rows that repeat an id are separate documents
     unless their texts are equal too: then they count once and share the result. Null ids are a document like others
     (and the first of all). An empty table gives an empty result; further columns are not read.
     """
-    keyed = keyed_texts(docs, id_col, text_col, carry)
+    keyed = keyed_texts(docs, id_col, text_col, carry, text_in_row=False)
     extra = ["row"] if carry else []
     lines = saved(line_keys(keyed, min_chars).withColumn("batch", F.pmod("rk", F.lit(batches))), "lines")
     index = LineIndex(min_docs)
@@ -114,7 +114,7 @@ def drop_lines(
     joined = keyed.join(dropped, same_doc(keyed, dropped), "left").select(keyed["doc_id"], "text", "lines", *extra)
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = utf8_parts(batch.column("text"))
             data = raw.tobytes()
             rows = []
