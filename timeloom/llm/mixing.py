@@ -11,12 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, same_doc, saved
+from .common import keyed_texts, same_doc, saved, slices, utf8_parts
+from .rolling import mixed, word_bounds, word_values
 
 #: Labelled rows of a domain that the classifier is fitted on; a bound on the sample, chosen by a hash of the id.
 MAX_LABELLED = 5_000
@@ -26,22 +26,53 @@ FEATURES = 1 << 15
 MAX_STEPS, PENALTY = 25, 1e-4
 
 
-def _features(text: Column) -> Column:
-    """Lower-cased words without marks at their ends, and three marks of style: shares of symbols, of capitals and of
-    repeated lines, in steps."""
-    words = F.split(F.lower(text), "[\\x20-\\x2F\\x3A-\\x3F\\x5B-\\x5F\\x7B-\\x7E\\x09-\\x0D]+")
-    size = F.greatest(F.length(text), F.lit(1))
-    symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    lines = F.split(text, "\n")
-    again = F.size(lines) - F.size(F.array_distinct(lines))
-    step = lambda part, whole, scale: F.least(F.lit(9), F.floor(scale * part / whole)).cast("string")
-    style = F.array(F.concat(F.lit("\0s"), step(symbols, size, 40)), F.concat(F.lit("\0c"), step(capitals, size, 20)), F.concat(F.lit("\0l"), step(again, F.size(lines), 10)))
-    return F.concat(words, style)
+#: Bytes at which the classifier's words end, as blanks; A-Z as a-z.
+_PLAIN = bytes(32 if x < 48 or 58 <= x < 64 or 91 <= x < 96 or 123 <= x < 128 else x + 32 if 65 <= x <= 90 else x for x in range(256))
+_MARKS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+_CAPITALS = np.isin(np.arange(256), np.arange(65, 91))
+#: Steps of each of the three marks of style, which follow the words' buckets.
+STEPS = 10
+SIZE = FEATURES + 3 * STEPS
 
 
-def _hashed(table: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features").transform(table)
+def _features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature) pairs of a batch of texts, distinct and in order, and the number of words of each text.
+
+    The features are hash buckets of lower-cased words without marks, and three marks of style: shares of symbols, of
+    capitals and of repeated lines, in steps.
+    """
+    raw, offsets = utf8_parts(text)
+    data = raw.tobytes()
+    n = len(offsets) - 1
+    length = np.diff(offsets)
+    plain = np.frombuffer(data.translate(_PLAIN), np.uint8)
+    start, end, bounds = word_bounds(plain, offsets)
+    keys = []
+    if len(start):
+        bucket = mixed(word_values(plain, start, end)) % np.uint64(FEATURES)
+        keys.append(np.repeat(np.arange(n), np.diff(bounds)) << 16 | bucket.astype(np.int64))
+    lines = [data[a:b].split(b"\n") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    count = np.fromiter(map(len, lines), np.int64, n)
+    again = count - np.fromiter((len(set(x)) for x in lines), np.int64, n)
+    for kind, (part, whole, scale) in enumerate(((_within(_MARKS[raw], offsets), length, 40), (_within(_CAPITALS[raw], offsets), length, 20), (again, count, 10))):
+        step = np.minimum(STEPS - 1, scale * part // np.maximum(whole, 1))
+        keys.append(np.arange(n) << 16 | FEATURES + kind * STEPS + step)
+    found = np.unique(np.concatenate(keys))
+    _, _, words = word_bounds(raw, offsets)
+    return found >> 16, found & 0xFFFF, np.diff(words)
+
+
+def _within(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return np.diff(sums[offsets])
+
+
+def _feature_lists(batches):
+    for batch in slices(batches):
+        doc, feature, _ = _features(batch.column("text"))
+        at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(at, feature.astype(np.int32))], names=["label", "present"])
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> LogisticRegressionModel:
@@ -56,8 +87,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     share = F.create_map(*[x for n, size in sizes.items() for x in (F.lit(n), F.lit(min(1.0, max_labelled / size)))])[F.col("label")]
     chosen = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("label_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "label_id").select("label", _features(F.col("text")).alias("words"))
-    rows = saved(_hashed(rows).select("label", "features"), "labelled")
+    rows = texts.join(F.broadcast(chosen), "label_id").select("label", "text").mapInArrow(_feature_lists, "label double, present array<int>")
+    vector = F.udf(lambda present: Vectors.sparse(SIZE, present, [1.0] * len(present)), VectorUDT())  # on the sample only
+    rows = saved(rows.select("label", vector("present").alias("features")), "labelled")
     # each row stands for as many labelled ones as the sample leaves out, so the posteriors keep the domains' true shares
     used = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(used) < len(domains):
@@ -70,11 +102,20 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
 
 def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, rk, n_tokens, p): number of words and domain posteriors of each document."""
-    keyed = keyed_texts(docs, id_col, text_col)
-    n = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    table = _hashed(keyed.select("doc_id", "rk", n.alias("n_tokens"), _features(F.col("text")).alias("words")))
-    scored = model.transform(table.select("doc_id", "rk", "n_tokens", "features"))
-    return scored.select("doc_id", "rk", "n_tokens", vector_to_array("probability").alias("p"))
+    weights, base = model.coefficientMatrix.toArray().astype(np.float32), model.interceptVector.toArray()
+
+    def score(batches):
+        for batch in slices(batches):
+            doc, feature, words = _features(batch.column("text"))
+            margins = np.stack([np.bincount(doc, own[feature], batch.num_rows) for own in weights], axis=1) + base
+            p = np.exp(margins - margins.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            at = np.arange(0, p.size + 1, len(base), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("rk"), pa.array(words.astype(np.int64)), pa.ListArray.from_arrays(at, p.ravel())], names=["doc_id", "rk", "n_tokens", "p"]
+            )
+
+    return keyed_texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, rk long, n_tokens long, p array<double>")
 
 
 def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
