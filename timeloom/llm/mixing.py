@@ -30,6 +30,8 @@ MAX_STEPS, PENALTY = 25, 1e-4
 _PLAIN = bytes(32 if x < 48 or 58 <= x < 64 or 91 <= x < 96 or 123 <= x < 128 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 _MARKS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _CAPITALS = np.isin(np.arange(256), np.arange(65, 91))
+#: Words hashed at once, and bytes of texts in one unit of work; both bound memory, not results.
+BLOCK, SLICE = 1 << 15, 1 << 19
 #: Steps of each of the three marks of style, which follow the words' buckets.
 STEPS = 10
 SIZE = FEATURES + 3 * STEPS
@@ -48,9 +50,11 @@ def _features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     plain = np.frombuffer(data.translate(_PLAIN), np.uint8)
     start, end, bounds = word_bounds(plain, offsets)
     keys = []
-    if len(start):
-        bucket = mixed(word_values(plain, start, end)) % np.uint64(FEATURES)
-        keys.append(np.repeat(np.arange(n), np.diff(bounds)) << 16 | bucket.astype(np.int64))
+    of = np.repeat(np.arange(n), np.diff(bounds))
+    for at in range(0, len(start), BLOCK):
+        own, stop = start[at : at + BLOCK], end[at : at + BLOCK]
+        hashes = word_values(plain[own[0] : stop[-1]], own - own[0], stop - own[0])
+        keys.append(np.unique(of[at : at + BLOCK] << 16 | (mixed(hashes) % np.uint64(FEATURES)).astype(np.int64)))
     lines = [data[a:b].split(b"\n") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     count = np.fromiter(map(len, lines), np.int64, n)
     again = count - np.fromiter((len(set(x)) for x in lines), np.int64, n)
@@ -69,7 +73,7 @@ def _within(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _feature_lists(batches):
-    for batch in slices(batches):
+    for batch in slices(batches, SLICE):
         doc, feature, _ = _features(batch.column("text"))
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(at, feature.astype(np.int32))], names=["label", "present"])
@@ -105,7 +109,7 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, tex
     weights, base = model.coefficientMatrix.toArray().astype(np.float32), model.interceptVector.toArray()
 
     def score(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             doc, feature, words = _features(batch.column("text"))
             margins = np.stack([np.bincount(doc, own[feature], batch.num_rows) for own in weights], axis=1) + base
             p = np.exp(margins - margins.max(1, keepdims=True))
