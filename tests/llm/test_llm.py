@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from timeloom.llm import components, fragments, lines, mixing, nearest, packing, quality, rlz, simhash, suffix, tokens, urls
+from timeloom.llm import components, fragments, lines, mixing, nearest, packing, quality, rlz, shingles, simhash, suffix, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside, as clashing extra columns.
@@ -140,6 +140,58 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def shingle_set(text, width):
+    words = WORD.findall(lower(text or ""))
+    return {tuple(words[n : n + width]) for n in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
+
+
+def similar_roots(texts, width=5, percent=80):
+    sets = {n: shingle_set(t, width) for n, t in texts}
+    root = {n: n for n in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    return root
+
+
+def near_copies():
+    """One document of each of several sizes, copies with 1 to 8 words changed, and a chain of them."""
+    chance = random.Random(21)
+    texts = list(dict(TEXTS).items())
+    for base, size in ((1000, 40), (2000, 100), (3000, 300)):
+        words = [f"w{chance.randrange(5000)}" for _ in range(size)]
+        texts.append((base, " ".join(words)))
+        for n in range(1, 40):
+            own = words[:]
+            for at in chance.sample(range(size), 1 + n % 8):
+                own[at] = f"x{n}"
+            texts.append((base + n, " ".join(own)))
+    last = words
+    for n in range(10):
+        last = [*last[8:], *[f"y{n}.{k}" for k in range(8)]]
+        texts.append((4000 + n, " ".join(last)))
+    return texts
+
+
+def test_similar_documents(spark):
+    texts = near_copies()
+    root = similar_roots(texts)
+    found = {}
+    for r in shingles.similar_classes(table(spark, texts)).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    expected = {}
+    for n, r in root.items():
+        expected.setdefault(r, set()).add(n)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+    assert root[2008] == root[2016] == 2000 and any(root[n] != 1000 for n in range(1001, 1040))
+    import corpus_pipeline
+
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_copy(spark, table(spark, texts), "").collect()]
+    assert sorted(kept) == sorted(set(root.values())) and shingles.one_of_each_similar(empty(spark)).count() == 0
+
+
 def test_crowded_keys():
     chance = np.random.default_rng(1)
     fps = np.unique(np.concatenate([np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64) | np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64), chance.integers(0, 1 << 63, 500).astype(np.uint64)]))
