@@ -251,6 +251,22 @@ def test_depleted_documents(spark):
     assert not any(kept[n][0][0] for n in range(30)) and kept[99] == [(True,)] and kept[200] == [(True,)]
 
 
+def test_boilerplate_blocks(spark):
+    block = "\n".join(f"line {n} of a block that stands on every page of this host and says nothing new" for n in range(50))
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    texts = [(n, f"{block}\nonly {n}") for n in range(60)] + [(100 + n, f"{block}{' ' * n}") for n in range(25)]
+    texts += [(200 + n, own) for n in range(30)] + [(300 + n, f"{own} {n}") for n in range(30)] + [(400 + n, f"a line on twenty pages only, which is the limit of the host and no more {'!' * 3}\nz{n}") for n in range(20)]
+    docs = {n: {line.strip().lower() for line in t.split("\n")} for n, t in texts}
+    count = collections.Counter(line for whole in {t: n for n, t in texts}.values() for line in docs[whole])
+    expected = {}
+    for n, text in texts:
+        left = sum(len(line.split()) for line in text.split("\n") if count[line.strip().lower()] <= 20)
+        cut = any(count[line] > 20 for line in docs[n])
+        expected[n] = [(not cut or left >= 10 and 100 * left >= 20 * len(text.split()),)]
+    found = by_id(quality.quality_rules(table(spark, texts), max_repeat_percent=100), "kept")
+    assert found == expected and not found[0][0][0] and not found[100][0][0] and found[200][0][0] and found[400][0][0]
+
+
 def test_cascade(spark):
     chance = random.Random(4)
     keys = [f"h{n}" for n in range(4000)]

@@ -67,19 +67,17 @@ def text_statistics(text: Column) -> Column:
 def frequent_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int) -> DataFrame:
     """(rk, doc_id, common_words): words of each document that stand in lines above the limit of its host.
 
-    A line is normalised (blanks stripped, lower case) and hashed. Its documents within a host are counted by what else
-    they hold - the smallest other line hash - so that copies of one document, changed a little or not, count once, and
-    only lines that stand in different surroundings come to count many.
+    A line is normalised (blanks stripped, lower case) and hashed. Its documents within a host are counted by their whole
+    text, so that exact copies of one document count once and all others, near copies too, count each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
     normal = F.transform(F.split("text", "\n", -1), lambda line: F.lower(F.btrim(line, F.lit(BLANKS))))
-    entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.substring(F.md5(line), 1, 16).alias("code"), F.size(F.split(line, _GAP)).alias("words")))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "host", entry.alias("entries"))
-    codes = F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["code"])))
-    lines = base.withColumn("codes", codes).select("doc_id", "rk", "host", F.get("codes", F.lit(0)).alias("low"), F.coalesce(F.get("codes", F.lit(1)), F.lit("")).alias("next"), F.posexplode("entries").alias("at", "e"))
-    lines = lines.select("doc_id", "rk", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words"), F.when(F.col("e.code") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("mate"))
-    per = lines.groupBy("host", "h", "mate").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+    entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.size(F.split(line, _GAP)).alias("words")))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("whole"), "host", entry.alias("entries"))
+    lines = base.select("doc_id", "rk", "whole", "host", F.posexplode("entries").alias("at", "e"))
+    lines = lines.select("doc_id", "rk", "whole", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words"))
+    per = lines.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     common = per.where(F.col("docs") > max_docs).select("host", "h")
     removed = lines.join(common, ["host", "h"], "left_semi").groupBy("doc_id", "rk", "at").agg(F.max("words").alias("words"))
     return removed.groupBy("doc_id", "rk").agg(F.sum("words").alias("common_words"))
@@ -99,8 +97,8 @@ def quality_rules(
     word_chars, n_symbols, n_dup_lines, n_repeat_words, common_words, base_failed and kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` % of words in 5-word windows that
-    repeat within the text. Others fail if lines that stand in more than ``max_docs`` distinct documents of their host
-    are removed and then fewer than ``min_words`` words or ``min_left_percent`` % of its words are left.
+    repeat within the text. Others fail if lines that stand in more than ``max_docs`` distinct documents (texts) of their
+    host are removed and then fewer than ``min_words`` words or ``min_left_percent`` % of its words are left.
 
     Null text has no words. A null host is a host of its own. Rows that repeat an id are separate documents; rows equal
     in id and text share one verdict. An empty table gives an empty result; further columns are not read.
