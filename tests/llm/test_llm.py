@@ -389,6 +389,25 @@ def test_mixing(spark):
     assert mixing.mix_rates(empty(spark), labels, {"good": 0.9, "bad": 0.1}).count() == 0
 
 
+def test_mixing_once(spark, caplog):
+    chance = np.random.default_rng(3)
+    p = chance.dirichlet([2, 0.5, 0.5], 400)
+    scored = spark.createDataFrame([(n, 50 + n % 7, x.tolist()) for n, x in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
+    rated, reached, goal = mixing.solve_rates(scored, lambda own: own[0] * np.array([0.9, 0.06, 0.04]) / 0.9, 3, once=0)
+    rows = rated.collect()
+    assert all(0 <= r.rate <= 1 for r in rows) and all(r.rate == 1 for r in rows if np.argmax(r.p) == 0)
+    sums = np.sum([r.rate * r.n_tokens * np.array(r.p) for r in rows], axis=0)
+    assert reached == pytest.approx(sums.tolist())
+    # plain projected gradient over all rates at once
+    tokens_of, rate = np.array([[r.n_tokens] * np.array(r.p) for r in rows]), np.ones(len(rows))
+    lead = np.array([float(np.argmax(r.p) == 0) for r in rows])
+    scale = tokens_of.sum(0)
+    for _ in range(4000):
+        rate = np.clip(rate - np.array([r.p for r in rows]) @ ((rate @ tokens_of - goal) / scale), lead, 1)
+    loss = lambda x: ((x - np.array(goal)) ** 2 / scale).sum()
+    assert loss(np.array(reached)) <= 1.001 * loss(rate @ tokens_of) + 1e-3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

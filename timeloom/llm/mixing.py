@@ -8,6 +8,8 @@ executors work out each document's rate from its posteriors and the steps so far
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, same_doc, saved, slices, utf8_parts
 from .rolling import mixed, word_bounds, word_values
 
+log = logging.getLogger(__name__)
+
 #: Labelled rows of a domain that the classifier is fitted on; a bound on the sample, chosen by a hash of the id.
 MAX_LABELLED = 5_000
 #: Hash buckets of the classifier's words.
@@ -122,11 +126,13 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, tex
     return keyed_texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, rk long, n_tokens long, p array<double>")
 
 
-def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps (one number per domain, and the momentum), and the point the next step starts from."""
+def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], once: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps (one number per domain, and the momentum), and the point the next step starts from. With
+    ``once``, the number of a domain, no rate is above 1 and none of a document that this domain leads is below."""
+    low, high = (0.0, np.inf) if once is None else ((p.argmax(1) == once).astype(float), 1.0)
     rate = ahead = np.ones(len(p))
     for step, momentum in steps:
-        new = np.maximum(0.0, ahead - p @ step)
+        new = np.clip(ahead - p @ step, low, high)
         ahead = new + momentum * (new - rate)
         rate = new
     return rate, ahead
@@ -136,21 +142,24 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def solve_rates(scored: DataFrame, targets, k: int, max_steps: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
+def solve_rates(scored: DataFrame, targets, k: int, max_steps: int = 100, tolerance: float = 1e-4, once: int | None = None) -> tuple[DataFrame, list[float], list[float]]:
     """Add rate to ``scored`` (with n_tokens and p): nonnegative rates r that minimise the squared, domain-weighted
     distance of sum(r * n_tokens * p) from the targets. ``targets`` maps the domains' own totals to target totals.
 
     Steps are projected gradient steps in the norm that weighs each document by its tokens, with every domain's equation
     divided by its own total. The posteriors of a document sum to one, so the scaled curvature is at most 1 and a
     step of 1 never overshoots. Momentum (restarted whenever the distance grows) saves most of the passes. Also returns
-    the expected totals reached.
+    the expected totals reached and the targets.
+
+    With ``once``, the number of a domain, rates are at most 1, and 1 for the documents that this domain leads. The
+    targets may be out of reach then; steps end once the totals stand still.
     """
 
     def totals(steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
             for batch in batches:
                 p, n = _matrix(batch.column("p"), k), batch.column("n_tokens").to_numpy()
-                rate, ahead = _rates(p, steps)
+                rate, ahead = _rates(p, steps, once)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array((rate * n) @ p), pa.array((ahead * n) @ p)], names=["domain", "tokens", "ahead"])
 
         rows = scored.select("n_tokens", "p").mapInArrow(run, "domain int, tokens double, ahead double")
@@ -164,24 +173,28 @@ def solve_rates(scored: DataFrame, targets, k: int, max_steps: int = 100, tolera
     scale = np.where(own > 0, own, 1.0)
     steps: list[tuple[np.ndarray, float]] = []
     reached, before, pace = own, np.inf, 1.0
-    while len(steps) < max_steps and np.abs(reached - goal).max() > tolerance * max(goal.sum(), 1e-9):
+    still, near = False, tolerance * max(goal.sum(), 1e-9)
+    while len(steps) < max_steps and not still and np.abs(reached - goal).max() > near:
         distance = ((reached - goal) ** 2 / scale).sum()
         if distance > before:
             pace = 1.0
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         steps.append(((ahead - goal) / scale, (pace - 1) / faster))
-        before, pace = distance, faster
+        before, pace, last = distance, faster, reached
         reached, ahead = totals(steps)
+        still = once is not None and max(np.abs(reached - last).max(), np.abs(ahead - reached).max()) <= near / 100
+    if not still and np.abs(reached - goal).max() > near:
+        log.warning("the rates still changed after %d steps: tokens by domain %s, targets %s", max_steps, reached.tolist(), goal.tolist())
 
     columns = scored.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema) + ", rate double"
 
     def apply(batches):
         for batch in batches:
-            rate, _ = _rates(_matrix(batch.column("p"), k), steps)
+            rate, _ = _rates(_matrix(batch.column("p"), k), steps, once)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(rate)], names=[*columns, "rate"])
 
-    return scored.mapInArrow(apply, ddl), reached.tolist()
+    return scored.mapInArrow(apply, ddl), reached.tolist(), goal.tolist()
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -195,10 +208,16 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], kee
     empty table gives an empty result. Further columns are not read.
     """
     domains = sorted(weights)
+    rated, _, _ = _rated(docs, labels, weights, keep_domain, id_col, text_col, max_labelled)
+    return rated.select("doc_id", "rk", "n_tokens", *[F.get("p", F.lit(n)).alias(f"p_{d}") for n, d in enumerate(domains)], "rate")
+
+
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str | None, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED, once: bool = False) -> tuple[DataFrame, list[float], list[float]]:
+    """(doc_id, rk, n_tokens, p, rate), the expected totals by domain, and their targets."""
+    domains = sorted(weights)
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
     if docs.isEmpty():
-        empty = "doc_id long, rk long, n_tokens long, " + ", ".join(f"`p_{d}` double" for d in domains) + ", rate double"
-        return docs.sparkSession.createDataFrame([], empty)
+        return docs.sparkSession.createDataFrame([], "doc_id long, rk long, n_tokens long, p array<double>, rate double"), [0.0] * len(domains), [0.0] * len(domains)
     model = fit_domains(docs, labels, domains, id_col, text_col, max_labelled)
     scored = saved(posteriors(docs, model, id_col, text_col), "posteriors")
 
@@ -208,16 +227,23 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], kee
             return share * own[at] / share[at]
         return share * min(o / s for o, s in zip(own, share) if s > 0)
 
-    rated, _ = solve_rates(scored, targets, len(domains))
-    return rated.select("doc_id", "rk", "n_tokens", *[F.get("p", F.lit(n)).alias(f"p_{d}") for n, d in enumerate(domains)], "rate")
+    return solve_rates(scored, targets, len(domains), once=domains.index(keep_domain) if once else None)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep_domain: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that a pass over the mixture takes, with all their columns: each document with its rate as
-    probability, by a hash of its id and text. Rates within 5 % of zero or one count as such, so documents of a domain
-    that is kept whole stay for certain."""
-    rated = mix_rates(docs, labels, weights, keep_domain, id_col, text_col)
-    chance = 0.05 + 0.9 * F.pmod(F.xxhash64("doc_id", "rk"), F.lit(1 << 20)) / (1 << 20)
-    taken = rated.where(F.col("rate") >= chance).select("doc_id", "rk").distinct()
+    probability, by a hash of its id and text.
+
+    A document is taken once at most, so rates are solved for between 0 and 1; documents that ``keep_domain`` leads have
+    rate 1 and stay for certain. What then is out of reach shows in the log: tokens by domain wanted, expected and taken.
+    """
+    rated, reached, goal = _rated(docs, labels, weights, keep_domain, id_col, text_col, once=True)
+    chance = F.pmod(F.xxhash64("doc_id", "rk"), F.lit(1 << 20)) / (1 << 20)
+    taken = saved(rated.where(F.col("rate") > chance), "taken")
+    sums = taken.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(n))) for n in range(len(goal))]).first()
+    for domain, wanted, expected, own in zip(sorted(weights), goal, reached, sums):
+        report = log.warning if abs((own or 0.0) - wanted) > 0.01 * sum(goal) else log.info
+        report("tokens of %s: target %.0f, expected %.0f, taken %.0f", domain, wanted, expected, own or 0.0)
+    taken = taken.select("doc_id", "rk").distinct()
     keyed = keyed_texts(docs, id_col, text_col, carry=True)
     return keyed.join(taken, same_doc(keyed, taken), "left_semi").select("row.*")
