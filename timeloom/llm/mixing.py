@@ -25,9 +25,9 @@ log = logging.getLogger(__name__)
 #: Labelled rows of a domain that the classifier is fitted on; a bound on the sample, chosen by a hash of the id.
 MAX_LABELLED = 5_000
 #: Hash buckets of the classifier's words.
-FEATURES = 1 << 15
+FEATURES = 1 << 17
 #: Iterations and L2 penalty of the fit.
-MAX_STEPS, PENALTY = 25, 1e-4
+MAX_STEPS, PENALTY = 40, 1e-4
 
 
 #: Bytes at which the classifier's words end, as blanks; A-Z as a-z.
@@ -58,16 +58,16 @@ def _features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in range(0, len(start), BLOCK):
         own, stop = start[at : at + BLOCK], end[at : at + BLOCK]
         hashes = word_values(plain[own[0] : stop[-1]], own - own[0], stop - own[0])
-        keys.append(np.unique(of[at : at + BLOCK] << 16 | (mixed(hashes) % np.uint64(FEATURES)).astype(np.int64)))
+        keys.append(np.unique(of[at : at + BLOCK] << 18 | (mixed(hashes) % np.uint64(FEATURES)).astype(np.int64)))
     lines = [data[a:b].split(b"\n") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     count = np.fromiter(map(len, lines), np.int64, n)
     again = count - np.fromiter((len(set(x)) for x in lines), np.int64, n)
     for kind, (part, whole, scale) in enumerate(((_within(_MARKS[raw], offsets), length, 40), (_within(_CAPITALS[raw], offsets), length, 20), (again, count, 10))):
         step = np.minimum(STEPS - 1, scale * part // np.maximum(whole, 1))
-        keys.append(np.arange(n) << 16 | FEATURES + kind * STEPS + step)
+        keys.append(np.arange(n) << 18 | FEATURES + kind * STEPS + step)
     found = np.unique(np.concatenate(keys))
     _, _, words = word_bounds(raw, offsets)
-    return found >> 16, found & 0xFFFF, np.diff(words)
+    return found >> 18, found & 0x3FFFF, np.diff(words)
 
 
 def _within(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
