@@ -342,6 +342,14 @@ def test_packing_rounds(spark):
     assert max(fill.values()) <= 100 and len(fill) <= 1.03 * sum(fill.values()) / 100 + 1
 
 
+def test_packing_without_progress(spark, monkeypatch):
+    rounds = []
+    fit = packing._fit
+    monkeypatch.setattr(packing, "_fit", lambda *a: rounds.append(a[3]) or (fit(*a) if len(rounds) < 6 else pytest.fail("rounds without progress")))
+    rows = packing.pack_pieces(spark.createDataFrame([(n, 60) for n in range(300)], "doc_id long, length long"), 100, group_rows=100).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(300)) and len({r.sequence_id for r in rows}) == 300 and rounds == [0]
+
+
 def test_local_search_empties_bins():
     sizes = np.array([60, 60, 40, 40, 50, 50])
     assert len(packing.local_search([[0, 4], [1], [2, 3], [5]], sizes, 110)) <= 3

@@ -3,7 +3,8 @@
 Pieces are dealt to groups by a hash of their id, so no group depends on one key. In each group pieces go, longest
 first, to the fullest bin that holds them; then the search moves and exchanges pieces between underfull bins wherever
 that increases the sum of squared fills, which empties the least filled bins into the others. Bins that stay underfull
-are opened again and packed together in the next, much smaller round, until one group holds what is left.
+are opened again and packed together in the next, much smaller round, until one group holds what is left or a round
+closes hardly any: what stays open then cannot be filled, and its groups are final.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .tokens import token_pieces
 GROUP = 40_000
 #: A bin with at most this share of its capacity free is closed for good.
 CLOSED = 1 / 512
+#: Share of a round's pieces that has to be closed for another round to follow.
+PROGRESS = 1 / 8
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -169,6 +172,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, size_col: str = "length
             done.append(packed.drop("pack_open"))
             break
         packed = saved(packed, "packed")
+        if packed.where("pack_open").count() > (1 - PROGRESS) * count:
+            done.append(packed.drop("pack_open"))
+            break
         done.append(packed.where("not pack_open").drop("pack_open"))
         rest, number = packed.where("pack_open").select(columns), number + 1
     if not done:
