@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 _OWN_DIR: dict[str, str] = {}
+#: Folders of the tables that ``saved`` wrote and nobody has deleted yet, in order.
+_WRITTEN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode only: on a
+    cluster the executors would each write a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-scratch-"))
     return folder.rstrip("/")
 
@@ -30,16 +35,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(table: DataFrame) -> None:
     """Delete a saved table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table.scratch_path)
+    _WRITTEN.remove(table.scratch_path)
+
+
+def scratch_mark() -> int:
+    """A point to which ``clear_scratch`` goes back."""
+    return len(_WRITTEN)
+
+
+def clear_scratch(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables saved since ``mark``, but ``keep``. To be called once results that rest on them are written."""
+    kept = getattr(keep, "scratch_path", None)
+    for path in _WRITTEN[mark:]:
+        if path != kept:
+            _delete(spark, path)
+    _WRITTEN[mark:] = [path for path in _WRITTEN[mark:] if path == kept]
 
 
 def row_key(id_col: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(edges, "edges")
     state = None
     while True:
-        edges = saved(_star(_star(edges, large=True), large=False), "edges")
+        before, edges = edges, saved(_star(_star(edges, large=True), large=False), "edges")
+        forget(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

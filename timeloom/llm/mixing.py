@@ -3,7 +3,7 @@
 A classifier fitted on the labelled table gives every document posterior probabilities of the domains. Documents then
 get nonnegative rates (expected numbers of copies) such that the expected tokens of each domain match its target, by
 least squares with projected gradient steps. A step is known from one number per domain, so only those travel: the
-executors work out each document's rate from its posteriors and the steps so far, and sum expected tokens by domain.
+executors work out each document's rate from its posteriors and the few steps so far, and sum tokens by domain.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,10 @@ MAX_LABELLED = 5_000
 FEATURES = 1 << 17
 #: Iterations and L2 penalty of the fit.
 MAX_STEPS, PENALTY = 40, 1e-4
+#: Share of all target tokens below which a pass of a bounded solution counts as standing still.
+STILL = 1e-4
+#: Documents of the sample that a feature has to occur in, and the intercept of a domain without evidence.
+MIN_DOCS, NO_EVIDENCE = 5, -30.0
 
 
 #: Bytes at which the classifier's words end, as blanks; A-Z as a-z.
@@ -80,12 +84,16 @@ def _feature_lists(batches):
     for batch in slices(batches, SLICE):
         doc, feature, _ = _features(batch.column("text"))
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(at, feature.astype(np.int32))], names=["label", "present"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(at, pa.array(feature).cast(pa.string()))], names=["label", "present"])
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> LogisticRegressionModel:
-    """Fit domain posteriors on ``labels`` (doc_id, domain). At most about ``max_labelled`` rows of each domain are used,
-    chosen by a hash of their id; their number bounds the broadcast of ids and what is trained on."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (domains x features) and intercepts of domain posteriors fitted on ``labels`` (doc_id, domain).
+
+    At most about ``max_labelled`` rows of each domain are used, chosen by a hash of their id; their number bounds the
+    broadcast of ids and what is trained on. Features of fewer than MIN_DOCS of the sample's documents have weight zero.
+    A domain without any labelled document in ``docs`` has no evidence: a weight of zero and a posterior close to none.
+    """
     number = F.create_map(*[x for n, d in enumerate(domains) for x in (F.lit(d), F.lit(n))])[F.col("domain")]
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), number.cast("double").alias("label")).where("label is not null and label_id is not null")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -95,22 +103,33 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     share = F.create_map(*[x for n, size in sizes.items() for x in (F.lit(n), F.lit(min(1.0, max_labelled / size)))])[F.col("label")]
     chosen = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("label_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "label_id").select("label", "text").mapInArrow(_feature_lists, "label double, present array<int>")
-    vector = F.udf(lambda present: Vectors.sparse(SIZE, present, [1.0] * len(present)), VectorUDT())  # on the sample only
-    rows = saved(rows.select("label", vector("present").alias("features")), "labelled")
+    rows = texts.join(F.broadcast(chosen), "label_id").select("label", "text").mapInArrow(_feature_lists, "label double, present array<string>")
+    rows = saved(rows, "labelled")
+    weights, base = np.zeros((len(domains), SIZE), np.float32), np.full(len(domains), NO_EVIDENCE)
     # each row stands for as many labelled ones as the sample leaves out, so the posteriors keep the domains' true shares
     used = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(used) < len(domains):
-        raise ValueError("the labelled documents of some domain are not in the corpus")
+    found = sorted(map(int, used))
+    if len(found) < len(domains):
+        log.warning("no labelled document of %s is in the corpus", [d for n, d in enumerate(domains) if n not in found])
+    if len(found) < 2:
+        base[found] = 0.0
+        return weights, base
     scale = sum(used.values()) / sum(sizes.values())
     weight = F.create_map(*[x for n, count in used.items() for x in (F.lit(n), F.lit(scale * sizes[n] / count))])[F.col("label")]
-    rows = rows.withColumn("weight", weight)
-    return LogisticRegression(family="multinomial", maxIter=MAX_STEPS, regParam=PENALTY, weightCol="weight", standardization=False).fit(rows)
-
-
-def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, text_col: str) -> DataFrame:
+    place = F.create_map(*[x for at, n in enumerate(found) for x in (F.lit(float(n)), F.lit(float(at)))])[F.col("label")]
+    rows = rows.select("present", weight.alias("weight"), place.alias("label"))
+    words = CountVectorizer(inputCol="present", outputCol="features", minDF=float(MIN_DOCS if rows.count() >= 10 * MIN_DOCS else 1), binary=True, vocabSize=SIZE).fit(rows)
+    rows = words.transform(rows).select("features", "weight", "label")
+    model = LogisticRegression(family="multinomial", maxIter=MAX_STEPS, regParam=PENALTY, weightCol="weight", standardization=False).fit(rows)
+    columns = np.array(words.vocabulary, np.int64)
+    weights[np.ix_(found, columns)] = model.coefficientMatrix.toArray()
+    base[found] = model.interceptVector.toArray()
+    return weights, base
+
+
+def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, rk, n_tokens, p): number of words and domain posteriors of each document."""
-    weights, base = model.coefficientMatrix.toArray().astype(np.float32), model.interceptVector.toArray()
+    weights, base = model
 
     def score(batches):
         for batch in slices(batches, SLICE):
@@ -126,10 +145,15 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel, id_col: str, tex
     return keyed_texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, rk long, n_tokens long, p array<double>")
 
 
+def _bounds(p: np.ndarray, once: int | None):
+    """Least and largest rate of each document. With ``once``, the number of a domain, no rate is above 1 and none of a
+    document that this domain leads is below."""
+    return (0.0, np.inf) if once is None else ((p.argmax(1) == once).astype(float), 1.0)
+
+
 def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], once: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps (one number per domain, and the momentum), and the point the next step starts from. With
-    ``once``, the number of a domain, no rate is above 1 and none of a document that this domain leads is below."""
-    low, high = (0.0, np.inf) if once is None else ((p.argmax(1) == once).astype(float), 1.0)
+    """Rates after the steps (one number per domain, and the momentum), and the point the next step starts from."""
+    low, high = _bounds(p, once)
     rate = ahead = np.ones(len(p))
     for step, momentum in steps:
         new = np.clip(ahead - p @ step, low, high)
@@ -142,49 +166,86 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def solve_rates(scored: DataFrame, targets, k: int, max_steps: int = 100, tolerance: float = 1e-4, once: int | None = None) -> tuple[DataFrame, list[float], list[float]]:
+def batch_sums(p: np.ndarray, n: np.ndarray, steps, once: int | None) -> np.ndarray:
+    """What a pass sums over documents: tokens by domain after the steps and at the point ahead, and the products of
+    domains over documents whose rates can still move."""
+    rate, ahead = _rates(p, steps, once)
+    low, high = _bounds(p, once)
+    free = n * ((rate > low) & (rate < high))
+    return np.concatenate([(rate * n) @ p, (ahead * n) @ p, ((p * free[:, None]).T @ p).ravel()])
+
+
+def descend(totals, goal: np.ndarray, own: np.ndarray, k: int, tolerance: float, once: int | None) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, bool]:
+    """Steps towards the goal; ``totals(steps)`` makes a pass over the documents. Returns the steps, the totals that they
+    reach and whether these are final.
+
+    A step is the projected gradient of the squared distance with the domains' equations whitened by the products of
+    domains over the documents that can still move, so domains that overlap do not hinder each other; it is halved
+    while it brings no progress. With ``once`` the goal may be out of reach, where whitening would move the
+    solution: steps are plain ones then (each equation divided by its own total, a step of 1 never overshoots) with
+    momentum, which starts anew whenever the distance grows.
+    """
+    scale = np.where(own > 0, own, 1.0)
+    distance = lambda x: ((x - goal) ** 2 / scale).sum()
+    near = lambda x: bool((np.abs(x - goal) <= tolerance * np.where(goal > 0, goal, goal.sum() + 1e-9)).all())
+    steps: list[tuple[np.ndarray, float]] = []
+    reached, ahead, products = np.split(totals(steps), [k, 2 * k])
+    pace, before = 1.0, np.inf
+    while not near(reached):
+        if once is None:
+            step = np.linalg.pinv(products.reshape(k, k), rcond=1e-9, hermitian=True) @ (reached - goal)
+            while True:
+                tried = np.split(totals([*steps, (step, 0.0)]), [k, 2 * k])
+                if distance(tried[0]) < (1 - tolerance) * distance(reached):
+                    break
+                step = step / 2
+                if np.abs(step).max() < tolerance**2:
+                    return steps, reached, False
+            steps.append((step, 0.0))
+            reached, _, products = tried
+        else:
+            pace = 1.0 if distance(reached) > before else pace
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            steps.append(((ahead - goal) / scale, (pace - 1) / faster))
+            before, pace, last = distance(reached), faster, reached
+            reached, ahead, _ = np.split(totals(steps), [k, 2 * k])
+            moved = max(np.abs(reached - last).max(), np.abs(ahead - reached).max())
+            if moved <= STILL * goal.sum():
+                return steps, reached, True
+    return steps, reached, True
+
+
+def solve_rates(scored: DataFrame, targets, k: int, tolerance: float = 1e-3, once: int | None = None) -> tuple[DataFrame, list[float], list[float]]:
     """Add rate to ``scored`` (with n_tokens and p): nonnegative rates r that minimise the squared, domain-weighted
     distance of sum(r * n_tokens * p) from the targets. ``targets`` maps the domains' own totals to target totals.
 
-    Steps are projected gradient steps in the norm that weighs each document by its tokens, with every domain's equation
-    divided by its own total. The posteriors of a document sum to one, so the scaled curvature is at most 1 and a
-    step of 1 never overshoots. Momentum (restarted whenever the distance grows) saves most of the passes. Also returns
-    the expected totals reached and the targets.
+    Every pass sends the steps so far, a few numbers each, and gets sums over domains back. Passes end when every
+    domain's total is within ``tolerance`` of its target or, where no step brings that nearer, with a warning. Also
+    returns the expected totals reached and the targets.
 
     With ``once``, the number of a domain, rates are at most 1, and 1 for the documents that this domain leads. The
-    targets may be out of reach then; steps end once the totals stand still.
+    targets may be out of reach then; passes end once the totals stand still.
     """
+    width = 2 * k + k * k
 
-    def totals(steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
+    def totals(steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
         def run(batches):
+            out = np.zeros(width)
             for batch in batches:
-                p, n = _matrix(batch.column("p"), k), batch.column("n_tokens").to_numpy()
-                rate, ahead = _rates(p, steps, once)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array((rate * n) @ p), pa.array((ahead * n) @ p)], names=["domain", "tokens", "ahead"])
+                out += batch_sums(_matrix(batch.column("p"), k), batch.column("n_tokens").to_numpy(), steps, once)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(out)], names=["entry", "value"])
 
-        rows = scored.select("n_tokens", "p").mapInArrow(run, "domain int, tokens double, ahead double")
-        out = np.zeros((2, k))
-        for row in rows.groupBy("domain").agg(F.sum("tokens").alias("tokens"), F.sum("ahead").alias("ahead")).collect():
-            out[:, row["domain"]] = row["tokens"], row["ahead"]
-        return out[0], out[1]
+        rows = scored.select("n_tokens", "p").mapInArrow(run, "entry int, value double")
+        out = np.zeros(width)
+        for row in rows.groupBy("entry").agg(F.sum("value").alias("value")).collect():
+            out[row["entry"]] = row["value"]
+        return out
 
-    own, ahead = totals([])
+    own = totals([])[:k]
     goal = np.asarray(targets(own), float)
-    scale = np.where(own > 0, own, 1.0)
-    steps: list[tuple[np.ndarray, float]] = []
-    reached, before, pace = own, np.inf, 1.0
-    still, near = False, tolerance * max(goal.sum(), 1e-9)
-    while len(steps) < max_steps and not still and np.abs(reached - goal).max() > near:
-        distance = ((reached - goal) ** 2 / scale).sum()
-        if distance > before:
-            pace = 1.0
-        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        steps.append(((ahead - goal) / scale, (pace - 1) / faster))
-        before, pace, last = distance, faster, reached
-        reached, ahead = totals(steps)
-        still = once is not None and max(np.abs(reached - last).max(), np.abs(ahead - reached).max()) <= near / 100
-    if not still and np.abs(reached - goal).max() > near:
-        log.warning("the rates still changed after %d steps: tokens by domain %s, targets %s", max_steps, reached.tolist(), goal.tolist())
+    steps, reached, final = descend(totals, goal, own, k, tolerance, once)
+    if not final:
+        log.warning("the targets cannot be reached: tokens by domain %s, targets %s after %d steps", reached.tolist(), goal.tolist(), len(steps))
 
     columns = scored.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema) + ", rate double"
@@ -204,8 +265,9 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], kee
     largest that needs no domain more than once or, with ``keep_domain``, the one that keeps all of that domain.
 
     Null texts have no tokens and get posteriors of an empty text. Repeated rows are documents of their own. Labels
-    without a document, of other domains or null are left out; a domain without any labelled document is an error. An
-    empty table gives an empty result. Further columns are not read.
+    without a document, of other domains or null are left out; a domain without any label is an error, one whose labelled
+    documents are not in the corpus gets posteriors close to none. An empty table gives an empty result. Further columns
+    are not read.
     """
     domains = sorted(weights)
     rated, _, _ = _rated(docs, labels, weights, keep_domain, id_col, text_col, max_labelled)
@@ -236,6 +298,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
 
     A document is taken once at most, so rates are solved for between 0 and 1; documents that ``keep_domain`` leads have
     rate 1 and stay for certain. What then is out of reach shows in the log: tokens by domain wanted, expected and taken.
+
+    Null and empty texts have no tokens, and are judged by the posteriors of an empty text like any other. Rows equal in id
+    and text are taken or left together; a null id is an id. An empty table gives an empty one; all columns stay as they
+    are, whatever their names.
     """
     rated, reached, goal = _rated(docs, labels, weights, keep_domain, id_col, text_col, once=True)
     chance = F.pmod(F.xxhash64("doc_id", "rk"), F.lit(1 << 20)) / (1 << 20)

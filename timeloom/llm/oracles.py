@@ -19,14 +19,11 @@ QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(t
 win AS (SELECT doc_id, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
 rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rw AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM rep, range(5) t(k) GROUP BY doc_id),
-ln AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS raw FROM d),
+ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS raw FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM ln WHERE trim(raw, {_BLANK}) <> '' GROUP BY doc_id),
-nl AS (SELECT doc_id, host, lower(trim(raw, {_BLANK})) AS line FROM ln WHERE trim(raw, {_BLANK}) <> ''),
-k AS (SELECT *, substr(md5(line), 1, 16) AS code FROM nl),
-o AS (SELECT doc_id, host, list_sort(list(DISTINCT code)) AS codes FROM k GROUP BY doc_id, host),
-mates AS (SELECT k.host, k.line, CASE WHEN code = codes[1] THEN coalesce(codes[2], '') ELSE codes[1] END AS mate FROM k JOIN o USING (doc_id)),
-common AS (SELECT host, line FROM mates GROUP BY host, line HAVING count(DISTINCT mate) > 20),
-cw AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n FROM k WHERE (host, line) IN (SELECT (host, line) FROM common) GROUP BY doc_id),
+nl AS (SELECT doc_id, host, text, lower(trim(raw, {_BLANK})) AS line FROM ln WHERE trim(raw, {_BLANK}) <> ''),
+common AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(DISTINCT text) > 20),
+cw AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n FROM nl WHERE (host, line) IN (SELECT (host, line) FROM common) GROUP BY doc_id),
 s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
   coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(cw.n, 0) AS common_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN cw USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

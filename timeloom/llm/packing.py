@@ -10,6 +10,7 @@ closes hardly any: what stays open then cannot be filled, and its groups are fin
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -51,77 +52,90 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, passes: int = 2) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchanges between underfull bins that increase the sum of squared fills; empty bins go.
 
-    For each bin, fullest first, the exchange that fills it most is looked for among the less filled bins: a move of
-    one piece, one piece for one, or two pieces of one bin for one. Every exchange fills the fuller bin further, so
-    the sum grows and the search ends; ``passes`` bounds it.
+    For each underfull bin, fullest first, the exchange that fills it most is looked for among all less filled ones: a
+    move of one piece, one piece for one, or two pieces of one bin for one. Every exchange fills the fuller bin further,
+    so the sum grows; the search ends when none is left.
     """
     size = sizes.tolist()
     fill = [sum(size[p] for p in b) for b in bins]
-    for _ in range(passes):
-        under = sorted((at for at in range(len(bins)) if 0 < fill[at] < capacity), key=lambda at: fill[at])
-        rank = {at: n for n, at in enumerate(under)}
-        stock = sorted((size[p], rank[at], p, at) for at in under for p in bins[at])
+    spare = int(capacity * CLOSED)
+    changed = True
+    while changed:
         changed = False
+        under = sorted((at for at in range(len(bins)) if 0 < fill[at] < capacity - spare), key=lambda at: fill[at])
+        stock = sorted((size[p], p, at) for at in under for p in bins[at])  # pieces of the bins not yet looked at
+        pairs = sorted(x for at in under for x in _pair_sums(bins[at], size, at))  # and their pairs, some out of date
+        rank = {at: n for n, at in enumerate(under)}
 
-        def take(low: int, high: int, target: int):
-            """The largest piece with low < size <= high in a bin that is less filled than ``target``."""
-            n = bisect_right(stock, (high, len(bins) + 1)) - 1
-            tries = 0
-            while n >= 0 and stock[n][0] > low and tries < 64:
-                if stock[n][3] != target and fill[stock[n][3]] <= fill[target]:
-                    return stock[n]
+        def within(low: int, high: int):
+            """The largest piece in stock with low < size <= high."""
+            n = bisect_right(stock, (high, len(size), 0)) - 1  # noqa: B023
+            return stock[n] if n >= 0 and stock[n][0] > low else None  # noqa: B023
+
+        def forgo(p: int, at: int) -> None:
+            del stock[bisect_left(stock, (size[p], p, at))]  # noqa: B023
+
+        def pair_within(low: int, high: int, last: int):
+            """The two pieces of one bin with the largest low < sum <= high, and the bin."""
+            n = bisect_right(pairs, (high, len(bins), 0, 0)) - 1  # noqa: B023
+            while n >= 0 and pairs[n][0] > low:  # noqa: B023
+                _, at, x, y = pairs[n]  # noqa: B023
+                own = {} if rank[at] >= last else {size[p]: p for p in bins[at]}  # noqa: B023
+                if x != y and x in own and y in own:
+                    return [own[x], own[y]], at
+                twice = [p for p in bins[at] if size[p] == x] if x == y and own else []
+                if len(twice) > 1:
+                    return twice[:2], at
+                del pairs[n]  # noqa: B023
                 n -= 1
-                tries += 1
             return None
 
-        def carry(p: int, source: int, target: int) -> None:
-            n = bisect_left(stock, (size[p], rank[source], p, source))
-            del stock[n]
-            insort(stock, (size[p], rank[target], p, target))
-            bins[source].remove(p)
-            bins[target].append(p)
-            fill[source] -= size[p]
-            fill[target] += size[p]
-
-        for target in reversed(under):
-            while 0 < fill[target] < capacity:
+        for n in range(len(under) - 1, -1, -1):
+            target = under[n]
+            for p in bins[target]:
+                forgo(p, target)
+            while 0 < fill[target] < capacity - spare:
                 gap = capacity - fill[target]
-                best = None  # (gain, pieces in, source, piece out)
-                found = take(0, gap, target)
-                if found:
-                    best = (found[0], [found[2]], found[3], None)
-                for p in sorted(set(bins[target]), key=lambda p: size[p]):
-                    if best and best[0] == gap:
-                        break
-                    found = take(size[p] + (best[0] if best else 0), size[p] + gap, target)
+                found = within(0, gap)
+                best = (found[0], [found[1]], found[2], None) if found else (0, [], None, None)  # gain, in, source, out
+                for p in {size[p]: p for p in bins[target]}.values():
+                    found = within(size[p] + best[0], size[p] + gap)
                     if found:
-                        best = (found[0] - size[p], [found[2]], found[3], p)
-                if not best or best[0] < gap:
-                    lowest = next((at for at in under if fill[at] and at != target), None)
-                    if lowest is not None and fill[lowest] <= fill[target] and len(bins[lowest]) <= 64:
-                        own = sorted(bins[lowest], key=lambda p: size[p])
-                        have = [size[p] for p in own]
-                        for p in bins[target]:
-                            for n, first in enumerate(own):
-                                m = bisect_right(have, size[p] + gap - size[first]) - 1
-                                if m > n and have[m] + size[first] - size[p] > (best[0] if best else 0):
-                                    best = (have[m] + size[first] - size[p], [first, own[m]], lowest, p)
-                if not best:
+                        best = (found[0] - size[p], [found[1]], found[2], p)
+                for p in {size[p]: p for p in bins[target]}.values():
+                    found = pair_within(size[p] + best[0], size[p] + gap, n)
+                    if found:
+                        best = (sum(size[x] for x in found[0]) - size[p], *found, p)
+                gain, pieces, source, out = best
+                if not gain:
                     break
                 changed = True
-                _, pieces, source, out = best
-                if out is not None:
-                    carry(out, target, source)
                 for p in pieces:
-                    carry(p, source, target)
-        if not changed:
-            break
+                    forgo(p, source)
+                    bins[source].remove(p)
+                    bins[target].append(p)
+                if out is not None:
+                    bins[target].remove(out)
+                    bins[source].append(out)
+                    insort(stock, (size[out], out, source))
+                    for x in _pair_sums(bins[source], size, source):
+                        if size[out] in x[2:]:
+                            insort(pairs, x)
+                fill[target] += gain
+                fill[source] -= gain
     return [b for b in bins if b]
 
 
+def _pair_sums(content: list[int], size: list[int], at: int) -> list[tuple[int, int, int, int]]:
+    """(sum, bin, first size, second size) of all pairs of different pieces of a bin, equal sizes once."""
+    count = Counter(size[p] for p in content)
+    sizes = sorted(count)
+    return [(x + y, at, x, y) for n, x in enumerate(sizes) for y in (sizes[n:] if count[x] > 1 else sizes[n + 1 :])]
+
+
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return local_search(best_fit(sizes, capacity), sizes, capacity)
 
@@ -151,9 +165,13 @@ def _fit(columns: list[str], size_col: str, capacity: int, number: int, last: bo
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, size_col: str = "length", group_rows: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces with a size between 1 and ``capacity``; offsets of a sequence are gapless.
 
-    Sequence ids are numbers without further meaning. Extra columns stay. An empty table gives an empty one.
+    Rounds follow one another while each closes PROGRESS of its pieces at least, so they end for any sizes. Sequence ids
+    are numbers without further meaning. Extra columns stay, but one called sequence_id or offset is an error. Repeated
+    rows are pieces of their own; ties in size go by the order of rows. An empty table gives an empty one.
     """
     columns = pieces.columns
+    if {"sequence_id", "offset", "pack_group", "pack_open"} & set(columns):
+        raise ValueError("sequence_id, offset, pack_group and pack_open are names of the result")
     own = pieces.schema
     pieces = saved(pieces, "pieces")
     done: list[DataFrame] = []
@@ -165,8 +183,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, size_col: str = "length
             break
         last = groups == 1
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", sequence_id long, offset long, pack_open boolean"
-        keys = [c for c in columns if c != "ids"]
-        dealt = rest.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(number), *keys), F.lit(groups)))
+        # by the place in the saved table, so that rows that repeat are dealt to many groups like others
+        dealt = rest.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(number), F.monotonically_increasing_id()), F.lit(groups)))
         packed = dealt.groupBy("pack_group").applyInArrow(_fit(columns, size_col, capacity, number, last), ddl)
         if last:
             done.append(packed.drop("pack_open"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keyed_texts, same_doc
+from .common import BLANKS, keyed_texts, same_doc, saved
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -76,7 +76,7 @@ def frequent_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: s
     entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.size(F.split(line, _GAP)).alias("words")))
     base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("whole"), "host", entry.alias("entries"))
     lines = base.select("doc_id", "rk", "whole", "host", F.posexplode("entries").alias("at", "e"))
-    lines = lines.select("doc_id", "rk", "whole", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words"))
+    lines = saved(lines.select("doc_id", "rk", "whole", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words")), "host-lines")
     per = lines.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     common = per.where(F.col("docs") > max_docs).select("host", "h")
     removed = lines.join(common, ["host", "h"], "left_semi").groupBy("doc_id", "rk", "at").agg(F.max("words").alias("words"))
@@ -118,7 +118,8 @@ def quality_rules(
 
 
 def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are, whatever their names. Null,
+    empty and blank texts have too few words and go. Rows equal in id and text stay or go together."""
     judged = quality_rules(docs, id_col, text_col, host_col)
     rejected = judged.where("not kept").select("doc_id", "rk").distinct()
     keyed = keyed_texts(docs, id_col, text_col, carry=True)

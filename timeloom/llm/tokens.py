@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_parts
+from .common import slices, utf8_parts
 
-#: Words a worker remembers; bounds memory, not results.
-REMEMBERED = 1 << 20
+#: Bytes of remembered words in a worker, and what an entry takes besides its word and ids; bound memory, not results.
+ROOM, ENTRY = 24 << 20, 250
+#: Bytes of texts in one unit of work.
+SLICE = 1 << 19
 #: White space that Python and the tokeniser see alike, and what needs the tokeniser itself on the whole text:
 #: separators that only Python counts as space, and the marks of special tokens.
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
@@ -50,6 +52,7 @@ class WordIds:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def shared(cls, path: str) -> WordIds:
@@ -76,7 +79,7 @@ class WordIds:
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; remembered while there is room."""
+        """Ids of new words, remembered. Where there is no room all is forgotten first: frequent words come back soon."""
         memory, split, units, odd = self.memory, [], set(), []
         for word in words:
             core = word.rstrip(_MARKS)
@@ -92,8 +95,12 @@ class WordIds:
             known[word] = first + (known.get(marks) or memory[marks]) if marks else first
         for word, encoding in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
             known[word] = np.array(encoding.ids, "<u4").tobytes()
-        if len(memory) < REMEMBERED:
-            memory.update(known)
+        size = sum(ENTRY + len(word) + len(ids) for word, ids in known.items())
+        if self.held + size > ROOM:
+            self.memory, self.held = {}, 0
+        if size <= ROOM:
+            self.memory.update(known)
+            self.held += size
         return known
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -123,7 +130,11 @@ def token_pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, capacity: int = 4096, with_ids: bool = False
 ) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document (its ids, then ``end_id``): doc_id, piece, start, length,
-    ids_crc32 (unsigned) and, if ``with_ids``, ids. Null text is empty: one piece that holds ``end_id``."""
+    ids_crc32 (unsigned) and, if ``with_ids``, ids.
+
+    Null text is empty: one piece that holds ``end_id``. Rows that repeat an id give pieces of their own, each row by
+    itself; a null id stays null. An empty table gives an empty result. Further columns are not read, so none clashes.
+    """
     path = path or default_vocabulary()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -135,19 +146,17 @@ def token_pieces(
 
     def run(batches):
         coder = WordIds.shared(path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                row, rows = [], []
-                for doc, ids in enumerate(coder.texts(part.column("text").to_pylist())):
-                    ids += tail
-                    for at in range(0, len(ids), step):
-                        piece = ids[at : at + step]
-                        row.append(doc)
-                        rows.append((at // step, at // 4, len(piece) // 4, zlib.crc32(piece)) + ((np.frombuffer(piece, "<i4"),) if with_ids else ()))
-                if rows:
-                    columns = [pa.array(c, f[1]) for c, f in zip(zip(*rows), fields[1:])]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row))] + columns, names=[f[0] for f in fields])
+        for part in slices(batches, SLICE):
+            row, rows = [], []
+            for doc, ids in enumerate(coder.texts(part.column("text").to_pylist())):
+                ids += tail
+                for at in range(0, len(ids), step):
+                    piece = ids[at : at + step]
+                    row.append(doc)
+                    rows.append((at // step, at // 4, len(piece) // 4, zlib.crc32(piece)) + ((np.frombuffer(piece, "<i4"),) if with_ids else ()))
+            if rows:
+                columns = [pa.array(c, f[1]) for c, f in zip(zip(*rows), fields[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row))] + columns, names=[f[0] for f in fields])
 
     return texts.mapInArrow(run, ddl)
 
@@ -202,6 +211,15 @@ class PieceCounter:
             level = later
         self.link, self.popped = link, popped
 
+    _shared: dict[str, "PieceCounter"] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> PieceCounter:
+        """The counter of a vocabulary file, built once a worker."""
+        if path not in cls._shared:
+            cls._shared[path] = cls(vocabulary_pieces(path))
+        return cls._shared[path]
+
     def count(self, word: bytes) -> int:
         """Number of pieces of a word, or -1 if no sequence of greedy pieces spells it."""
         children, link, popped = self.children, self.link, self.popped
@@ -251,9 +269,12 @@ def piece_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        counter = PieceCounter(vocabulary_pieces(path))
+        counter = PieceCounter.shared(path)
         memory: dict[bytes, int] = {}
-        for batch in batches:
+        held = 0
+        for batch in slices(batches, SLICE):
+            if held > ROOM:
+                memory, held = {}, 0
             raw, offsets = utf8_parts(batch.column("text"))
             data = raw.tobytes()
             rows = []
@@ -264,9 +285,10 @@ def piece_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for at, known in enumerate(counts):
                         if known is None:
                             word = words[at]
-                            counts[at] = known = memory.get(word) or counter.count(word)
-                            if len(memory) < REMEMBERED:
-                                memory[word] = known
+                            if word not in memory:
+                                memory[word] = counter.count(word)
+                                held += ENTRY + len(word)
+                            counts[at] = memory[word]
                 total = sum(counts)
                 unknown = counts.count(-1)
                 rows.append((len(words), total + 2 * unknown, unknown))
