@@ -106,6 +106,26 @@ def test_passage_removal(spark, shard_bytes):
     assert rlz.remove_passages(empty(spark)).count() == 0
 
 
+def thue_morse(n):
+    return [bin(k).count("1") & 1 for k in range(n)]
+
+
+@pytest.mark.parametrize("weak", [False, True], ids=["thue-morse", "colliding"])
+def test_words_are_compared(spark, weak, monkeypatch):
+    """Passages that agree in every word but one stay, though hashes modulo 2**64, or words' own hashes, collide."""
+    if weak:
+        from timeloom.llm import rolling
+
+        monkeypatch.setattr(rolling, "mixed", lambda x: x & np.uint64(0xFF))
+    plain, turned = ("".join("ab"[b ^ flip] for b in thue_morse(2048)) for flip in (0, 1))
+    around = [f"w{n}" for n in range(19)]
+    texts = [(1, " ".join([*around[:9], plain, *around[9:]])), (2, " ".join([*around[:9], turned, *around[9:]])), (3, " ".join(["x", *around[:9], plain, *around[9:], "y"]))]
+    found = by_id(rlz.remove_passages(table(spark, texts), window_words=20), "n_removed")
+    assert found == {1: [(0,)], 2: [(0,)], 3: [(20,)]}
+    same = by_id(suffix.remove_repeats(table(spark, [(1, plain), (2, turned), (3, "q" + plain + "r")]), min_bytes=2048), "n_removed")
+    assert same == {1: [(2048,)], 2: [(0,)], 3: [(2048,)]}
+
+
 def test_golay_keys_meet():
     golay, chance = simhash.Golay(), np.random.default_rng(2)
     fps = chance.integers(0, 1 << 63, 400).astype(np.int64)

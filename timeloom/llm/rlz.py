@@ -1,11 +1,12 @@
 """Exact removal of repeated passages by relative Lempel-Ziv parsing.
 
 A window is ``window_words`` consecutive words. A word goes if a window that covers it repeats one that starts earlier
-(smaller id, or earlier in the same document). Runs of windows meet by their minimiser (``rolling``), so each shard's
-reference block holds every text that can match inside it. A block lists its contents by first place and indexes their
-windows; each content is parsed greedily against the block: where a window stands earlier, the factor is extended
-word by word as far as text and reference agree, all windows inside it are repeats, and parsing goes on with the
-windows that cross the factor's boundary. Factors shorter than a window are left as they are.
+(smaller id, or earlier in the same document). Runs of windows meet by their minimiser (``fragments``), so each shard's
+reference block holds every text that can match inside it. A block lists its contents by first place, numbers their
+words, and indexes their windows by exact ranks; each content is parsed greedily against the block: where a window stands
+earlier, the factor is extended word by word as far as text and reference agree, all windows inside it are repeats, and
+parsing goes on with the windows that cross the factor's boundary. Factors shorter than a window are left as they are.
+Later places of a whole content (equal 128-bit digests) are factors known before any text moves.
 """
 
 from __future__ import annotations
@@ -18,26 +19,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import same_doc, utf8_parts
-from .fragments import candidates, contents, hot_windows, merged_cover, texts, with_symbols
-from .rolling import gram_hash, prefix, word_bounds
+from .fragments import distinct_contents, merged_cover, repeats, texts
 
 #: Length of the minimiser's gram in words.
 GRAM = 4
 
-PLACED = "doc_id long, rk long, start long, n int"
+
+def window_ranks(block: np.ndarray, width: int) -> np.ndarray:
+    """A number for every ``width`` consecutive symbols, the same for the same symbols only: pairs of numbers of half the
+    length are numbered, by doubling."""
+    ranks, size = block.astype(np.int64), 1
+    while size < width:
+        step = min(size, width - size)
+        pairs = ranks[:-step] * (int(ranks.max(initial=0)) + 1) + ranks[step:]
+        ranks = np.unique(pairs, return_inverse=True)[1]
+        size += step
+    return ranks
 
 
 def parse_block(parts: list[np.ndarray], windows: np.ndarray, width: int):
-    """Parse each part against the parts and windows before it; parts are in the order of their first place.
+    """Parse each part (an array of word numbers) against the parts and windows before it; parts are in the order of
+    their first place.
 
     Returns runs (part, first window, count) of windows that stand earlier in the block.
     """
     sizes = np.array([len(x) for x in parts])
     begin = np.cumsum(sizes) - sizes
     block = np.concatenate(parts)
-    grams = gram_hash(prefix(block), width)
     starts = np.concatenate([np.arange(b, b + w) for b, w in zip(begin, windows)])
-    keys = grams[starts]
+    keys = window_ranks(block, width)[starts]
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
@@ -58,8 +68,8 @@ def parse_block(parts: list[np.ndarray], windows: np.ndarray, width: int):
             source = index[at]
             stop = ends[np.searchsorted(begin, source, "right") - 1]
             length = min(ends[part] - at, stop - source)
-            differ = block[at + width : at + length] != block[source + width : source + length]
-            length = width + int(differ.argmax()) if differ.any() else length
+            differ = block[at : at + length] != block[source : source + length]
+            length = int(differ.argmax()) if differ.any() else length
             count = min(length - width + 1, last - at + 1)
             found.append((part, at - begin[part], count))
             after = np.searchsorted(own, at + count)  # windows across the boundary are looked up anew
@@ -75,10 +85,10 @@ def _parse(width: int):
         if table.column("doc_id").null_count:  # a null id stands before all others
             nulls = table.column("doc_id").is_null().to_numpy()
             table = table.take(pa.array(np.argsort(~nulls, kind="stable")))
-        key = np.rec.fromarrays([table.column(x).to_numpy() for x in ("anchor", "fhash", "windows")])
-        _, keep = np.unique(key, return_index=True)
-        table = table.take(pa.array(np.sort(keep)))
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+        table = distinct_contents(table)
+        lists = [data.split() for data in table.column("data").to_pylist()]
+        number: dict[bytes, int] = {}
+        parts = [np.array([number.setdefault(w, len(number)) for w in own], np.int64) for own in lists]
         found = parse_block(parts, table.column("windows").to_numpy(), width)
         part, at, n = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         rows = table.select(["doc_id", "rk", "start"]).take(pa.array(part))
@@ -91,24 +101,7 @@ def _parse(width: int):
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window_words: int) -> tuple[DataFrame, DataFrame]:
     """Keyed texts, and for each of them its runs of windows that stand earlier: (doc_id, rk, spans)."""
     keyed = texts(docs, id_col, text_col)
-    found = candidates(keyed, window_words, min(GRAM, window_words), words=True)
-    folded, shards, any_hot = contents(found, window_words, 8)
-    # a content alone under its minimiser, and without a repeat of its own, has nothing to be parsed against
-    met = folded.groupBy("anchor").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).where("n > 1 or weight > 1").select("anchor")
-    cut = with_symbols(keyed, folded.where("not hot").join(met, "anchor", "left_semi"), window_words, True, shards)
-    placed = cut.groupBy("shard").applyInArrow(_parse(window_words), PLACED)
-    if any_hot:
-        single = hot_windows(with_symbols(keyed, folded.where("hot"), window_words, True, shards), window_words, True)
-        single = single.select("anchor", "whash", "doc_id", "rk", (F.col("start") + F.col("at")).alias("start"))
-        first = single.groupBy("anchor", "whash").agg(F.min(F.struct("doc_id", "rk", "start")).alias("first"), F.max(F.struct("doc_id", "rk", "start")).alias("last"))
-        first = first.where("first <> last").select("anchor", "whash", "first")
-        later = single.join(first, ["anchor", "whash"]).where(F.struct("doc_id", "rk", "start") != F.col("first"))
-        placed = placed.unionByName(later.select("doc_id", "rk", "start", F.lit(1).alias("n")))
-    # every later place of a content repeats it whole: one factor
-    copies = folded.where("copies > 1").select("anchor", "fhash", "windows", F.struct("doc_id", "rk", "start").alias("first"))
-    whole = found.join(copies, ["anchor", "fhash", "windows"])
-    whole = whole.where(~F.struct("doc_id", "rk", "start").eqNullSafe(F.col("first"))).select("doc_id", "rk", "start", F.col("windows").alias("n"))
-    placed = placed.unionByName(whole)
+    placed = repeats(keyed, window_words, min(GRAM, window_words), True, _parse(window_words), ordered=True)
     return keyed, placed.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

@@ -72,15 +72,16 @@ def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
 def window_runs(values: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     """Runs of all documents whose symbols stand end to end in ``values`` with bounds ``offsets``.
 
-    Returns arrays (start, windows, minimiser, span_hash, weight) over the runs; start is an index into ``values``.
-    weight is 2 where the minimiser stands more than once inside the run (windows of one run may then be equal).
+    Returns arrays (start, windows, minimiser, spot, weight) over the runs; start and spot, where the minimiser stands
+    first, are indices into ``values``. weight is 2 where it stands more than once inside the run (windows of one run may
+    then be equal).
     """
     n = len(values)
     empty = np.zeros(0, np.int64)
     starts, lengths = offsets[:-1], np.diff(offsets)
     long_enough = lengths >= width
     if not long_enough.any():
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
+        return empty, empty, empty.astype(np.uint64), empty, empty
     sums = prefix(values)
     grams = gram_hash(sums, gram)
     reach = width - gram + 1
@@ -103,14 +104,17 @@ def window_runs(values: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     anchors = np.flatnonzero(highest == grams)
     low = np.searchsorted(anchors, first)
     high = np.searchsorted(anchors, last + reach)
-    weight = np.zeros(len(first), np.int64)
+    weight, spot = np.zeros(len(first), np.int64), first.copy()
     active = np.arange(len(first))
     values_at = grams[anchors]
     while len(active):
         active = active[(low[active] < high[active]) & (weight[active] < 2)]
-        weight[active] += values_at[low[active]] == keys[active]
+        met = values_at[low[active]] == keys[active]
+        new = active[met & (weight[active] == 0)]
+        spot[new] = anchors[low[new]]
+        weight[active] += met
         low[active] += 1
-    return first, windows, keys, span_hash(sums, first, last + width), np.maximum(weight, 1)
+    return first, windows, keys, spot, np.maximum(weight, 1)
 
 
 def chunks(offsets: np.ndarray, limit: int, overlap: int | None):

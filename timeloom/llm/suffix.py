@@ -1,8 +1,8 @@
 """Exact substring removal with suffix arrays.
 
 A string of ``min_bytes`` bytes that starts at two or more places is a repeat; every byte that a repeat covers goes.
-Equal strings share their minimiser (``rolling``), so shards dealt by minimiser decide alone. Inside a shard the
-contents stand end to end; its suffix array comes from induced sorting - classify suffixes, sort the leftmost-smaller
+Equal strings share their minimiser (``rolling``), so shards dealt by minimiser (``fragments``) decide alone, byte by
+byte; what stands twice as a whole, by its 128-bit digest, is counted there before. Inside a shard the contents stand end to end; its suffix array comes from induced sorting - classify suffixes, sort the leftmost-smaller
 (LMS) substrings recursively, induce all others in two linear sweeps - and neighbours' common prefixes from the permuted
 array, of which only the irreducible entries are compared and the rest follow by counting down. The sweeps go bucket
 by bucket, each bucket as one vector operation.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import same_doc, utf8_parts
-from .fragments import candidates, contents, hot_windows, merged_cover, texts, with_symbols
+from .fragments import distinct_contents, merged_cover, repeats, texts
 
 #: Length of the minimiser's gram in bytes.
 GRAM = 24
@@ -243,18 +243,16 @@ def repeated_starts(parts: list[bytes], windows: np.ndarray, copies: np.ndarray,
 
 # ---- the operator --------------------------------------------------------------------------------------------------
 
-SPANS = "anchor long, fhash long, windows int, at int, n int"
-
 
 def _decide(width: int):
     def shard(table: pa.Table) -> pa.Table:
-        key = np.rec.fromarrays([table.column(x).to_numpy() for x in ("anchor", "fhash", "windows")])
-        _, keep = np.unique(key, return_index=True)
-        table = table.take(pa.array(keep))
-        part, at, n = repeated_starts(table.column("data").to_pylist(), table.column("windows").to_numpy(), table.column("copies").to_numpy(), width)
-        once = table.column("copies").to_numpy()[part] == 1  # the others are known to repeat whole
-        rows = table.select(["anchor", "fhash", "windows"]).take(pa.array(part[once]))
-        return rows.append_column("at", pa.array(at[once].astype(np.int32))).append_column("n", pa.array(n[once].astype(np.int32)))
+        table = distinct_contents(table)
+        copies = table.column("copies").to_numpy()
+        part, at, n = repeated_starts(table.column("data").to_pylist(), table.column("windows").to_numpy(), copies, width)
+        once = copies[part] == 1  # the others are known to repeat whole
+        rows = table.select(["doc_id", "rk", "start"]).take(pa.array(part[once]))
+        start = rows.column("start").to_numpy() + at[once]
+        return pa.table([rows.column("doc_id"), rows.column("rk"), pa.array(start), pa.array(n[once].astype(np.int32))], names=["doc_id", "rk", "start", "n"])
 
     return shard
 
@@ -262,25 +260,8 @@ def _decide(width: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200) -> tuple[DataFrame, DataFrame]:
     """Keyed texts, and for each of them its runs of repeated window starts: (doc_id, rk, spans: array of (start, n))."""
     keyed = texts(docs, id_col, text_col)
-    gram = min(GRAM, min_bytes)
-    found = candidates(keyed, min_bytes, gram, words=False)
-    folded, shards, any_hot = contents(found, min_bytes, 1)
-    # a content that stands twice repeats whole; only minimisers that have a content standing once are to be sorted
-    open_keys = folded.where("copies = 1").select("anchor").distinct()
-    whole = folded.where("copies > 1").select("anchor", "fhash", "windows", F.lit(0).alias("at"), F.col("windows").alias("n"))
-    cut = with_symbols(keyed, folded.where("not hot").join(open_keys, "anchor", "left_semi"), min_bytes, False, shards)
-    spans = cut.groupBy("shard").applyInArrow(_decide(min_bytes), SPANS)
-    spans = spans.unionByName(whole)
-    if any_hot:
-        single = hot_windows(with_symbols(keyed, folded.where("hot"), min_bytes, False, shards), min_bytes, False)
-        single = single.dropDuplicates(["anchor", "fhash", "windows", "at"])
-        twice = single.groupBy("anchor", "whash").agg(F.sum("copies").alias("n")).where("n >= 2")
-        spans = spans.unionByName(single.join(twice.drop("n"), ["anchor", "whash"], "left_semi").select("anchor", "fhash", "windows", "at", F.lit(1).alias("n")))
-    # one row a content, so that the join gives one row for each place of a content, however its spans are parted
-    listed = spans.groupBy("anchor", "fhash", "windows").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    placed = found.join(listed, ["anchor", "fhash", "windows"])
-    placed = placed.select("doc_id", "rk", F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["n"].alias("n"))).alias("spans"))
-    return keyed, placed.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    placed = repeats(keyed, min_bytes, min(GRAM, min_bytes), False, _decide(min_bytes), ordered=False)
+    return keyed, placed.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, with_kept: bool = True) -> DataFrame:
