@@ -195,7 +195,9 @@ def near_copies():
     return texts
 
 
-def test_similar_documents(spark):
+@pytest.mark.parametrize("block", [1 << 19, 2000], ids=["one-tile", "tiles"])
+def test_similar_documents(spark, block, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", block)
     texts = near_copies()
     root = similar_roots(texts)
     found = {}

@@ -265,17 +265,17 @@ def repeats(keyed: DataFrame, width: int, gram: int, words: bool, decide, ordere
     folded = saved(_folded(places), "contents")
     found = [_whole(places, folded, ordered)]
     chosen, hot = _dealt(saved(_meeting(folded, ordered), "meeting"), width, 7 if words else 1, gram == width)
-    cut = _with_data(keyed, chosen, width, words)
+    cut = saved(_with_data(keyed, chosen, width, words), "cut")
     while hot:
-        cut = saved(cut, "cut")
         found.append(cut.where("shard >= 0").groupBy("shard").applyInArrow(decide, PLACED))
         gram = width - (width - gram) // 2
         run, ddl = _parted(width, gram, words)
-        places = _repeated(saved(cut.where("shard < 0").dropDuplicates(["h1", "h2"]).mapInArrow(run, ddl), "parts"), "candidates")
+        # repeated rows give their contents twice, but these stand twice and are known to repeat, so no count goes wrong
+        places = _repeated(saved(cut.where("shard < 0").mapInArrow(run, ddl), "parts"), "candidates")
         folded = saved(_folded(places, F.min("data").alias("data")), "contents")
         found.append(_whole(places, folded, ordered))
         chosen, hot = _dealt(saved(_meeting(folded, ordered), "meeting"), width, 7 if words else 1, gram == width)
-        cut = chosen.select(*[name for name, _ in _CUT])
+        cut = saved(chosen.select(*[name for name, _ in _CUT]), "cut")
     out = cut.groupBy("shard").applyInArrow(decide, PLACED)
     for part in found:
         out = out.unionByName(part)
