@@ -14,6 +14,9 @@ UNIT_ENDINGS = (
 #: Phrases that recognisers make up where nobody speaks.
 BLOCKED_PHRASES = ("ごめん", "ありがとうございました", "ありがとうございます", "ご視聴ありがとうございました")
 
+#: The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _CUT = "\x01"
 
 
@@ -23,7 +26,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def clean_text(text: Column) -> Column:
@@ -66,8 +69,12 @@ def looks_like_garbage_cjk(text: Column) -> Column:
 
 def char_ngrams(text: Column, size: int = 2) -> Column:
     """Distinct n-grams; a text no longer than one is its only one."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), lambda at: F.substring(text, at, F.lit(size)))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.array_distinct(grams))
+
+    def grams(chars: Column) -> Column:
+        spots = F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0)))
+        return F.array_distinct(F.transform(spots, lambda at: F.concat(*[F.get(chars, at + n) for n in range(size)])))
+
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(let(F.split(text, ""), grams))
 
 
 def text_similarity(left: Column, right: Column) -> Column:
@@ -75,8 +82,8 @@ def text_similarity(left: Column, right: Column) -> Column:
 
     def of(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
-        x, y = char_ngrams(a), char_ngrams(b)
-        jaccard = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+        sets = F.struct(char_ngrams(a).alias("x"), char_ngrams(b).alias("y"))
+        jaccard = let(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"])))
         return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(jaccard)
 
     return let(F.struct(normalize_phrase(left).alias("a"), normalize_phrase(right).alias("b")), of)

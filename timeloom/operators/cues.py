@@ -168,12 +168,13 @@ def tighten_cues(cues: DataFrame, min_s: float = 0.8, max_s: float = 5.0, chars_
 # ---- filters -------------------------------------------------------------------------------------------------------
 
 
-def _phrases(cues: DataFrame, phrases: list[str]) -> DataFrame:
-    listed = cues.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
+def _phrases(cues: DataFrame, phrases: list[str] | DataFrame) -> DataFrame:
+    """Normalised phrases of a list, or of a table with a column phrase."""
+    listed = phrases if isinstance(phrases, DataFrame) else cues.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string")
     return listed.select(T.normalize_phrase(F.col("phrase"), "docker").alias("norm")).distinct()
 
 
-def drop_short_phrases(cues: DataFrame, phrases: list[str], max_duration_s: float) -> DataFrame:
+def drop_short_phrases(cues: DataFrame, phrases: list[str] | DataFrame, max_duration_s: float) -> DataFrame:
     """Without cues of at most ``max_duration_s`` that say nothing but one of ``phrases``."""
     rows = cues.withColumn("norm", T.normalize_phrase(F.col("text"), "docker"))
     listed = _phrases(cues, phrases)
@@ -181,9 +182,7 @@ def drop_short_phrases(cues: DataFrame, phrases: list[str], max_duration_s: floa
     return rows.join(listed, met, "left_anti").drop("norm")
 
 
-def drop_phrases(cues: DataFrame, phrases: list[str]) -> DataFrame:
-    if not phrases:
-        return cues
+def drop_phrases(cues: DataFrame, phrases: list[str] | DataFrame) -> DataFrame:
     return cues.withColumn("norm", T.normalize_phrase(F.col("text"), "docker")).join(_phrases(cues, phrases), "norm", "left_anti").select(cues.columns)
 
 

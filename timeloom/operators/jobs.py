@@ -47,11 +47,18 @@ def ignored(path: Column) -> Column:
     return F.startswith(name(path), F.lit(".")) | F.endswith(name(path), F.lit(".part"))
 
 
-def subtitles_for_media(media: DataFrame, subtitles: DataFrame) -> DataFrame:
-    """Media (path) with the source subtitles of their stem: (media_path, subtitle_path)."""
-    left = media.where(is_supported(F.col("path"))).select(F.col("path").alias("media_path"), stem(F.col("path")).alias("stem"))
-    right = subtitles.where(F.endswith("path", F.lit(".ja.srt"))).select(F.col("path").alias("subtitle_path"), F.regexp_replace(name(F.col("path")), r"\.ja\.srt\z", "").alias("stem"))
-    return left.join(right, "stem").select("media_path", "subtitle_path")
+def folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"[^/]*\z", "")
+
+
+def subtitles_for_media(media: DataFrame, subtitles: DataFrame, same_folder: bool = False) -> DataFrame:
+    """Media (path) with the source subtitles of their stem: (media_path, subtitle_path). With ``same_folder`` they have
+    to lie beside the media; else all subtitles are taken to be of one output folder, where names alone decide."""
+    where = lambda path: [folder(path).alias("folder")] if same_folder else []
+    path = F.col("path")
+    left = media.where(is_supported(path)).select(path.alias("media_path"), stem(path).alias("stem"), *where(path))
+    right = subtitles.where(F.endswith("path", F.lit(".ja.srt"))).select(path.alias("subtitle_path"), F.regexp_replace(name(path), r"\.ja\.srt\z", "").alias("stem"), *where(path))
+    return left.join(right, ["stem", "folder"] if same_folder else "stem").select("media_path", "subtitle_path")
 
 
 def pending_translations(pairs: DataFrame, outputs: DataFrame) -> DataFrame:

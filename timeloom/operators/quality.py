@@ -14,12 +14,17 @@ def _flags(*tests: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(test, name) for name, test in tests]), lambda f: f.isNotNull())
 
 
-def _normalized(cues: DataFrame) -> DataFrame:
-    return cues.withColumns({"duration_s": F.col("end_s") - F.col("start_s"), "norm": T.normalize_phrase(F.col("text"))})
+def _timed(cues: DataFrame) -> DataFrame:
+    return cues.withColumn("duration_s", F.col("end_s") - F.col("start_s"))
 
 
-def _text_tests() -> list[tuple[str, Column]]:
-    duration, norm = F.col("duration_s"), F.col("norm")
+def _flagged(rows: DataFrame, tests) -> DataFrame:
+    """Add flags; ``tests`` takes the normalised text, which is worked out once a row."""
+    return rows.withColumn("flags", T.let(T.normalize_phrase(F.col("text")), lambda norm: _flags(*tests(norm))))
+
+
+def _text_tests(norm: Column) -> list[tuple[str, Column]]:
+    duration = F.col("duration_s")
     return [
         ("near_zero_duration", duration < 0.3),
         ("punctuation_only", T.is_punctuation_only(F.col("text"))),
@@ -31,15 +36,20 @@ def _text_tests() -> list[tuple[str, Column]]:
 
 def hallucination_flags(cues: DataFrame) -> DataFrame:
     """Add flags that need no audio."""
-    return _normalized(cues).withColumn("flags", _flags(*_text_tests())).drop("norm", "duration_s")
+    return _flagged(_timed(cues), _text_tests).drop("duration_s")
+
+
+#: A mark of its own beside the flags, taken off again.
+_SAYS_MUCH = "says_much"
 
 
 def split_hallucinations(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept cues renumbered, dropped ones with idx, their number before, flags and action): blocked phrases, bare
     punctuation, and texts of five characters or more on next to no time."""
-    rows = _normalized(cues).withColumn("flags", _flags(*_text_tests()))
+    rows = _flagged(_timed(cues), lambda norm: [*_text_tests(norm), (_SAYS_MUCH, F.length(norm) >= 5)])
     has = lambda flag: F.array_contains("flags", flag)
-    rows = rows.withColumn("gone", has("blocked_phrase") | has("punctuation_only") | (has("near_zero_duration") & (F.length("norm") >= 5)))
+    rows = rows.withColumn("gone", has("blocked_phrase") | has("punctuation_only") | (has("near_zero_duration") & has(_SAYS_MUCH)))
+    rows = rows.withColumn("flags", F.array_remove("flags", _SAYS_MUCH))
     kept = renumbered(rows.where("not gone").select(cues.columns), "seq")
     dropped = rows.where("gone").select("media_id", F.col("seq").alias("idx"), "start_s", "end_s", "duration_s", "text", "flags", F.lit("drop").alias("recommended_action"))
     return kept, dropped
@@ -61,25 +71,29 @@ def recommended_action(flags: Column) -> Column:
 def quality_issues(cues: DataFrame, audio_stats: DataFrame | None = None) -> DataFrame:
     """One row per flagged cue: media_id, idx, start_s, end_s, duration_s, text, flags, recommended_action and, with
     ``audio_stats`` (media_id, seq, audio), audio. idx is the cue's number in its media."""
-    rows = _normalized(renumbered(cues, "seq"))
+    rows = _timed(renumbered(cues, "seq"))
     if audio_stats is None:
         rows = rows.withColumn("audio", F.lit(None).cast("struct<max_db: double, p90_db: double, speech_ratio: double, longest_island_s: double, leading_quiet_s: double>"))
     else:
         rows = rows.join(audio_stats, ["media_id", "seq"], "left")
-    duration, length = F.col("duration_s"), F.length("norm")
+    duration = F.col("duration_s")
     loudest, p90, island = F.col("audio.max_db"), F.col("audio.p90_db"), F.col("audio.longest_island_s")
-    long_, tests = duration >= 8.0, _text_tests()
-    tests += [
-        ("long_subtitle_split_candidate", (duration >= 12.0) & (length >= 25)),
-        ("low_chars_per_second", long_ & (length / duration < 2.0)),
-        ("flat_audio", (duration <= 3.0) & (loudest < -45.0)),
-        ("weak_audio_peak", long_ & (loudest < -22.0) & (p90 < -30.0)),
-        ("strong_audio", long_ & (loudest >= -22.0) & (p90 >= -30.0)),
-        ("low_speech_density", long_ & (F.col("audio.speech_ratio") < 0.18) & (island < 0.8)),
-        ("fragmented_energy", long_ & (island < 0.8)),
-        ("early_start_candidate", (duration >= 1.5) & (duration < 8.0) & (F.col("audio.leading_quiet_s") >= 0.7) & ~F.col("norm").isin(*T.BLOCKED_PHRASES)),
-    ]
-    flagged = rows.withColumn("flags", _flags(*tests)).where(F.size("flags") > 0)
+    long_ = duration >= 8.0
+
+    def tests(norm: Column) -> list[tuple[str, Column]]:
+        return [
+            *_text_tests(norm),
+            ("long_subtitle_split_candidate", (duration >= 12.0) & (F.length(norm) >= 25)),
+            ("low_chars_per_second", long_ & (F.length(norm) / duration < 2.0)),
+            ("flat_audio", (duration <= 3.0) & (loudest < -45.0)),
+            ("weak_audio_peak", long_ & (loudest < -22.0) & (p90 < -30.0)),
+            ("strong_audio", long_ & (loudest >= -22.0) & (p90 >= -30.0)),
+            ("low_speech_density", long_ & (F.col("audio.speech_ratio") < 0.18) & (island < 0.8)),
+            ("fragmented_energy", long_ & (island < 0.8)),
+            ("early_start_candidate", (duration >= 1.5) & (duration < 8.0) & (F.col("audio.leading_quiet_s") >= 0.7) & ~norm.isin(*T.BLOCKED_PHRASES)),
+        ]
+
+    flagged = _flagged(rows, tests).where(F.size("flags") > 0)
     return flagged.select("media_id", F.col("seq").alias("idx"), "start_s", "end_s", "duration_s", "text", "flags", recommended_action(F.col("flags")).alias("recommended_action"), "audio")
 
 

@@ -43,17 +43,55 @@ def timed(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("media_id", "seq", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), *more)
 
 
+_CLEAN = r"regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\s+([。！？、,.!?])', '\1', 'g')"
+_NORM = rf"regexp_replace(regexp_replace({_CLEAN}, '\s+', '', 'g'), '[。、，．,.!?！？…]+$', '')"
+
+
+def _repaired(source: str) -> str:
+    """CTEs (the last is ``repaired``) of repair_chunks, row by row."""
+    return f"""said AS (SELECT media_id, seq, start_s, CASE WHEN end_s <= start_s THEN start_s + 0.01::DOUBLE ELSE end_s END AS end_s, {_CLEAN} AS text FROM {source}),
+shown AS (SELECT *, lag(text) OVER (PARTITION BY media_id ORDER BY seq) AS before FROM said WHERE text <> ''),
+numbered AS MATERIALIZED (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n, start_s, end_s, text FROM shown WHERE before IS NULL OR before <> text),
+moved(media_id, n, a, b, text) AS (SELECT media_id, n, start_s, end_s, text FROM numbered WHERE n = 1 UNION ALL
+  SELECT r.media_id, r.n, greatest(r.start_s, m.b), CASE WHEN r.end_s <= greatest(r.start_s, m.b) THEN greatest(r.start_s, m.b) + 0.01::DOUBLE ELSE r.end_s END, r.text
+  FROM moved m JOIN numbered r ON r.media_id = m.media_id AND r.n = m.n + 1),
+repaired AS MATERIALIZED (SELECT * FROM moved)"""
+
+
+def _grouped(gap: float, duration: float, chars: int) -> str:
+    """CTEs (the last is ``grouped``) of group_cues on ``repaired``: ``own`` is a row's text, ``text`` what is open."""
+    both = "o.text || CASE WHEN regexp_matches(o.text, '[A-Za-z0-9]$') AND regexp_matches(r.text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || r.text"
+    both = _CLEAN.replace("trim(text,", f"trim({both},")
+    new = f"r.a - o.b > {gap}::DOUBLE OR regexp_matches(o.own, '[。！？.!?]\\s*$') OR r.b - o.a > {duration}::DOUBLE OR length({both}) > {chars}"
+    return f"""opened(media_id, n, part, a, b, own, text) AS (SELECT media_id, n, 1, a, b, text, text FROM repaired WHERE n = 1 UNION ALL
+  SELECT r.media_id, r.n, CASE WHEN {new} THEN o.part + 1 ELSE o.part END, CASE WHEN {new} THEN r.a ELSE o.a END, r.b, r.text, CASE WHEN {new} THEN r.text ELSE {both} END
+  FROM opened o JOIN repaired r ON r.media_id = o.media_id AND r.n = o.n + 1),
+grouped AS (SELECT media_id, part AS seq, arg_max(a, n) AS start_s, arg_max(b, n) AS end_s, arg_max(text, n) AS text FROM opened GROUP BY media_id, part)"""
+
+
+_FLAGS = f"""f AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS n FROM line_cues),
+flagged AS (SELECT media_id, seq + 1 AS idx, d, list_filter([CASE WHEN d < 0.3::DOUBLE THEN 'near_zero_duration' END,
+  CASE WHEN regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]') THEN 'punctuation_only' END,
+  CASE WHEN d >= 8.0 AND n <= 30 THEN 'long_duration_short_text' END, CASE WHEN d >= 12.0 AND n >= 25 THEN 'long_subtitle_split_candidate' END,
+  CASE WHEN d >= 8.0 AND n::DOUBLE / d < 2.0 THEN 'low_chars_per_second' END], lambda x: x IS NOT NULL) AS flags FROM f),
+issues AS (SELECT *, CASE WHEN list_contains(flags, 'punctuation_only') OR list_contains(flags, 'near_zero_duration') THEN 'drop'
+  WHEN list_contains(flags, 'long_subtitle_split_candidate') THEN 'split_candidate' ELSE 'review' END AS action FROM flagged WHERE len(flags) > 0)"""
+_COUNTERS = """SELECT media_id, count(*) AS issue_count, count(*) FILTER (WHERE action = 'drop') AS drop_count, 0::BIGINT AS drop_candidate_count, 0::BIGINT AS resegment_candidate_count,
+count(*) FILTER (WHERE action = 'split_candidate') AS split_candidate_count, 0::BIGINT AS refine_start_candidate_count, count(*) FILTER (WHERE action = 'review') AS review_count FROM issues GROUP BY media_id"""
+
+
 # ---- whole chains --------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, {_repaired('conversation_cues')}, {_grouped(0.5, 20.0, 400)}, {_FLAGS.replace('FROM line_cues', 'FROM grouped')} {_COUNTERS}""")
 def timeline_health(spark, sf_dir):
     """Which timelines hold suspicious cues, and why: repair, group, flag, count."""
     grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), max_gap_s=0.5, max_duration_s=20.0, max_chars=400)
     return quality.stage_counters(quality.quality_issues(grouped))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINE_CUES}, {_repaired('line_cues')}, {_grouped(0.5, 12.0, 120)}
+SELECT media_id, seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM grouped""")
 def line_grouping(spark, sf_dir):
     """Lines of all documents repaired and grouped into cues."""
     return timed(cues.group_cues(cues.repair_chunks(line_cues(spark, sf_dir)), 0.5, 12.0, 120), "text")
@@ -90,10 +128,6 @@ def docker_chain(spark, sf_dir):
 
 # ---- text ----------------------------------------------------------------------------------------------------------
 
-_CLEAN = r"regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\s+([。！？、,.!?])', '\1', 'g')"
-_NORM = rf"regexp_replace(regexp_replace({_CLEAN}, '\s+', '', 'g'), '[。、，．,.!?！？…]+$', '')"
-
-
 @query(f"""WITH {LINE_CUES} SELECT media_id, seq, {_CLEAN} AS clean, length({_NORM}) AS norm_length,
 regexp_matches(text, '[。！？.!?]\\s*$') AS ends, length({_NORM}) > 0 AND NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') AS bare FROM line_cues""")
 def cue_texts(spark, sf_dir):
@@ -112,14 +146,44 @@ def turn_similarity(spark, sf_dir):
     return rows.select("media_id", "seq", F.floor(T.text_similarity(F.col("text"), F.col("after")) * 1000000).cast("long").alias("similarity"))
 
 
-@query()
+def _clean(value: str) -> str:
+    return _CLEAN.replace("trim(text,", f"trim({value},")
+
+
+def _norm(value: str) -> str:
+    return _NORM.replace("trim(text,", f"trim({value},")
+
+
+@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, c AS MATERIALIZED (SELECT media_id, seq, {_CLEAN} AS text FROM conversation_cues),
+l AS MATERIALIZED (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([{T.SENTENCE_END}]+|{'|'.join(T.UNIT_ENDINGS)})', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_clean('x')}), lambda x: x <> '') AS units FROM c WHERE length({_norm('text')}) > 60),
+cut AS (SELECT media_id, seq, unnest(range(CAST(ceil(length(text)::DOUBLE / ceil(length(text) / 4.0::DOUBLE)) AS BIGINT))) AS part, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS stride, text FROM l WHERE len(units) <= 1),
+u AS MATERIALIZED (SELECT media_id, seq, unnest(range(1, len(units) + 1)) AS k, unnest(units) AS unit, len(units) AS n FROM l WHERE len(units) > 1),
+t AS MATERIALIZED (SELECT media_id, seq, least(4, greatest(2, ceil(sum(length({_norm('unit')})) / 60.0::DOUBLE), least(4, max(n)))) AS goal, sum(length({_norm('unit')})) AS total FROM u GROUP BY media_id, seq),
+w(media_id, seq, k, part, open, rest, goal) AS (SELECT media_id, seq, k, 0, unit, total - length({_norm('unit')}), goal FROM u JOIN t USING (media_id, seq) WHERE k = 1 UNION ALL
+  SELECT media_id, seq, k, CASE WHEN close THEN part + 1 ELSE part END, CASE WHEN close THEN unit ELSE open || unit END, rest - length({_norm('unit')}), goal FROM (
+    SELECT w.media_id, w.seq, u.k, w.part, w.open, u.unit, w.rest, w.goal,
+      length({_norm("(w.open || u.unit)")}) > greatest(1, ceil(w.rest::DOUBLE / greatest(1, w.goal - w.part))) AND w.part < w.goal - 1 AS close FROM w JOIN u ON u.media_id = w.media_id AND u.seq = w.seq AND u.k = w.k + 1))
+SELECT media_id, seq, CAST(0 AS INTEGER) AS part, text FROM c WHERE length({_norm('text')}) <= 60 UNION ALL
+SELECT media_id, seq, CAST(part AS INTEGER), substring(text, part * stride + 1, stride) FROM cut UNION ALL
+SELECT media_id, seq, CAST(part AS INTEGER), arg_max(open, k) FROM w GROUP BY media_id, seq, part""")
 def long_text_parts(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir)
     parts = T.split_long_text(F.col("text"), F.lit(4), 60)
     return rows.select("media_id", "seq", F.posexplode(parts).alias("part", "text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, l AS MATERIALIZED (SELECT media_id, seq, text,
+  list_filter(list_transform(regexp_extract_all(text, '.+?[。！？!?]+|.+?[、,]+|.+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS units FROM conversation_cues),
+cut AS (SELECT media_id, seq, part, substring(text, CAST(round_even(length(text) * part / 3.0::DOUBLE, 0) AS BIGINT) + 1,
+  CAST(round_even(length(text) * (part + 1) / 3.0::DOUBLE, 0) AS BIGINT) - CAST(round_even(length(text) * part / 3.0::DOUBLE, 0) AS BIGINT)) AS text FROM l, range(3) r(part) WHERE len(units) < 3),
+u AS MATERIALIZED (SELECT media_id, seq, unnest(range(len(units))) AS k, unnest(units) AS unit, len(units) AS n, list_sum(list_transform(units, lambda x: length(x))) AS chars FROM l WHERE len(units) >= 3),
+w(media_id, seq, k, part, used) AS (SELECT media_id, seq, k, 0, length(unit) FROM u WHERE k = 0 UNION ALL
+  SELECT media_id, seq, k, CASE WHEN stays THEN part ELSE part + 1 END, CASE WHEN stays THEN used + length(unit) ELSE length(unit) END FROM (
+    SELECT u.media_id, u.seq, u.k, w.part, w.used, u.unit, w.part >= 2 OR (u.k < u.n - (3 - w.part - 1)
+      AND w.used + length(u.unit) <= greatest(1, round_even(u.chars * CASE w.part WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.5::DOUBLE ELSE 0.5::DOUBLE END / 4.0::DOUBLE, 0))) AS stays
+    FROM w JOIN u ON u.media_id = w.media_id AND u.seq = w.seq AND u.k = w.k + 1))
+SELECT media_id, seq, CAST(part AS INTEGER) AS part, text FROM cut UNION ALL
+SELECT media_id, seq, CAST(part AS INTEGER), string_agg(unit, '' ORDER BY k) FROM w JOIN u USING (media_id, seq, k) GROUP BY media_id, seq, part""")
 def allocated_texts(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir)
     return rows.select("media_id", "seq", F.posexplode(T.allocate_text(F.col("text"), F.array(F.lit(1.0), F.lit(2.5), F.lit(0.5)))).alias("part", "text"))
@@ -135,7 +199,8 @@ def srt_texts(spark, sf_dir):
     return subtitles.render_srt(conversation_cues(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {CONVERSATION_CUES} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS seq, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS start_ms,
+  CAST(round_even(end_s * 1000, 0) AS BIGINT) AS end_ms, {_CLEAN} AS text FROM conversation_cues WHERE {_CLEAN} <> ''""")
 def srt_round_trip(spark, sf_dir):
     texts = subtitles.render_srt(conversation_cues(spark, sf_dir))
     return timed(subtitles.parse_srt(texts), "text")
@@ -183,7 +248,11 @@ def speech_between_silences(spark, sf_dir):
     return timed(spans.complement_spans(rows.where("event_type = 'error'"), span_media(rows), 0.25, 30.0))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENT_SPANS}, r AS MATERIALIZED (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n, start_s, end_s FROM event_spans),
+m(media_id, n, part, a, b) AS (SELECT media_id, n, 1, start_s, end_s FROM r WHERE n = 1 UNION ALL
+  SELECT r.media_id, r.n, CASE WHEN start_s - b <= 5.0::DOUBLE AND end_s - a <= 60.0::DOUBLE THEN part ELSE part + 1 END, CASE WHEN start_s - b <= 5.0::DOUBLE AND end_s - a <= 60.0::DOUBLE THEN a ELSE start_s END, end_s
+  FROM m JOIN r ON r.media_id = m.media_id AND r.n = m.n + 1)
+SELECT media_id, part AS seq, {_ms('arg_max(a, n)')} AS start_ms, {_ms('arg_max(b, n)')} AS end_ms FROM m GROUP BY media_id, part""")
 def docker_merged_spans(spark, sf_dir):
     return timed(spans.merge_spans(event_spans(spark, sf_dir), 60.0, 5.0, "docker"))
 
@@ -218,23 +287,13 @@ def retimed_cues(spark, sf_dir):
     return timed(cues.clamp_cues(cues.shift_cues(cues.tighten_cues(rows), 0.5), media))
 
 
-_FLAGS = f"""f AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS n FROM line_cues),
-flagged AS (SELECT media_id, seq + 1 AS idx, d, list_filter([CASE WHEN d < 0.3::DOUBLE THEN 'near_zero_duration' END,
-  CASE WHEN regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]') THEN 'punctuation_only' END,
-  CASE WHEN d >= 8.0 AND n <= 30 THEN 'long_duration_short_text' END, CASE WHEN d >= 12.0 AND n >= 25 THEN 'long_subtitle_split_candidate' END,
-  CASE WHEN d >= 8.0 AND n::DOUBLE / d < 2.0 THEN 'low_chars_per_second' END], lambda x: x IS NOT NULL) AS flags FROM f),
-issues AS (SELECT *, CASE WHEN list_contains(flags, 'punctuation_only') OR list_contains(flags, 'near_zero_duration') THEN 'drop'
-  WHEN list_contains(flags, 'long_subtitle_split_candidate') THEN 'split_candidate' ELSE 'review' END AS action FROM flagged WHERE len(flags) > 0)"""
-
-
 @query(f"""WITH {LINE_CUES}, {_FLAGS} SELECT media_id, idx, {_ms('d')} AS duration_ms, array_to_string(flags, ',') AS flags, action AS recommended_action FROM issues""")
 def line_issues(spark, sf_dir):
     found = quality.quality_issues(line_cues(spark, sf_dir))
     return found.select("media_id", "idx", ms("duration_s").alias("duration_ms"), F.array_join("flags", ",").alias("flags"), "recommended_action")
 
 
-@query(f"""WITH {LINE_CUES}, {_FLAGS} SELECT media_id, count(*) AS issue_count, count(*) FILTER (WHERE action = 'drop') AS drop_count, 0::BIGINT AS drop_candidate_count, 0::BIGINT AS resegment_candidate_count,
-count(*) FILTER (WHERE action = 'split_candidate') AS split_candidate_count, 0::BIGINT AS refine_start_candidate_count, count(*) FILTER (WHERE action = 'review') AS review_count FROM issues GROUP BY media_id""")
+@query(f"""WITH {LINE_CUES}, {_FLAGS} {_COUNTERS}""")
 def issue_counters(spark, sf_dir):
     return quality.stage_counters(quality.quality_issues(line_cues(spark, sf_dir)))
 
@@ -253,8 +312,8 @@ SELECT media_id, seq FROM conversation_cues WHERE regexp_replace({_CLEAN}, '\\s+
 def without_known_openers(spark, sf_dir):
     """Cues whose text is none of a list of known ones: an anti-join on normalised text."""
     rows = conversation_cues(spark, sf_dir)
-    known = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 7 = 0").select(T.normalize_phrase(F.col("text"), "docker").alias("norm")).distinct()
-    return rows.withColumn("norm", T.normalize_phrase(F.col("text"), "docker")).join(known, "norm", "left_anti").select("media_id", "seq")
+    known = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 7 = 0").select(F.col("text").alias("phrase"))
+    return cues.drop_phrases(rows, known).select("media_id", "seq")
 
 
 @query(f"""WITH {CONVERSATION_CUES}, a AS (SELECT media_id, seq, start_s + 0.2::DOUBLE AS a, end_s - 0.3::DOUBLE AS b FROM conversation_cues WHERE seq % 3 <> 2),
@@ -370,7 +429,7 @@ def pending_work(spark, sf_dir):
     media = docs.select(F.concat(base, F.lit(".mp4")).alias("path"))
     found = docs.where("doc_id % 2 = 0").select(F.concat(base, F.lit(".ja.srt")).alias("path"))
     done = docs.where("doc_id % 6 = 0 or doc_id % 10 = 0").select(F.concat(base, F.when(F.col("doc_id") % 6 == 0, ".ko.srt").otherwise(".srt")).alias("path"))
-    return jobs.pending_translations(jobs.subtitles_for_media(media, found), done)
+    return jobs.pending_translations(jobs.subtitles_for_media(media, found, same_folder=True), done)
 
 
 @query("""WITH o AS (SELECT user_id || '/' || event_type || '.mp4' AS path, CAST(floor(value / 20) AS BIGINT) AS size, ts, event_id FROM events),
@@ -407,3 +466,98 @@ def raw_results(spark, sf_dir):
 def time_codes(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir).withColumn("code", timing.format_srt_time(F.col("start_s")))
     return rows.select("media_id", "seq", "code", ms(timing.parse_srt_time(F.col("code"))).alias("back_ms"))
+
+
+# ---- further operators ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events),
+e AS (SELECT *, lag(event_type) OVER (PARTITION BY media_id ORDER BY n) AS before, lag(n) OVER (PARTITION BY media_id ORDER BY n) AS from_n FROM l WHERE event_type IN ('click', 'view'))
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY n) AS seq, from_n * 1000 AS start_ms, n * 1000 + 500 AS end_ms FROM e WHERE event_type = 'view' AND before = 'click'""")
+def silence_log(spark, sf_dir):
+    """Log lines of silences, most of them unpaired or of something else."""
+    rows = event_spans(spark, sf_dir)
+    n = F.col("seq").cast("string")
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("[x @ 0] silence_start: "), n)).when(F.col("event_type") == "view", F.concat(F.lit("[x @ 0] silence_end: "), n, F.lit(".5 | silence_duration: 1"))).otherwise("frame")
+    return timed(spans.parse_silence_log(rows.select("media_id", F.col("seq").alias("line_no"), line.alias("line"))))
+
+
+@query("""SELECT conv_id AS media_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, (turn % 3) * 1500 + (turn // 3) * 10000 AS start_ms,
+  CASE WHEN turn % 3 = 2 THEN (turn % 3) * 1500 ELSE (turn % 3) * 1500 + 1000 END + (turn // 3) * 10000 AS end_ms, text FROM conversations""")
+def joined_segments(spark, sf_dir):
+    """Chunks of segments moved to the starts of their spans and put in one list; the third of each has no end."""
+    rows = table(spark, sf_dir, "conversations").withColumn("segment_no", F.floor(F.col("turn") / 3))
+    at = (F.col("turn") % 3) * 1.5
+    chunks = rows.select(F.col("conv_id").alias("media_id"), "segment_no", (F.col("turn") % 3).alias("seq"), at.alias("start_s"), F.when(F.col("turn") % 3 != 2, at + 1.0).alias("end_s"), "text")
+    starts = chunks.select("media_id", "segment_no", (F.col("segment_no") * 10.0).alias("start_s")).distinct()
+    return timed(cues.concat_segments(cues.offset_chunks(chunks, starts)), "text")
+
+
+@query(f"""WITH {LINE_CUES}, {_FLAGS}, gone AS (SELECT media_id, idx FROM flagged JOIN f ON flagged.media_id = f.media_id AND flagged.idx = f.seq + 1 WHERE list_contains(flags, 'punctuation_only') OR (list_contains(flags, 'near_zero_duration') AND n >= 5))
+SELECT media_id, count(*) AS dropped, min(idx) AS first_idx FROM gone GROUP BY media_id""".replace("SELECT media_id, idx FROM flagged", "SELECT flagged.media_id, idx FROM flagged"))
+def dropped_lines(spark, sf_dir):
+    _, dropped = quality.split_hallucinations(line_cues(spark, sf_dir).withColumn("seq", F.col("seq") + 1))
+    return dropped.groupBy("media_id").agg(F.count("*").alias("dropped"), F.min("idx").alias("first_idx"))
+
+
+@query(f"""WITH {LINE_CUES}, {_FLAGS} SELECT l.media_id, l.seq + 1 AS seq, l.text || coalesce(chr(10) || '[quality: ' || action || '; ' || array_to_string(flags, ', ') || ']', '') AS text
+FROM line_cues l LEFT JOIN issues i ON l.media_id = i.media_id AND l.seq + 1 = i.idx""")
+def annotated_lines(spark, sf_dir):
+    rows = line_cues(spark, sf_dir).withColumn("seq", F.col("seq") + 1)
+    return quality.annotate_cues(rows, quality.quality_issues(rows)).select("media_id", "seq", "text")
+
+
+@query(f"""WITH {CONVERSATION_CUES}, t AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n,
+  CAST(round_even(start_s * 1000, 0) AS BIGINT) AS ms_a, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS ms_b FROM conversation_cues)
+SELECT media_id, n AS seq, {_TIME('a')} || ' --> ' || {_TIME('b')} AS timecode,
+  array_to_string(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), ' ') AS text, count(*) OVER (PARTITION BY media_id) AS blocks FROM t""")
+def strict_entries(spark, sf_dir):
+    """Entries of written subtitles with their time codes as they are, and the number of blocks of their text."""
+    texts = subtitles.render_srt(conversation_cues(spark, sf_dir))
+    counts = texts.select("media_id", subtitles.count_srt_blocks(F.col("body")).cast("long").alias("blocks"))
+    return subtitles.parse_srt_entries(texts).join(counts, "media_id")
+
+
+@query("""SELECT conv_id AS media_id, string_agg((turn + 1) || chr(10) || turn || ' --> ' || (turn + 1) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY conv_id""")
+def translated_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seq"), F.concat(F.col("turn").cast("string"), F.lit(" --> "), (F.col("turn") + 1).cast("string")).alias("timecode"), F.concat(F.lit("[7] [12] "), "text").alias("translation"))
+    return subtitles.render_translated_srt(rows)
+
+
+@query("""SELECT conv_id AS media_id, turn AS seq, CAST(floor(20 * log10(sqrt((2.0 * length(text) * length(text) + turn * turn) / 3) / 32768) * 1000 + 0.5) AS BIGINT) AS level FROM conversations WHERE length(text) > 0""")
+def sample_levels(spark, sf_dir):
+    n = F.length("text")
+    rows = table(spark, sf_dir, "conversations").where(n > 0)
+    return rows.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seq"), F.floor(timing.dbfs(F.array(n.cast("int"), -n.cast("int"), F.col("turn").cast("int"))) * 1000 + 0.5).cast("long").alias("level"))
+
+
+@query("""WITH s AS (SELECT avg(l_quantity / l_extendedprice) AS mean, median(l_quantity / l_extendedprice) AS mid, max(l_quantity / l_extendedprice) AS slow FROM lineitem)
+SELECT doc_id AS media_id, CAST(floor(n_chars * mean * 1000 + 0.5) AS BIGINT) AS average_ms, CAST(floor(n_chars * mid * 1000 + 0.5) AS BIGINT) AS median_ms, CAST(floor(n_chars * slow * 1000 + 0.5) AS BIGINT) AS slowest_ms FROM documents, s""")
+def work_estimates(spark, sf_dir):
+    """What recognising each document's length of media would take by the statistics of earlier runs."""
+    summary = history.history_summary(history.transcription_samples(run_history(spark, sf_dir)))
+    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.col("n_chars").cast("double").alias("work"))
+    found = history.work_estimate(targets, summary, "work")
+    return found.select("media_id", *[F.floor(F.col(f"{c}_based_s") * 1000 + 0.5).cast("long").alias(f"{c}_ms") for c in ("average", "median", "slowest")])
+
+
+@query("""SELECT CASE WHEN l_linestatus = 'O' AND l_linenumber % 2 = 0 THEN 'deleted' WHEN l_linestatus = 'O' THEN 'archive' ELSE 'failed' END AS disposition, count(*) AS files FROM lineitem GROUP BY 1""")
+def dispositions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_linestatus") == "O", "success").otherwise("suspicious_incomplete")
+    return jobs.outcome_rollup(rows.select(jobs.disposition(status, F.col("l_linenumber") % 2 == 0).alias("disposition")), "disposition")
+
+
+@query("""SELECT user_id || '/' || event_type AS path, min(event_id) AS position FROM events GROUP BY user_id, event_type""")
+def first_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return jobs.distinct_paths(rows.select(F.concat_ws("/", "user_id", "event_type").alias("path"), F.col("event_id").alias("position")))
+
+
+@query(f"""WITH {CONVERSATION_CUES}, m AS (SELECT media_id, count(*) AS subtitle_count, max(end_s) + 1.0::DOUBLE AS d, arg_max(end_s, seq) AS e FROM conversation_cues GROUP BY media_id)
+SELECT media_id, subtitle_count, CASE WHEN e / d < 0.7::DOUBLE AND d - e > 300.0 THEN 'suspicious_incomplete' ELSE 'success' END AS status, CAST(floor(round_even(30.0 / d, 6) * 1000000 + 0.5) AS BIGINT) AS speed FROM m""")
+def process_reports(spark, sf_dir):
+    rows = conversation_cues(spark, sf_dir)
+    media = rows.groupBy("media_id").agg((F.max("end_s") + 1.0).alias("duration_s"))
+    found = jobs.process_report(rows, quality.quality_issues(rows), media, media.select("media_id", F.lit(30.0).alias("processing_seconds")))
+    return found.select("media_id", "subtitle_count", "status", F.floor(F.col("realtime_factor") * 1000000 + 0.5).cast("long").alias("speed"))
