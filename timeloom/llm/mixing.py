@@ -26,6 +26,8 @@ log = logging.getLogger(__name__)
 MAX_LABELLED = 5_000
 #: Hash buckets of the classifier's words.
 FEATURES = 1 << 17
+#: Tasks of a step of the fit.
+SAMPLE_PARTS = 4
 #: Iterations and L2 penalty of the fit; stopping early does better on held-out labels than the converged fit.
 MAX_STEPS, PENALTY = 40, 1e-4
 #: Share of all target tokens below which a pass of a bounded solution counts as standing still.
@@ -127,6 +129,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
         return Vectors.sparse(len(columns), at.tolist(), np.ones(len(at)))
 
     rows = rows.select(F.udf(vector, VectorUDT())("present").alias("features"), weight.alias("weight"), place.alias("label"))  # the sample only
+    rows = rows.coalesce(SAMPLE_PARTS)  # bounded as the sample is: a step is one stage of few tasks then
     model = LogisticRegression(family="multinomial", maxIter=MAX_STEPS, regParam=PENALTY, weightCol="weight", standardization=False).fit(rows)
     weights[np.ix_(found, columns)] = model.coefficientMatrix.toArray()
     base[found] = model.interceptVector.toArray()
