@@ -32,8 +32,10 @@ SAMPLE_PARTS = 4
 MAX_STEPS, PENALTY = 40, 1e-4
 #: Share of all target tokens below which a pass of a bounded solution counts as standing still.
 STILL = 1e-4
-#: Documents of the sample that a feature has to occur in, and the intercept of a domain without evidence.
-MIN_DOCS, NO_EVIDENCE = 5, -30.0
+#: Documents of the sample, and share of them, that a feature has to occur in; chosen on held-out labels.
+MIN_DOCS, MIN_SHARE = 5, 0.001
+#: The intercept of a domain without evidence.
+NO_EVIDENCE = -30.0
 
 
 #: Bytes at which the classifier's words end, as blanks; A-Z as a-z.
@@ -93,7 +95,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     """Weights (domains x features) and intercepts of domain posteriors fitted on ``labels`` (doc_id, domain).
 
     At most about ``max_labelled`` rows of each domain are used, chosen by a hash of their id; their number bounds the
-    broadcast of ids and what is trained on. Features of fewer than MIN_DOCS of the sample's documents have weight
+    broadcast of ids and what is trained on. Features of too few of the sample's documents have weight
     zero. A domain without any labelled document in ``docs`` has no evidence: weights of zero, a posterior close to none.
     """
     number = F.create_map(*[x for n, d in enumerate(domains) for x in (F.lit(d), F.lit(n))])[F.col("domain")]
@@ -119,7 +121,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     scale = sum(used.values()) / sum(sizes.values())
     weight = F.create_map(*[x for n, count in used.items() for x in (F.lit(n), F.lit(scale * sizes[n] / count))])[F.col("label")]
     place = F.create_map(*[x for at, n in enumerate(found) for x in (F.lit(float(n)), F.lit(float(at)))])[F.col("label")]
-    enough = MIN_DOCS if sum(used.values()) >= 10 * MIN_DOCS else 1
+    count = sum(used.values())
+    enough = max(MIN_DOCS, round(MIN_SHARE * count)) if count >= 10 * MIN_DOCS else 1
     common = rows.select(F.explode("present").alias("feature")).groupBy("feature").count().where(F.col("count") >= enough)
     columns = np.sort(np.array([r["feature"] for r in common.select("feature").collect()], np.int64))  # at most SIZE
 
