@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import slices, utf8_parts
 
 #: Bytes of remembered words in a worker, and what an entry takes besides its word and ids; bound memory, not results.
-ROOM, ENTRY = 24 << 20, 250
+ROOM, ENTRY = 128 << 20, 250
 #: Bytes of texts in one unit of work.
 SLICE = 1 << 19
 #: White space that Python and the tokeniser see alike, and what needs the tokeniser itself on the whole text:
