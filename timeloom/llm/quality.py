@@ -10,6 +10,7 @@ from .common import BLANKS, keyed_texts, same_doc, saved
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 _GAP = "[\\x20\\x09-\\x0D]+"
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _let(value: Column, body) -> Column:
@@ -17,10 +18,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _GAP), lambda w: w != "")
 
@@ -34,9 +31,9 @@ def repeated_words(words: Column, window: int = 5) -> Column:
                 same = lambda other: F.coalesce(F.get(ordered, other)["h"] == item["h"], F.lit(False))
                 return same(at - 1) | same(at + 1)
 
-            return F.array_sort(F.transform(F.filter(ordered, twice), lambda item: item["at"]))
+            return F.sort_array(F.transform(F.filter(ordered, twice), lambda item: item["at"]))
 
-        ordered = F.array_sort(F.transform(windows, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
+        ordered = F.sort_array(F.transform(windows, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
 
         def total(places: Column) -> Column:
             step = lambda at, n: F.least(F.coalesce(F.get(places, n + 1) - at, F.lit(window)), F.lit(window))
@@ -55,11 +52,15 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 
 def text_statistics(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(_WORD))
+
+    def of_words(words: Column) -> Column:
+        joined = F.length(F.array_join(words, "")).cast("long")
+        return F.struct(F.size(words).cast("long").alias("n"), joined.alias("chars"), repeated_words(words).cast("long").alias("repeated"))
+
     return F.struct(
-        _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeated"))).alias("words"),
-        F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        _let(words_of(text), of_words).alias("words"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         _let(lines, lambda own: F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
     )
 
@@ -106,7 +107,7 @@ def quality_rules(
     text = F.coalesce(F.col(text_col), F.lit(""))
     judged = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     judged = judged.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), text_statistics(F.col("text")).alias("s"))
-    judged = judged.select("doc_id", "rk", F.col("s.words.n").alias("n_words"), "s.word_chars", "s.n_symbols", "s.n_dup_lines", F.col("s.words.repeated").alias("n_repeat_words"))
+    judged = judged.select("doc_id", "rk", F.col("s.words.n").alias("n_words"), F.col("s.words.chars").alias("word_chars"), "s.n_symbols", "s.n_dup_lines", F.col("s.words.repeated").alias("n_repeat_words"))
     common = frequent_line_words(docs, id_col, text_col, host_col, max_docs)
     n_words, repeats = F.col("n_words"), F.col("n_repeat_words")
     base_failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
