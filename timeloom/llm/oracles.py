@@ -44,4 +44,32 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)"""
 
-ORACLES = {"op5_url_cascade": URLS, "op6_quality_rules": QUALITY, "op8_line_dedup": LINES, "op9_passage_dedup": PASSAGES}
+_PARTS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')".format(_LOWER.format("coalesce(text, '')"))
+
+LEAKS = f"""WITH d AS (SELECT doc_id, {_PARTS} AS w FROM documents), b AS (SELECT item_id, {_PARTS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+own AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p:p + size - 1], ' '))) AS g FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
+met AS (SELECT doc_id, i, win.size, item_id FROM own JOIN win ON own.size = win.size AND own.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM met) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+#: CRC-32 byte by byte: the table of the reversed polynomial, then a fold over the UTF-8 bytes of letters up to U+00FF.
+_CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
+SPELLING = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+runs AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS word FROM documents) GROUP BY ALL),
+summed AS (SELECT word, n, list_reduce(list_prepend(4294967295, {_BYTES.format("doc_id || ':' || word")}), lambda c, b: xor(crc[(xor(c, b) % 256) + 1], c // 256)) AS c FROM runs, t),
+hashed AS (SELECT word, n, xor(c, 4294967295) AS h, length(word) AS size FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(word, 1, h % size) || substr(word, h % size + 2) ELSE word END AS word FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS rest FROM words),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, list({{'near': near, 'n': near_n}} ORDER BY near_n DESC, near COLLATE C)[1] AS top FROM pairs GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 5 * words.n THEN top.near END AS form, CASE WHEN top.n >= 5 * words.n THEN top.n END AS form_n FROM words LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root, 0 AS far FROM forms UNION ALL SELECT ways.word, forms.form, far + 1 FROM ways JOIN forms ON ways.root = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, far) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+ORACLES = {"op5_url_cascade": URLS, "op6_quality_rules": QUALITY, "op8_line_dedup": LINES, "op9_passage_dedup": PASSAGES, "op12_spelling_variants": SPELLING, "op13_benchmark_overlap": LEAKS}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, nearest, packing, quality, rlz, simhash, suffix, tokens, urls
+from . import alignment, leaks, lines, mixing, nearest, packing, quality, rlz, simhash, spelling, suffix, tokens, urls
 
+from .common import saved
 from .oracles import ORACLES
 
 
@@ -84,6 +85,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.piece_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_scores(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = saved(spelling.corpus_words(_table(spark, sf_dir, "documents"), min_chars=6, min_count=5, slip=199), "words")
+    return spelling.spelling_forms(words, ratio=5)
+
+
+def op13_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -244,11 +244,16 @@ class PieceCounter:
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    return {chr(b): b for b in _PLAIN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 def vocabulary_pieces(path: str) -> list[tuple[int, ...]]:
     """Pieces of a byte-level vocabulary with word ends as byte sequences; -1 closes a word."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
-    value = {chr(b): b for b in _PLAIN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+    value = byte_values()
     pieces = []
     for piece in vocabulary:
         ends = piece.endswith("</w>") and piece != "</w>"
