@@ -1,11 +1,13 @@
 import json
+import time
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators.spans import span_report
-from timeloom.sources import media, recognition, reports, subtitles
+from timeloom.sources import media, recognition, reports, sinks, subtitles
 from timeloom.streaming import watch
 
 
@@ -21,8 +23,42 @@ def test_srt_round_trip(spark, tmp_path):
     assert subtitles.render_srt(cues).first().body == "1\n00:00:01,000 --> 00:00:02,500\nHello, world!\n\n2\n00:00:03,000 --> 00:00:04,000\nA\nB\n"
     assert json.loads(subtitles.render_json(cues).first().body)[0] == {"start": 1.0, "end": 2.5, "text": "Hello, world!"}
     assert subtitles.render_txt(cues).first().body == "Hello, world!\nA\nB\n"
-    subtitles.write_texts(subtitles.render_srt(cues), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() > 0
+    out = tmp_path / "out"
+    subtitles.write_srt(cues, str(out))
+    assert [p.name for p in out.iterdir()] == ["x.ja.srt"] and (out / "x.ja.srt").read_text() == subtitles.render_srt(cues).first().body
+    assert [(r.start_s, r.text) for r in subtitles.parse_srt(subtitles.read_texts(spark, str(out))).orderBy("seq").collect()] == [(1.0, "Hello, world!"), (3.0, "A\nB")]
+
+
+def names(folder):
+    return sorted(p.name for p in folder.rglob("*"))
+
+
+def test_named_files_commit_or_nothing(spark, tmp_path):
+    schema = "media_id string, body string, expected long"
+    good = [(f"m{n}", f"1\nx\na{n}\n\n2\nx\nb\n", 2) for n in range(40)]
+    out = tmp_path / "out"
+    sinks.write_texts(spark.createDataFrame(good, schema), str(out), ".ko.srt")
+    assert names(out) == sorted(f"m{n}.ko.srt" for n in range(40)) and (out / "m7.ko.srt").read_text() == good[7][1]
+    for bad in ([("k", "1\nx\na\n", 2)], [("k", "", None), ("k", "", None)], [("a/b", "", None)], [("", "", None)]):
+        empty = tmp_path / "bad"
+        with pytest.raises(Exception, match="blocks|twice|name"):
+            sinks.write_texts(spark.createDataFrame([(f"g{n}", "1\nx\na\n", 1) for n in range(20)] + bad, schema), str(empty))
+        assert not empty.exists() or names(empty) == []  # nothing of the good ones either
+    with pytest.raises(Exception, match="m3"):
+        sinks.write_texts(spark.createDataFrame([("m3", "new", None), ("n", "new", None)], schema), str(out), ".ko.srt")
+    assert "n.ko.srt" not in names(out) and (out / "m3.ko.srt").read_text() == good[3][1]
+    sinks.write_texts(spark.createDataFrame([("m3", "new", None), ("n", None, None)], schema), f"file://{out}", ".ko.srt", mode="overwrite")
+    assert (out / "m3.ko.srt").read_text() == "new" and (out / "n.ko.srt").read_text() == "" and len(names(out)) == 41
+
+
+def test_translated_files_have_a_block_for_each_entry(spark, tmp_path):
+    entries = [("m", 1, "00:00:01,000 --> 00:00:02,000", "[1] eins"), ("m", 2, "00:00:03,000 --> 00:00:04,000", "zwei")]
+    schema = "media_id string, seq long, timecode string, translation string"
+    subtitles.write_translated_srt(spark.createDataFrame(entries, schema), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "m.ko.srt").read_text() == "1\n00:00:01,000 --> 00:00:02,000\neins\n\n2\n00:00:03,000 --> 00:00:04,000\nzwei\n"
+    with pytest.raises(Exception, match="blocks"):
+        subtitles.write_translated_srt(spark.createDataFrame([*entries, ("n", 1, "x", "a\n\nb")], schema), str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists() or names(tmp_path / "no") == []
 
 
 def test_wav(spark, tmp_path):
@@ -39,6 +75,48 @@ def test_wav(spark, tmp_path):
     assert {r.media_id for r in media.scan_media(spark, str(tmp_path)).collect()} == {"a", "b"}
 
 
+def write_wav(path, samples, channels=1, rate=1000, width=2):
+    with wave.open(str(path), "wb") as file:
+        file.setnchannels(channels)
+        file.setsampwidth(width)
+        file.setframerate(rate)
+        file.writeframes(samples.tobytes())
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 20, 5000, 777])
+def test_wav_ranges(spark, tmp_path, range_bytes):
+    chance = np.random.default_rng(2)
+    long = chance.integers(-9999, 9999, (20_000, 2)).astype("<i2")
+    write_wav(tmp_path / "long.wav", long, 2)
+    write_wav(tmp_path / "Short.WAV", long[:70, 0], 1, 8000)
+    write_wav(tmp_path / "none.wav", long[:0])
+    write_wav(tmp_path / "bytes.wav", long[:10].astype("u1"), 1, 1000, 1)
+    whole = (tmp_path / "long.wav").read_bytes()
+    (tmp_path / "cut.wav").write_bytes(whole[:9001])
+    (tmp_path / "head.wav").write_bytes(whole[:20])
+    (tmp_path / "empty.wav").write_bytes(b"")
+    piped = bytearray(whole)
+    piped[40:44] = b"\xff\xff\xff\xff"
+    (tmp_path / "piped.wav").write_bytes(piped)
+    (tmp_path / "listed.wav").write_bytes(whole[:12] + b"LIST\x03\0\0\0abc\0" + whole[12:])
+    (tmp_path / "sub").mkdir()
+    write_wav(tmp_path / "sub" / "deep.wav", long[:5, 0])
+    found = media.scan_wav(spark, str(tmp_path), 300, range_bytes=range_bytes)
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.media_id, []).append(r)
+    heard = {m: np.concatenate([np.array(r.samples) for r in sorted(own, key=lambda r: r.block_no) if r.error is None] or [[]]) for m, own in rows.items()}
+    for name in ("long", "piped", "listed"):
+        assert (heard[name] == long[:, 0]).all() and [r.first_sample for r in sorted(rows[name], key=lambda r: r.block_no)] == list(range(0, 20_000, 300))
+    assert (heard["Short"] == long[:70, 0]).all() and rows["Short"][0].sample_rate == 8000 and "none" not in rows and "deep" not in rows
+    errors = {m: [r.error for r in own if r.error] for m, own in rows.items()}
+    assert all(len(errors[m]) == 1 and len(rows[m]) == 1 for m in ("bytes", "head", "empty"))
+    assert len(errors["cut"]) == 1 and "missing" in errors["cut"][0] and (heard["cut"] == long[: (9001 - 44) // 4, 0]).all()
+    assert len(media.scan_wav(spark, str(tmp_path), recurse=True).where("media_id = 'deep'").first().samples) == 5
+    if range_bytes == 5000:  # a file of 80,044 bytes spreads over tasks of a range each
+        assert found.where("media_id = 'long'").select(F.spark_partition_id().alias("p")).distinct().count() >= 16
+
+
 def raw(spark, *values):
     return spark.createDataFrame([("m", n, json.dumps(v)) for n, v in enumerate(values)], "media_id string, segment_no int, raw string")
 
@@ -105,6 +183,40 @@ def test_streams(spark, tmp_path):
     assert {(r.name, r.attempts, r.failed) for r in spark.table("tries").collect()} == {("a.mp4", 4, True), ("b.mp4", 4, True)}
 
 
+def test_arriving_files(spark, tmp_path):
+    """A file that grows is held back; once it rests for the polls asked for, it is reported, once."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "rest.mp4").write_bytes(b"x" * 10)
+    (folder / "empty.mp4").write_bytes(b"")
+    (folder / "note.txt").write_bytes(b"x")
+    (folder / ".hidden.mp4").write_bytes(b"x")
+    (folder / "copy.mp4.part").write_bytes(b"x")
+    grows = folder / "grows.mp4"
+    found = watch.new_media(spark, [str(folder)], poll_s=0.1, checks=3, min_age_s=0.0)
+    query = found.writeStream.format("memory").queryName("arrived").outputMode("append").trigger(processingTime="300 milliseconds").start()
+    told = lambda: [r.path.rsplit("/", 1)[1] for r in spark.table("arrived").collect()]
+    try:
+        for n in range(200):
+            if n < 200 and "rest.mp4" not in told():
+                grows.write_bytes(b"x" * (n + 1))
+            else:
+                break
+            time.sleep(0.2)
+        assert told() == ["rest.mp4"]
+        for _ in range(200):
+            if "grows.mp4" in told():
+                break
+            time.sleep(0.2)
+        assert sorted(told()) == ["grows.mp4", "rest.mp4"]
+        seen = query.lastProgress.batchId
+        while query.lastProgress.batchId < seen + 3:
+            time.sleep(0.2)
+        assert len(told()) == 2
+    finally:
+        query.stop()
+
+
 def test_cue_stream(spark, tmp_path):
     source = tmp_path / "raw"
     source.mkdir()

@@ -42,8 +42,16 @@ def normalize_phrase(text: Column, profile: str = "standalone") -> Column:
     return F.regexp_replace(text, r"[。、，．,.!?！？…]+$", "") if profile == "standalone" else text
 
 
+def ends_alnum(text: Column) -> Column:
+    return text.rlike(r"[A-Za-z0-9]\z")
+
+
+def starts_alnum(text: Column) -> Column:
+    return text.rlike(r"\A[A-Za-z0-9]")
+
+
 def needs_space(left: Column, right: Column) -> Column:
-    return left.rlike(r"[A-Za-z0-9]\z") & right.rlike(r"\A[A-Za-z0-9]")
+    return ends_alnum(left) & starts_alnum(right)
 
 
 def join_text(left: Column, right: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import before, in_order, bucketed, but_last, fold_islands, last, renumbered
+from .timeline import bucketed, greedy_groups, in_blocks, in_order, pushed_on, renumbered, with_rows_before
 
 FIELDS = ["start_s", "end_s", "text"]
 #: Seconds that a cue without duration gets.
@@ -24,35 +24,26 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
     end = F.greatest(F.lit(0.0), F.coalesce("end_s", "start_s", F.lit(0.0)))
     rows = chunks.select("media_id", "seq", start.alias("start_s"), end.alias("end_s"), T.clean_text(F.col("text")).alias("text")).where("text <> ''")
     rows = rows.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + SLIVER).otherwise(F.col("end_s")))
-    rows = rows.withColumn("before", F.lag("text").over(in_order())).where("before is null or before <> text").drop("before")
-    # ends move on by a sliver for each row at most, so beyond that bound no row can push another
-    bound = F.max("end_s").over(before()) + SLIVER * (F.row_number().over(in_order()) - 1)
-
-    def step(acc: Column, row: Column) -> Column:
-        reach = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(last(acc)["end_s"])
-        start = F.greatest(row["start_s"], reach)
-        end = F.when(row["end_s"] <= start, start + SLIVER).otherwise(row["end_s"])
-        return F.concat(acc, F.array(_cue(start, end, row["text"])))
-
-    return fold_islands(rows, bound.isNull() | (F.col("start_s") >= bound), FIELDS, step)
+    spoken = with_rows_before(in_blocks(rows), last=["text"]).where("last_text is null or last_text <> text").select("media_id", "block", "seq", *FIELDS)
+    moved = pushed_on(with_rows_before(spoken), SLIVER)
+    return moved.select("media_id", F.col("place").alias("seq"), *FIELDS)
 
 
 def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float = 6.0, max_chars: int = 42) -> DataFrame:
-    """Merge cues into longer ones until a pause, the end of a sentence, or a limit on duration or length."""
-    pause = F.col("start_s") - F.lag("end_s").over(in_order()) > max_gap_s
-    new = F.lag("seq").over(in_order()).isNull() | pause | T.ends_sentence(F.lag("text").over(in_order()))
-
-    def step(acc: Column, row: Column) -> Column:
-        def joined(text: Column) -> Column:
-            open_ = last(acc)
-            breaks = (row["end_s"] - open_["start_s"] > max_duration_s) | (F.length(text) > max_chars)
-            merged = F.concat(but_last(acc), F.array(_cue(open_["start_s"], row["end_s"], text)))
-            return F.when(breaks, F.concat(acc, F.array(own))).otherwise(merged)
-
-        own = _cue(row["start_s"], row["end_s"], row["text"])
-        return F.when(F.size(acc) == 0, F.array(own)).otherwise(T.let(T.join_text(last(acc)["text"], row["text"]), joined))
-
-    return fold_islands(cues, new, FIELDS, step)
+    """Merge cues into longer ones until a pause, the end of a sentence, or a limit on duration or length. Texts are
+    cleaned first, so what joining adds is known from neighbours alone; times must not be null."""
+    text = F.col("text")
+    rows = cues.select("media_id", "seq", "start_s", "end_s", T.clean_text(text).alias("text"))
+    rows = rows.withColumns({"ends": T.ends_sentence(text), "head": T.starts_alnum(text), "tail": T.ends_alnum(text)})
+    rows = with_rows_before(in_blocks(rows), last=["end_s", "ends", "tail"], highest=["start_s"])
+    rows = rows.withColumn("space", F.coalesce(F.col("last_tail") & F.col("head"), F.lit(False)).cast("int"))
+    hard = F.col("last_ends") | (F.col("start_s") - F.col("last_end_s") > max_gap_s)
+    size = F.length("text")
+    numbered = greedy_groups(rows, hard, "start_s", "end_s", max_duration_s, sizes=[(size, size + F.col("space"), max_chars)])
+    parts = F.array_sort(F.collect_list(F.struct("seq", "space", "text")))
+    merged = numbered.groupBy("media_id", F.col("group").alias("seq")).agg(F.min_by("start_s", "place").alias("start_s"), F.max_by("end_s", "place").alias("end_s"), parts.alias("parts"))
+    spaced = F.transform("parts", lambda p, n: F.concat(F.when((n > 0) & (p["space"] == 1), " ").otherwise(""), p["text"]))
+    return merged.select("media_id", "seq", "start_s", "end_s", F.array_join(spaced, "").alias("text"))
 
 
 # ---- splitting -----------------------------------------------------------------------------------------------------

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import before, in_order, but_last, fold_islands, last, renumbered
-
-FIELDS = ["start_s", "end_s"]
+from .timeline import before, greedy_groups, in_blocks, in_order, renumbered, with_rows_before
 
 
 def parse_silence_log(lines: DataFrame) -> DataFrame:
@@ -50,20 +48,12 @@ def merge_spans(spans: DataFrame, max_duration_s: float, merge_gap_s: float = 0.
     ``standalone`` always merges spans that overlap or touch, others up to ``merge_gap_s`` apart if the whole stays
     within ``max_duration_s``; ``docker`` asks for both conditions always.
     """
-    gap = F.col("start_s") - F.lag("end_s").over(in_order())
-    hard = gap > (max(merge_gap_s, 0.0) if profile == "standalone" else merge_gap_s)
-
-    def step(acc: Column, row: Column) -> Column:
-        open_ = last(acc)
-        apart, whole = row["start_s"] - open_["end_s"], row["end_s"] - open_["start_s"]
-        fits = (apart <= merge_gap_s) & (whole <= max_duration_s)
-        if profile == "standalone":
-            fits = (row["start_s"] <= open_["end_s"]) | fits
-        own = F.struct(row["start_s"].alias("start_s"), row["end_s"].alias("end_s"))
-        merged = F.struct(open_["start_s"].alias("start_s"), row["end_s"].alias("end_s"))
-        return F.when(F.size(acc) == 0, F.array(own)).when(fits, F.concat(but_last(acc), F.array(merged))).otherwise(F.concat(acc, F.array(own)))
-
-    return fold_islands(spans, gap.isNull() | hard, FIELDS, step)
+    rows = with_rows_before(in_blocks(spans.select("media_id", "seq", "start_s", "end_s")), last=["end_s"], highest=["start_s"])
+    apart = F.col("start_s") - F.col("last_end_s") > merge_gap_s
+    glued = F.col("start_s") <= F.col("last_end_s") if profile == "standalone" else None
+    numbered = greedy_groups(rows, apart, "start_s", "end_s", max_duration_s, glued)
+    merged = numbered.groupBy("media_id", F.col("group").alias("seq")).agg(F.min_by("start_s", "place").alias("start_s"), F.max_by("end_s", "place").alias("end_s"))
+    return merged.select("media_id", "seq", "start_s", "end_s")
 
 
 def normalize_spans(spans: DataFrame, media: DataFrame, min_duration_s: float, max_duration_s: float, padding_s: float = 0.0, merge_gap_s: float = 0.0, profile: str = "standalone") -> DataFrame:

@@ -1,11 +1,26 @@
-"""What timeline operators share: rows of one media in their order, islands between hard breaks, folds inside them."""
+"""What timeline operators share: rows of one media in their order, and scans that cut a media into blocks.
+
+A block is ``BLOCK`` numbers of ``seq`` of one media. Rules that carry a state from row to row run block by block: each
+block says in a few rows what it makes of any state it may be entered with, these rows are chained per media, and the
+blocks run again from the state they are really entered with. So a media of any length spreads over many tasks, work is
+linear in its rows, and only media of more than one block take the extra passes. All passes read one exchange.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+#: Numbers of seq in a block: bounds what a task holds, never changes a result.
+BLOCK = 4096
+KEY = ["media_id", "block"]
 
 
 def in_order() -> WindowSpec:
@@ -22,30 +37,292 @@ def renumbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("media_id").orderBy(*order)).cast("long"))
 
 
-def fold_islands(rows: DataFrame, new_island: Column, fields: list[str], step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Fold rows in order inside islands that ``new_island`` starts.
+def bucketed(rows: DataFrame, width: float, start: str = "start_s", end: str = "end_s") -> DataFrame:
+    """One row for each time bucket that a row's interval touches: an equality key for interval joins."""
+    first, final = (F.floor(F.col(c) / width) for c in (start, end))
+    return rows.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, final))))
 
-    ``step`` takes (array of results so far, row) and returns the array anew; results have the rows' ``fields``. What
-    can touch across a break must be ruled out by the break, so islands fold independently and media spread over many.
-    Returns media_id, seq (renumbered) and the fields.
-    """
-    marked = rows.withColumn("island", F.sum(F.when(new_island, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    lists = marked.groupBy("media_id", "island").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("rows"))
-    kind = "array<struct<" + ", ".join(f"{f}: {rows.schema[f].dataType.simpleString()}" for f in fields) + ">>"
-    folded = F.aggregate("rows", F.array().cast(kind), lambda acc, row: step(acc, row).cast(kind))
-    out = lists.select("media_id", "island", F.posexplode(folded).alias("at", "r"))
-    return renumbered(out, "island", "at").select("media_id", "seq", *[F.col(f"r.{f}").alias(f) for f in fields])
 
+# ---- blocks --------------------------------------------------------------------------------------------------------
 
-def last(acc: Column) -> Column:
-    return F.element_at(acc, -1)
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.floor(F.col("seq") / BLOCK)).repartition(*KEY)
 
-def but_last(acc: Column) -> Column:
-    return F.slice(acc, 1, F.size(acc) - 1)
 
+def within() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("seq")
 
-def bucketed(rows: DataFrame, width: float, start: str = "start_s", end: str = "end_s") -> DataFrame:
-    """One row for each time bucket that a row's interval touches: an equality key for interval joins."""
-    first, final = (F.floor(F.col(c) / width) for c in (start, end))
-    return rows.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, final))))
+
+def with_rows_before(blocks: DataFrame, last: list[str] = (), highest: list[str] = ()) -> DataFrame:
+    """Rows of ``in_blocks`` with what lies before each in its media, across blocks: place (from 1), last_<c> of the row
+    before, and highest_<c> of all rows of earlier blocks; parted tells whether the media has other blocks.
+
+    One row a block goes through a window of the media; rows themselves only meet rows of their block."""
+    totals = blocks.groupBy(*KEY).agg(F.count("*").alias("rows"), F.max_by(F.struct("seq", *last), "seq").alias("edge"), *[F.max(c).alias(f"max_{c}") for c in highest])
+    order = Window.partitionBy("media_id").orderBy("block")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = totals.select(
+        *KEY,
+        F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("rows_before"),
+        F.lag("edge").over(order).alias("edge"),
+        (F.count("*").over(Window.partitionBy("media_id")) > 1).alias("parted"),
+        *[F.max(f"max_{c}").over(past).alias(f"highest_{c}") for c in highest],
+    )
+    rows = blocks.join(edges, KEY).withColumn("at", F.row_number().over(within()))
+    found = {f"last_{c}": F.when(F.col("at") == 1, F.col(f"edge.{c}")).otherwise(F.lag(c).over(within())) for c in last}
+    return rows.withColumns({**found, "place": (F.col("rows_before") + F.col("at")).cast("long")}).drop("rows_before", "edge")
+
+
+def in_sequence(rows: DataFrame, run, fields: list[StructField], drop: list[str] = ()) -> DataFrame:
+    """``run`` gets Arrow batches of whole partitions in the order of media, block and seq, and adds ``fields``."""
+    kept = [f for f in rows.schema.fields if f.name not in drop]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, new in run(batches):
+            arrays = [batch.column(f.name) for f in kept] + new
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
+
+    return rows.sortWithinPartitions(*KEY, "seq").mapInArrow(each, StructType(kept + fields))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict, list[np.ndarray]]]:
+    """(media_id and block, columns) of one whole block after the other; ``at`` is 1 in its first row."""
+    key, parts = None, []
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        cuts = [0, *np.flatnonzero(at == 1).tolist(), len(at)]
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if at[a] == 1:
+                if parts:
+                    yield key, [np.concatenate(c) for c in zip(*parts)]
+                key, parts = {n: batch.column(n)[a].as_py() for n in KEY}, []
+            parts.append([c[a:b] for c in columns])
+    if parts:
+        yield key, [np.concatenate(c) for c in zip(*parts)]
+
+
+# ---- greedy groups -------------------------------------------------------------------------------------------------
+
+
+class Greedy:
+    """Rows join the open group until one breaks it: a row breaks if it is hard, if it ends more than ``longest`` after
+    the group starts, or if a size of the group would exceed its limit with it; glued rows never break."""
+
+    NAMES = ["g_hard", "g_glued", "g_start", "g_end"]
+
+    def __init__(self, longest: float, most: list[int]) -> None:
+        self.longest, self.most = longest, most
+        self.sizes = range(len(most))
+        self.own, self.add = [f"g_own{k}" for k in self.sizes], [f"g_add{k}" for k in self.sizes]
+        self.columns = [*self.NAMES, *self.own, *self.add]
+
+    # -- one block, entered with any state
+
+    def _next(self, rows, at: int) -> int:
+        """The row that breaks a group which starts at ``at``, or the number of rows."""
+        hard, glued, start, end = rows[:4]
+        size = len(self.most)
+        count, first, step = len(hard), at + 1, 64
+        while first < count:
+            part = slice(first, first + step)
+            broken = hard[part] | (end[part] - start[at] > self.longest)
+            for k in self.sizes:
+                broken |= rows[4 + k][at] + self.sums[k][part] - self.sums[k][at] > self.most[k]
+            broken &= ~glued[part]
+            if broken.any():
+                return first + int(broken.argmax())
+            first, step = first + step, step * 8
+        return count
+
+    def _exits(self, rows, known: dict[int, list], at: int) -> list:
+        """Number of groups that start from ``at`` on, if one starts there, and start and sizes of the last."""
+        way = []
+        while at < len(rows[0]) and at not in known:
+            way.append(at)
+            at = self._next(rows, at)
+        for own in reversed(way):
+            if at < len(rows[0]):
+                known[own] = [known[at][0] + 1, *known[at][1:]]
+            else:
+                known[own] = [1.0, float(rows[2][own]), *[float(rows[4 + k][own] + self.sums[k][-1] - self.sums[k][own]) for k in self.sizes]]
+            at = own
+        return known[at]
+
+    def profile(self, rows, sorted_starts: bool) -> tuple[list[list[float]], list[int]]:
+        """What a block makes of a group that is open before it: rows of (highest end so far, sizes added so far, exit
+        state if the group breaks by then), up to where any such group is broken; and the sizes that the block adds.
+
+        With ``sorted_starts`` no open group starts after the block does, so none lasts longer than one that starts with
+        the block's first row: the profile is as long as one group."""
+        hard, glued, _, end = rows[:4]
+        self.sums = [np.cumsum(rows[4 + len(self.most) + k]) for k in self.sizes]
+        known: dict[int, list] = {}
+        final = self._next(rows, 0) if sorted_starts else len(hard)
+        found: list[list[float]] = []
+        highest, skip = -math.inf, 1 + len(self.most)
+        for at in np.flatnonzero(~glued[: final + 1]).tolist():
+            highest = math.inf if hard[at] else max(highest, float(end[at]))
+            added = [float(s[at]) for s in self.sums]
+            row = [highest, *added, *self._exits(rows, known, at)]
+            if found and found[-1][skip:] == row[skip:]:
+                found.pop()  # one exit for both: the later row tells whether it is taken
+            found.append(row)
+            if hard[at] or any(a > m for a, m in zip(added, self.most)):
+                break
+        return found, [int(s[-1]) for s in self.sums]
+
+    # -- states
+
+    def chained(self, blocks: list[tuple[int, list, list]]) -> Iterator[tuple[int, list]]:
+        """(block, state it is entered with) of all blocks of a media but the first: number, start and sizes of the open
+        group. The first row of a media is hard, so the first block is not entered with anything."""
+        skip, state = 1 + len(self.most), None
+        for block, found, added in blocks:
+            if state is None:
+                state = found[0][skip:]
+                continue
+            yield block, state
+            for row in found:
+                if row[0] - state[1] > self.longest or any(state[2 + k] + row[1 + k] > self.most[k] for k in self.sizes):
+                    state = [state[0] + row[skip], *row[skip + 1 :]]
+                    break
+            else:
+                state = [*state[:2], *[state[2 + k] + added[k] for k in self.sizes]]
+
+    def run(self, batches):
+        """Group numbers, and the first size of the group up to each row."""
+        number, start, held = 0, 0.0, []
+        for batch in batches:
+            hard, glued, starts, ends = (batch.column(c).to_pylist() for c in self.NAMES)
+            owns, adds = (list(zip(*[batch.column(c).to_pylist() for c in names])) or [()] * len(hard) for names in (self.own, self.add))
+            entries = batch.column("entry")
+            entered = set(np.flatnonzero(batch.column("at").to_numpy() == 1).tolist())
+            numbers, sizes = [], []
+            for n, (is_hard, is_glued, a, b, own, add) in enumerate(zip(hard, glued, starts, ends, owns, adds)):
+                if n in entered:
+                    number, start, *held = entries[n].as_py() or [0, a, *[0] * len(own)]
+                if not is_glued and (is_hard or b - start > self.longest or any(h + x > m for h, x, m in zip(held, add, self.most))):
+                    number += 1
+                    start, held = a, list(own)
+                else:
+                    held = [h + x for h, x in zip(held, add)]
+                numbers.append(int(number))
+                sizes.append(int(held[0]) if held else 0)
+            yield batch, [pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())]
+
+
+def _array(element) -> ArrayType:
+    return ArrayType(element)
+
+
+def _entries(rows: DataFrame, profile, columns: list[str], parts: list[StructField], chain, element) -> DataFrame:
+    """Rows with entry, the state their block is entered with (null for the first block of a media): ``profile`` makes
+    the fields ``parts`` of each block of parted media, ``chain`` takes them in order and gives the states."""
+    key = [StructField("media_id", rows.schema["media_id"].dataType), StructField("block", LongType())]
+    told, states = StructType(key + parts), StructType([*key, StructField("entry", _array(element))])
+    arrow_told = to_arrow_schema(told)
+
+    def profiles(batches):
+        for own, values in _blocks(batches, columns):
+            yield pa.RecordBatch.from_pylist([{**own, **dict(zip([f.name for f in parts], profile(values)))}], schema=arrow_told)
+
+    def chained(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        found = list(chain(list(zip(*(table.column(c).to_pylist() for c in ["block", *[f.name for f in parts]])))))
+        media = table.column("media_id").combine_chunks().slice(0, len(found))
+        return pa.table([media, pa.array([b for b, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["media_id", "block", "entry"])
+
+    summed = rows.where("parted").select(*KEY, "seq", "at", *columns).sortWithinPartitions(*KEY, "seq").mapInArrow(profiles, told)
+    return rows.join(summed.groupBy("media_id").applyInArrow(chained, states), KEY, "left")
+
+
+def greedy_groups(rows: DataFrame, hard: Column, start: str, end: str, longest: float = math.inf, glued: Column | None = None, sizes: list[tuple[Column, Column, int]] = ()) -> DataFrame:
+    """Rows of ``with_rows_before`` (``start`` among its highest) with group, the number of their group from 1 within the
+    media, and held, the first size of the group up to the row.
+
+    A row starts a group if it is the first, or if it is ``hard``, ends more than ``longest`` after the open group starts,
+    or would take a size of that group beyond its limit, and is not ``glued``. ``sizes`` are (size of a row that starts a
+    group, size that a row adds, limit), whole numbers. ``start`` and ``end`` must not be null."""
+    rule = Greedy(float(longest), [int(limit) for _, _, limit in sizes])
+    first = F.col("place") == 1
+    known = lambda c: F.coalesce(c, F.lit(False))
+    made = {"g_hard": first | known(hard), "g_glued": ~first & known(F.lit(False) if glued is None else glued), "g_start": F.col(start), "g_end": F.col(end), "g_past": F.coalesce(F.col(f"highest_{start}"), F.lit(-math.inf))}
+    for k, (own, add, _) in enumerate(sizes):
+        made |= {f"g_own{k}": own.cast("long"), f"g_add{k}": add.cast("long")}
+
+    def profile(values):
+        found, added = rule.profile(values[:-1], values[-1][0] <= values[2][0])
+        return [x for row in found for x in row], added
+
+    width = 3 + 2 * len(rule.most)
+
+    def chain(blocks):
+        return rule.chained([(block, [found[n : n + width] for n in range(0, len(found), width)], added) for block, found, added in blocks])
+
+    entered = _entries(rows.withColumns(made), profile, [*rule.columns, "g_past"], [StructField("found", _array(DoubleType())), StructField("added", _array(LongType()))], chain, DoubleType())
+    return in_sequence(entered, rule.run, [StructField("group", LongType()), StructField("held", LongType())], drop=[*rule.columns, "g_past", "entry"])
+
+
+# ---- ends that push on ---------------------------------------------------------------------------------------------
+
+#: What an end may be off by through rounding, and more.
+_SLACK = 1e-6
+
+
+def pushed_on(rows: DataFrame, sliver: float) -> DataFrame:
+    """Rows of ``with_rows_before`` (start_s below end_s, neither null nor negative) so that none starts before the one
+    before it ends; one that would end too early lasts ``sliver``.
+
+    A reach from before pushes rows of a block on by ``sliver`` each until one ends after it; from there on the block is
+    what it is anyway. So a block says where it ends by itself, how many rows it has, and which rows can stop a push."""
+
+    def step(reach: float, a: float, b: float) -> tuple[float, float]:
+        a = max(a, reach)
+        return a, b if b > a else a + sliver
+
+    def profile(values):
+        starts, ends = values[0].tolist(), values[1].tolist()
+        reach = 0.0
+        for a, b in zip(starts, ends):
+            reach = step(reach, a, b)[1]
+        room = values[1] - sliver * np.arange(len(ends))
+        near = np.flatnonzero(room >= room.max() - 2 * _SLACK)
+        return [reach, float(len(ends)), float(room.max())], [x for n in near.tolist() for x in (float(n), ends[n])]
+
+    def chain(blocks):
+        reach = None
+        for block, (own, count, most), stops in blocks:
+            if reach is not None:
+                yield block, [reach]
+                if reach >= most - _SLACK:
+                    pushed, at, free = reach, 0, False
+                    for n, end in zip(stops[::2], stops[1::2]):
+                        while at < n:
+                            pushed, at = pushed + sliver, at + 1
+                        free = free or end > pushed
+                    while at < count:
+                        pushed, at = pushed + sliver, at + 1
+                    if not free:
+                        own = pushed
+            reach = own
+
+    def run(batches):
+        reach = 0.0
+        for batch in batches:
+            entries = batch.column("entry")
+            entered = set(np.flatnonzero(batch.column("at").to_numpy() == 1).tolist())
+            starts, ends = [], []
+            for n, (a, b) in enumerate(zip(batch.column("start_s").to_pylist(), batch.column("end_s").to_pylist())):
+                if n in entered:
+                    reach = (entries[n].as_py() or [0.0])[0]
+                a, reach = step(reach, a, b)
+                starts.append(a)
+                ends.append(reach)
+            yield batch, [pa.array(starts, pa.float64()), pa.array(ends, pa.float64())]
+
+    entered = _entries(rows, profile, ["start_s", "end_s"], [StructField("own", _array(DoubleType())), StructField("stops", _array(DoubleType()))], chain, DoubleType())
+    return in_sequence(entered, run, [StructField("start_s", DoubleType()), StructField("end_s", DoubleType())], drop=["start_s", "end_s", "entry"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import in_order
+from .timeline import greedy_groups, in_blocks, with_rows_before
 
 
 def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int = 0) -> DataFrame:
@@ -15,23 +15,16 @@ def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int
     A batch holds ``batch_size`` entries at most; with ``text_split_size`` it also closes before its texts, each with
     one separator, would come to that length.
     """
+    rows = with_rows_before(in_blocks(entries))
     if text_split_size <= 0:
-        at = F.row_number().over(in_order()) - 1
-        return entries.withColumns({"batch_no": F.floor(at / batch_size).cast("int"), "local_no": (at % batch_size + 1).cast("int")})
-    # only lengths are folded: a few bytes for each entry of a media
-    lengths = entries.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<seq: bigint, batch_no: int, local_no: int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("size"), F.lit(0).alias("used"))
-
-    def step(acc: Column, row: Column) -> Column:
-        close = (acc["size"] > 0) & ((acc["size"] >= batch_size) | (acc["used"] + row["n"] + 1 >= text_split_size))
-        batch = acc["batch"] + close.cast("int")
-        size = F.when(close, 1).otherwise(acc["size"] + 1)
-        own = F.struct(row["seq"].cast("long").alias("seq"), batch.alias("batch_no"), size.alias("local_no"))
-        used = F.when(close, F.lit(0)).otherwise(acc["used"]) + row["n"] + 1
-        return F.struct(F.concat(acc["out"], F.array(own)).alias("out"), batch.alias("batch"), size.alias("size"), used.alias("used"))
-
-    placed = lengths.select("media_id", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("p")).select("media_id", "p.*")
-    return entries.join(placed, ["media_id", "seq"])
+        at = F.col("place") - 1
+        rows = rows.withColumns({"batch_no": F.floor(at / batch_size).cast("int"), "local_no": (at % batch_size + 1).cast("int")})
+    else:
+        rows = rows.withColumns({"origin": F.lit(0.0), "highest_origin": F.lit(0.0)})
+        size, one = F.length("text") + 1, F.lit(1)
+        rows = greedy_groups(rows, F.lit(False), "origin", "origin", sizes=[(one, one, batch_size), (size, size, text_split_size - 1)])
+        rows = rows.withColumns({"batch_no": (F.col("group") - 1).cast("int"), "local_no": F.col("held").cast("int")})
+    return rows.select(*entries.columns, "batch_no", "local_no")
 
 
 def batch_requests(batched: DataFrame) -> DataFrame:

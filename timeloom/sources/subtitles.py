@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.timing import format_srt_time, parse_srt_time
 from ..operators.jobs import stem
+from .sinks import write_texts
 
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -79,6 +80,12 @@ def render_json(cues: DataFrame) -> DataFrame:
     return lists.select("media_id", F.to_json(F.transform("c", lambda x: x["cue"])).alias("body"))
 
 
-def write_texts(texts: DataFrame, root: str, mode: str = "errorifexists") -> None:
-    """One folder for each media, with its text in it."""
-    texts.select("media_id", F.col("body").alias("value")).write.mode(mode).partitionBy("media_id").text(root)
+def write_srt(cues: DataFrame, root: str, suffix: str = ".srt", mode: str = "append") -> None:
+    """Cues of each media as a subtitle file of its name."""
+    write_texts(render_srt(cues), root, suffix, mode)
+
+
+def write_translated_srt(merged: DataFrame, root: str, suffix: str = ".ko.srt", mode: str = "append") -> None:
+    """Translated entries as subtitle files; a file that does not have one block for each entry fails the job."""
+    counts = merged.groupBy("media_id").agg(F.count("*").alias("expected"))
+    write_texts(render_translated_srt(merged).join(counts, "media_id"), root, suffix, mode)

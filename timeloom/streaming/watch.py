@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import cues as C
 from ..operators import quality as Q
 from ..operators.jobs import ignored, is_supported
+from ..sources.folders import files_of, opened
 from ..sources.recognition import explode_raw_chunks
 
 
-def new_media(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Stream of supported media files as they arrive: path, size, mtime."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).load(root)
-    return files.where(is_supported(F.col("path")) & ~ignored(F.col("path"))).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+class FolderReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.roots = options["path"].split(",")
+        self.recurse, self.every = options.get("recursive", "false") == "true", float(options.get("pollseconds", 5.0))
+        self.last = 0
+
+    def initialOffset(self) -> dict:
+        return {"polled_at": 0}
+
+    def latestOffset(self) -> dict:
+        """The time of a poll, in microseconds: a new one once ``pollSeconds`` have passed since the last."""
+        now = time.time_ns() // 1000
+        if now - self.last >= self.every * 1e6:
+            self.last = now
+        return {"polled_at": self.last}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(root) for root in self.roots]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """What the folder holds when the task runs; a batch that is run again observes it again."""
+        system, path, prefix = opened(partition.value)
+        now = datetime.datetime.now(datetime.UTC)
+        for file in files_of(system, path, self.recurse):
+            yield prefix + file.path, file.size, file.mtime.astimezone(datetime.UTC), now
+
+
+class FolderObservations(DataSource):
+    """Stream of what folders hold at each poll: every file each time, so that later polls show whether it still grows.
+    Options: path (several folders parted by commas, one task each), recursive, pollSeconds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_observations"
+
+    def schema(self) -> str:
+        return "path string, size long, mtime timestamp, observed_at timestamp"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return FolderReader(dict(self.options))
+
+
+def observe_folders(spark: SparkSession, roots: list[str], poll_s: float = 5.0, recurse: bool = False) -> DataFrame:
+    """Stream of observations (path, size, mtime, observed_at) of supported media files, each file at every poll."""
+    spark.dataSource.register(FolderObservations)
+    options = {"path": ",".join(roots), "recursive": str(recurse).lower(), "pollSeconds": str(poll_s)}
+    seen = spark.readStream.format("folder_observations").options(**options).load()
+    return seen.where(is_supported(F.col("path")) & ~ignored(F.col("path")))
+
+
+def new_media(spark: SparkSession, roots: list[str], poll_s: float = 5.0, checks: int = 3, min_age_s: float = 10.0, recurse: bool = False) -> DataFrame:
+    """Stream of supported media files as they arrive whole: each path once, when ``checks`` polls after one found it
+    unchanged, not empty and old enough."""
+    return stable_file_stream(observe_folders(spark, roots, poll_s, recurse), checks, min_age_s)
 
 
 def stable_files(observations: DataFrame, checks: int = 3, min_age_s: float = 10.0) -> DataFrame:
