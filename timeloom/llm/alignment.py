@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import collections
 import hashlib
 import json
 import os
 import re
-from array import array
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -18,85 +15,92 @@ from pyspark.sql import functions as F
 from .common import saved, slices
 from .tokens import byte_values
 
-#: Bytes of texts in one unit of work, and of remembered words in a worker with what one takes besides its letters.
+#: Bytes of texts in one unit of work.
 SLICE = 1 << 19
-ROOM, ENTRY = 96 << 20, 400
-#: Bytes that one call of a tokeniser gets.
-CALL = 1 << 15
 #: Pairs whose links are looked up in a broadcast table: those of more than one link in FREQUENT, so never more of them.
 FREQUENT = 1 << 18
 
 
+#: Fixed value: how byte-level BPE of this kind parts a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def default_tokenizers() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-# ---- alignment of two sequences ------------------------------------------------------------------------------------
+# ---- alignment of token sequences ----------------------------------------------------------------------------------
 
+#: Tokens next to the middle that are tried one by one before an interval is searched as a whole.
+NEAR = 16
 
-def leaf_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
+
+def leaf_groups(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray) -> np.ndarray:
     """Ranges (a from, a to, b from, b to) of the tokens between neighbouring common ends, in order.
 
-    ``ends_a`` and ``ends_b`` are rising byte offsets at which tokens end, the last ones equal. An interval is cut at the
-    common end nearest to its middle, sought outward by bisection; both halves are treated alike, and an interval without
-    a common end inside is a leaf. A stack stands for the recursion, so long texts do not exhaust it.
+    ``ends_a`` and ``ends_b`` are the rising byte offsets at which the tokens of texts that stand end to end end, and the
+    bounds (n + 1) tell the tokens of each text. Each text is an interval; an interval is cut at the common end nearest to
+    its middle, which is sought outward by bisection of the other side; both halves are treated alike, and one without a
+    common end inside is a leaf. All intervals of a depth are worked on together.
     """
-    groups = []
-    stack = [(0, len(ends_a), 0, len(ends_b))] if ends_a or ends_b else []
-    while stack:
-        a0, a1, b0, b1 = stack.pop()
-        cut = None
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            middle = (a0 + a1 - 2) // 2
-            for away in range(a1 - a0):
-                for at in (middle - away, middle + away) if away else (middle,):
-                    if a0 <= at < a1 - 1:
-                        other = bisect_left(ends_b, ends_a[at], b0, b1 - 1)
-                        if other < b1 - 1 and ends_b[other] == ends_a[at]:
-                            cut = (at + 1, other + 1)
-                            break
-                if cut:
-                    break
-        if cut:
-            stack.append((cut[0], a1, cut[1], b1))
-            stack.append((a0, cut[0], b0, cut[1]))
-        else:
-            groups.append((a0, a1, b0, b1))
-    return groups
-
-
-def overlaps(ends_a: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Numbers of the A and B tokens of a leaf group whose byte ranges overlap."""
-    a, a1, b, b1 = group
-    found = []
-    while a < a1 and b < b1:
-        found.append((a, b))
-        if ends_a[a] <= ends_b[b]:
-            a += 1
-        else:
-            b += 1
-    return found
-
-
-Aligned = collections.namedtuple("Aligned", "n_a n_b n_groups groups pairs")
+    a0, a1, b0, b1 = (x.astype(np.int64) for x in (bounds_a[:-1], bounds_a[1:], bounds_b[:-1], bounds_b[1:]))
+    leaves = [np.zeros((0, 4), np.int64)]
+    while len(a0):
+        cut_a, cut_b = np.full(len(a0), -1), np.full(len(a0), -1)
+        middle = a0 + (a1 - a0 - 2) // 2
+        open_ = np.flatnonzero((a1 - a0 > 1) & (b1 - b0 > 1))
+        for away in range(NEAR):
+            for side in (-away, away) if away else (0,):
+                at = middle[open_] + side
+                inside = (at >= a0[open_]) & (at < a1[open_] - 1)
+                at, own = at[inside], open_[inside]
+                other = np.searchsorted(ends_b, ends_a[at])
+                met = ends_b[other] == ends_a[at]
+                cut_a[own[met]], cut_b[own[met]] = at[met], other[met]
+                open_ = open_[cut_a[open_] < 0]
+            open_ = open_[(middle[open_] - away > a0[open_]) | (middle[open_] + away < a1[open_] - 2)]
+            if not len(open_):
+                break
+        for n in open_.tolist():  # long stretches with hardly a common end
+            at = np.arange(a0[n], a1[n] - 1)
+            other = np.searchsorted(ends_b, ends_a[at])
+            met = np.flatnonzero(ends_b[other] == ends_a[at])
+            if len(met):
+                best = met[np.abs(at[met] - middle[n]).argmin()]
+                cut_a[n], cut_b[n] = at[best], other[best]
+        cut = cut_a >= 0
+        leaves.append(np.stack([a0, a1, b0, b1], axis=1)[~cut & (a1 > a0)])
+        ends = cut_a[cut] + 1, cut_b[cut] + 1
+        a0, a1 = np.concatenate([a0[cut], ends[0]]), np.concatenate([ends[0], a1[cut]])
+        b0, b1 = np.concatenate([b0[cut], ends[1]]), np.concatenate([ends[1], b1[cut]])
+    groups = np.concatenate(leaves)
+    return groups[np.argsort(groups[:, 0])]
+
+
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all A and B tokens whose byte ranges overlap; every token has bytes."""
+    first = np.searchsorted(ends_b, np.concatenate([[0], ends_a[:-1]])[: len(ends_a)], "right")
+    count = np.searchsorted(ends_b, ends_a) - first + 1
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(np.arange(len(ends_a)), count), np.repeat(first, count) + inside
 
 
 class PairAligner:
     """Ids of a byte-level BPE (A) and a sentence-piece BPE (B) on space + text, and their alignment.
 
-    A word with the white space before it ends in a shared cut: neither tokeniser has a token that goes on from a
-    character into white space behind it (the pieces are checked for that), so a text is divided at such places first,
-    and a worker divides each distinct word by bisection once. Texts with characters about which the two disagree are
-    encoded and divided as a whole.
-    """
+    Where the ids of A follow the order of its merges, as ranks do, the same vocabulary runs in a faster engine of ranks;
+    texts with characters of which versions of Unicode may think otherwise go through A's own."""
 
     _shared: dict[tuple[str, str], "PairAligner"] = {}
+    #: Anything but Latin, Greek and Cyrillic letters, common marks, kana, frequent ideographs and Hangul.
+    _unsure = re.compile("[^\t\n\r -~\u00a0-\u0377\u0400-\u0527\u2010-\u2027\u2030-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -110,14 +114,18 @@ class PairAligner:
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b))
-        # white space into which a piece goes on from another character: no cut before it
-        glue = {c for p in pieces for c in re.findall(r"(?<=[^\s▁])[\s▁]", p)}
         with open(path_a, encoding="utf-8") as file:
-            kind = json.load(file)["pre_tokenizer"] or {}
-        plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and glue <= {"\r"}
-        self.word = re.compile(r"\s*\S+(?:\r\s*\S+)*(?:\r\s*)?|\s+")
-        self.whole = re.compile("[\x1c-\x1f▁]" if plain else "")
-        self.clear()
+            stored = json.load(file)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in stored["model"]["merges"]]
+        kind = stored["pre_tokenizer"] or {}
+        ranked = all(vocabulary.get(x + y) == 256 + n for n, (x, y) in enumerate(merges)) and all(vocabulary.get(c, 256) < 256 for c in value)
+        plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and stored["normalizer"] is None
+        self.ranks = None
+        if ranked and plain:
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.bytes_a[n]: n for n in range(256 + len(merges))}, special_tokens={})
+        # every id's digits and the mark behind it: next of its side, end of A's side, end of the group
+        digits = [str(n) for n in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.written = pa.array([d + mark for d in digits for mark in ",|;"], pa.large_string())
 
     @classmethod
     def shared(cls, path_a: str, path_b: str) -> PairAligner:
@@ -125,105 +133,54 @@ class PairAligner:
             cls._shared[path_a, path_b] = cls(path_a, path_b)
         return cls._shared[path_a, path_b]
 
-    def clear(self) -> None:
-        """Forget all words: bounds memory, changes no result."""
-        self.memory: dict[str, int] = {}
-        self.held = 0
-        self.texts: list[str] = []
-        self.stats = array("i")  # n_a, n_b, n_groups of each word; n_a is -1 if the bytes differ
-        self.pairs, self.offsets = array("q"), array("q", [0])
-
-    def aligned(self, ids_a: list[int], ids_b: list[int], expected: bytes) -> Aligned | None:
-        """The alignment of two id sequences, or None if they do not spell ``expected``."""
-        parts_a, parts_b = ([known[n] for n in ids] for known, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-        if b"".join(parts_a) != expected or b"".join(parts_b) != expected:
-            return None
-        if len(ids_a) == 1 or len(ids_b) == 1:
-            groups = [(0, len(ids_a), 0, len(ids_b))]
-            linked = [(x, y) for x in range(len(ids_a)) for y in range(len(ids_b))]
-        else:
-            ends_a, ends_b = (np.cumsum([len(p) for p in parts]).tolist() for parts in (parts_a, parts_b))
-            groups = leaf_groups(ends_a, ends_b)
-            linked = [link for g in groups for link in overlaps(ends_a, ends_b, g)]
-        text = ";".join([f"{','.join(map(str, ids_a[a0:a1]))}|{','.join(map(str, ids_b[b0:b1]))}" for a0, a1, b0, b1 in groups])
-        return Aligned(len(ids_a), len(ids_b), len(groups), text, [ids_a[x] << 32 | ids_b[y] for x, y in linked])
-
-    def of_text(self, text: str) -> Aligned | None:
-        """The alignment of a whole text, which is not empty."""
-        return self.aligned(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), b" " + text.encode())
-
-    def _keep(self, word: str, found: Aligned | None) -> None:
-        self.memory[word] = len(self.texts)
-        self.texts.append(found.groups if found else "")
-        self.stats.extend(found[:3] if found else (-1, 0, 0))
-        self.pairs.extend(found.pairs if found else ())
-        self.offsets.append(len(self.pairs))
-        self.held += ENTRY + 3 * len(word)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode and divide new words, many in one call; each starts with white space and ends in something else."""
-        ends_b = lambda word: self.b.encode("x" + word)[len(self.b.encode("x")) :]
-        group: list[str] = []
-        size = 0
-        for word in [*sorted(words), None]:
-            if word is not None and (word[-1].isspace() or len(word) > CALL):
-                self._keep(word, self.aligned(self.a.encode(word, add_special_tokens=False).ids, ends_b(word), word.encode()))
-                continue
-            if group and (word is None or size > CALL):
-                self._together(group)
-                group, size = [], 0
-            if word is not None:
-                group.append(word)
-                size += len(word)
-
-    def _together(self, group: list[str]) -> None:
-        raw = [w.encode() for w in group]
-        joined = " x" + "".join(group)
-        cuts = np.cumsum([2, *map(len, raw)])
-        sides = []
-        for ids, sizes in ((self.a.encode(joined, add_special_tokens=False).ids, self.sizes_a), (self.b.encode(joined[1:]), self.sizes_b)):
-            ends = np.cumsum(sizes[np.array(ids)])
-            at = np.searchsorted(ends, cuts)
-            if at[-1] >= len(ends) or (ends[at] != cuts).any() or ends[-1] != cuts[-1]:
-                sides = None  # some word is not spelled byte by byte: one at a time then
-                break
-            sides.append((ids, (at + 1).tolist()))
-        for n, word in enumerate(group):
-            if sides:
-                own = [ids[at[n] : at[n + 1]] for ids, at in sides]
-            else:
-                own = [self.a.encode(word, add_special_tokens=False).ids, self.b.encode("x" + word)[len(self.b.encode("x")) :]]
-            self._keep(word, self.aligned(*own, raw[n]))
-
-    def align(self, texts: list[str]) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text, pairs as rising numbers a << 32 | b."""
-        nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        cut: list[list[str] | None] = [None if not t or self.whole.search(t) else self.word.findall(" " + t) for t in texts]
-        if self.held > ROOM:
-            self.clear()
-        self.learn({w for words in cut if words for w in words if w not in self.memory})
-        stats, offsets, pairs = (np.array(x) for x in (self.stats, self.offsets, self.pairs))
-        stats = stats.reshape(-1, 3)
+    def ids_a(self, text: str) -> list[int]:
+        if self.ranks is None or self._unsure.search(text):
+            return self.a.encode(" " + text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(" " + text)
+
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both sides of each text, none where they do not spell space + text."""
         out = []
-        for text, words in zip(texts, cut):
-            if words:
-                numbers = np.array(list(map(self.memory.__getitem__, words)))
-                own = stats[numbers]
-                if own[:, 0].min() >= 0:
-                    first, lengths = offsets[numbers], offsets[numbers + 1] - offsets[numbers]
-                    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    values, times = np.unique(pairs[np.repeat(first, lengths) + inside], return_counts=True)
-                    digest = hashlib.sha256(";".join(map(self.texts.__getitem__, numbers.tolist())).encode()).hexdigest()
-                    out.append((*own.sum(0).tolist(), int(lengths.sum()), digest, values, times))
-                    continue
-            found = self.of_text(text) if text else None
-            if found is None:
-                out.append(nothing)
-                continue
-            values, times = np.unique(np.array(found.pairs, np.int64), return_counts=True)
-            out.append((*found[:3], len(found.pairs), hashlib.sha256(found.groups.encode()).hexdigest(), values, times))
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a = self.ids_a(text) if text else []
+            expected = b" " + text.encode()
+            if not text or b"".join([self.bytes_a[n] for n in a]) != expected or b"".join([self.bytes_b[n] for n in b]) != expected:
+                a = b = []
+            out.append((a, b))
         return out
 
+    def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
+        """By text: n_a, n_b, n_groups, n_links, groups_sha256, and pairs (a << 32 | b, rising and distinct within a text)
+        with their times, end to end with their bounds."""
+        ids = self.encoded(texts)
+        (a, bounds_a), (b, bounds_b) = (_joined([pair[side] for pair in ids]) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        groups = leaf_groups(ends_a, ends_b, bounds_a, bounds_b)
+        # the groups in writing: A's ids of a group, then B's
+        own_a, own_b = (np.repeat(np.arange(len(groups)), groups[:, n + 1] - groups[:, n]) for n in (0, 2))
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[groups[:, 1] - 1], mark_b[groups[:, 3] - 1] = 1, 2
+        order = np.zeros(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + groups[own_a, 2]] = 3 * a + mark_a
+        order[np.arange(len(b)) + groups[own_b, 1]] = 3 * b + mark_b
+        written = self.written.take(pa.array(order))
+        spots = np.frombuffer(written.buffers()[1], np.int64)[: len(order) + 1][bounds_a + bounds_b].tolist() if len(order) else [0] * (len(texts) + 1)
+        data = memoryview(written.buffers()[2] or b"")
+        digests = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(spots, spots[1:])]
+        # links, counted within each text
+        left, right = overlaps(ends_a, ends_b)
+        links = a[left] << 32 | b[right]
+        at = np.searchsorted(left, bounds_a)
+        counted = [np.unique(links[x:y], return_counts=True) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        return {
+            "n_a": np.diff(bounds_a), "n_b": np.diff(bounds_b), "n_groups": np.diff(np.searchsorted(groups[:, 0], bounds_a)), "n_links": np.diff(at), "groups_sha256": digests,
+            "bounds": np.cumsum([0] + [len(v) for v, _ in counted]), "pairs": np.concatenate([v for v, _ in counted]), "times": np.concatenate([n for _, n in counted]),
+        }
+
+
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([n for ids in lists for n in ids], np.int64), np.cumsum([0] + [len(ids) for ids in lists])
+
 
 # ---- corpus --------------------------------------------------------------------------------------------------------
 
@@ -243,9 +200,8 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         aligner = PairAligner.shared(*paths)
         for batch in slices(batches, SLICE):
             found = aligner.align(batch.column("text").to_pylist())
-            columns = [pa.array([row[n] for row in found], pa.int64() if n < 4 else pa.string()) for n in range(5)]
-            ends = pa.array(np.cumsum([0] + [len(row[5]) for row in found]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([row[n] for row in found]), kind)) for n, kind in ((5, pa.int64()), (6, pa.int32()))]
+            columns = [pa.array(found[name], pa.string() if name == "groups_sha256" else pa.int64()) for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")]
+            lists = [pa.ListArray.from_arrays(pa.array(found["bounds"], pa.int32()), pa.array(found[name], kind)) for name, kind in (("pairs", pa.int64()), ("times", pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     return texts.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>")
