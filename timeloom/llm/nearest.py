@@ -1,6 +1,7 @@
 """Exact nearest neighbours by a block matrix join over int8 tiles.
 
-Vectors are packed into blocks, one row each: int8 codes, scales, norms and the originals. Query blocks meet candidate
+Vectors are packed into blocks, one row each: int8 codes, scales and norms, worked out once, and the originals. A block
+is known by its first id, which no other block holds. Query blocks meet candidate
 blocks as tiles of a grid; no pair of vectors is ever a row. In a tile one matrix product of codes gives approximate
 inner products, and each has an error bound from the norms of what quantisation dropped. Candidates whose upper bound
 stays below the k-th best lower bound are out; the survivors are computed again from the originals in double precision,
@@ -21,7 +22,7 @@ STRIP = 8
 #: Queries multiplied at once, and parts of query blocks whose best a task holds.
 PART, HELD = 128, 512
 
-BLOCK = "dim int, ids binary, data binary"
+BLOCK = "dim int, first long, ids binary, codes binary, facts binary, data binary"
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,13 +35,14 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return codes.astype(np.int8), scale, np.linalg.norm(spelled, axis=1) * slack, np.linalg.norm(x - spelled, axis=1) * slack + 1e-300
 
 
-def best_of_tile(q_ids, q, c_ids, c, k: int, floor: np.ndarray):
-    """(query row, candidate id, score) of the k best candidates of each query, its own row left out.
+def best_of_tile(q_ids, q, q_packed, c_ids, c, c_packed, k: int, floor: np.ndarray):
+    """(query row, candidate id, score) of the k best candidates of each query, its own row left out. ``q_packed`` and
+    ``c_packed`` are what ``quantised`` makes of ``q`` and ``c``.
 
     ``floor`` holds a score that k candidates of earlier tiles reach already, or -inf.
     """
-    q_codes, q_scale, q_norm, q_rest = quantised(q)
-    c_codes, c_scale, c_norm, c_rest = quantised(c)
+    q_codes, q_scale, q_norm, q_rest = q_packed
+    c_codes, c_scale, c_norm, c_rest = c_packed
     near = q_codes.astype(np.float32) @ c_codes.astype(np.float32).T  # whole numbers, exact up to 1,000 dimensions
     near = near.astype(np.float64) * q_scale[:, None] * c_scale[None, :]
     bound = q_norm[:, None] * c_rest[None, :] + q_rest[:, None] * (c_norm + c_rest)[None, :]
@@ -74,10 +76,10 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
 
         def row(dim):
             ids, data = zip(*held.pop(dim))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(data, np.float64).tobytes()], pa.binary())],
-                names=["dim", "ids", "data"],
-            )
+            data = np.array(data, np.float64)
+            codes, *facts = quantised(data)
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int64), codes, np.stack(facts), data)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[0]], pa.int64()), *packed], names=["dim", "first", "ids", "codes", "facts", "data"])
 
         for batch in batches:
             lists = batch.column("v")
@@ -92,7 +94,18 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield row(dim)
 
-    return vectors.mapInArrow(pack, BLOCK).withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(1 << 30)))
+    return vectors.mapInArrow(pack, BLOCK)
+
+
+def _dealt(count: int):
+    """One of ``count`` parts for a block, by a hash of its first id."""
+    return F.pmod(F.xxhash64("first"), F.lit(count)).cast("long")
+
+
+def _unpacked(read, side: str, dim: int):
+    """Ids, vectors, and codes, scales and norms of a block."""
+    facts = read(f"{side}facts", np.float64).reshape(3, -1)
+    return read(f"{side}ids", np.int64), read(f"{side}data", np.float64).reshape(-1, dim), [read(f"{side}codes", np.int8).reshape(-1, dim), *facts]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -116,15 +129,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     # a grid of cells: strips of candidates by groups of queries; a task works through one cell
     strips = max(1, -(-n // (CANDIDATES * STRIP)), min(-(-n // CANDIDATES), 16))
     groups = max(1, -(-asked_n // (QUERIES * STRIP)))
-    candidates = _blocks(clean(vectors), CANDIDATES).withColumn("strip", F.pmod("block", F.lit(strips)))
+    candidates = _blocks(clean(vectors), CANDIDATES).withColumn("strip", _dealt(strips))
     candidates = candidates.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    asked = _blocks(clean(queries), QUERIES).withColumn("group", F.pmod("block", F.lit(groups)))
+    asked = _blocks(clean(queries), QUERIES).withColumn("group", _dealt(groups))
     asked = asked.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)).cast("array<long>")))
-    asked = asked.select("dim", "strip", "group", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "block")
-    tiles = candidates.select("dim", "strip", "group", "ids", "data").join(asked, ["dim", "strip", "group"])
+    packed = ("ids", "codes", "facts", "data")
+    asked = asked.select("dim", "strip", "group", F.col("first").alias("block"), *[F.col(c).alias(f"q_{c}") for c in packed])
+    tiles = candidates.select("dim", "strip", "group", *packed).join(asked, ["dim", "strip", "group"])
 
     def search(batches):
-        held: dict[tuple[int, int], tuple] = {}  # best so far of each query block part; the k-th is the next tile's floor
+        # best so far of each part of a query block, which its first id tells; the k-th is the next tile's floor
+        held: dict[tuple[int, int], tuple] = {}
 
         def flush():
             for ids, (row, found, score) in held.values():
@@ -135,16 +150,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for at in range(batch.num_rows):
                 dim, block = batch.column("dim")[at].as_py(), batch.column("block")[at].as_py()
                 read = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)  # noqa: B023, E731
-                q_ids, c_ids = read("q_ids", np.int64), read("ids", np.int64)
-                q, c = read("q_data", np.float64).reshape(-1, dim), read("data", np.float64).reshape(-1, dim)
+                (q_ids, q, q_packed), (c_ids, c, c_packed) = (_unpacked(read, side, dim) for side in ("q_", ""))
                 for low in range(0, len(q_ids), PART):
-                    ids, own = q_ids[low : low + PART], q[low : low + PART]
+                    part = slice(low, low + PART)
+                    ids, own = q_ids[part], q[part]
                     _, before = held.get((block, low), (ids, None))
                     floor = np.full(len(ids), -np.inf)
                     if before:
                         last = np.flatnonzero(np.bincount(before[0], minlength=len(ids)) == k)
                         floor[last] = before[2][np.searchsorted(before[0], last, "right") - 1]
-                    new = best_of_tile(ids, own, c_ids, c, k, floor)
+                    new = best_of_tile(ids, own, [x[part] for x in q_packed], c_ids, c, c_packed, k, floor)
                     if before:
                         new = _best(*(np.concatenate(x) for x in zip(before, new)), k)
                     held[block, low] = (ids.copy(), new)
