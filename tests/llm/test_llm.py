@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from timeloom.llm import components, fragments, lines, mixing, nearest, packing, quality, rlz, shingles, simhash, suffix, tokens, urls
 
@@ -214,6 +215,29 @@ def test_similar_documents(spark, block, monkeypatch):
     assert sorted(kept) == sorted(set(root.values())) and shingles.one_of_each_similar(empty(spark)).count() == 0
 
 
+def thue_morse(n, a, b):
+    out = [a, b]
+    for _ in range(n):
+        out, a, b = [a, b], "".join([a, b]), "".join([b, a])
+    return a, b
+
+
+@pytest.mark.parametrize("narrow", [False, True], ids=["wide", "narrow"])
+def test_unlike_sets_stay_apart(spark, narrow, monkeypatch):
+    """Words on which sums of powers agree, and digests of which one half is the same for all."""
+    if narrow:
+        digests = shingles.set_digests
+        monkeypatch.setattr(shingles, "set_digests", lambda *x: digests(*x) * np.array([0, 1]))
+    left, right = thue_morse(11, "a", "b")
+    assert left != right and len(left) == len(right) >= 2048
+    words = ["four common words first"]
+    texts = [(1, left), (2, right), (3, left), (4, " ".join([*words, left])), (5, " ".join([*words, right])), (6, ""), (7, None), (None, left)]
+    found = {}
+    for r in shingles.similar_classes(table(spark, texts)).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(found.values(), key=str) == sorted([{1, 3, None}, {2}, {4}, {5}, {6, 7}], key=str)
+
+
 def test_crowded_keys():
     chance = np.random.default_rng(1)
     fps = np.unique(np.concatenate([np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64) | np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64), chance.integers(0, 1 << 63, 500).astype(np.uint64)]))
@@ -311,9 +335,12 @@ def test_urls(spark):
     assert got[5] == ("", "", None, "allow") and got[7] == ("bad.host", "", None, "block") and got[8][2:] == (None, "allow") and got[9][2:] == ("org/es/", "block")
 
 
-def test_nearest(spark, monkeypatch):
+@pytest.mark.parametrize("queries", [16, 3])
+def test_nearest(spark, queries, monkeypatch):
     monkeypatch.setattr(nearest, "CANDIDATES", 40)
-    monkeypatch.setattr(nearest, "QUERIES", 16)
+    monkeypatch.setattr(nearest, "QUERIES", queries)
+    if queries == 3:  # a hash that deals all blocks alike: blocks are told by their ids, not by it
+        monkeypatch.setattr(nearest, "_dealt", lambda count: F.lit(0).cast("long"))
     chance = np.random.default_rng(9)
     vectors = chance.normal(size=(300, 12)).astype(np.float32)
     vectors[50:90] = vectors[7]
