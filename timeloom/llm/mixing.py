@@ -95,8 +95,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     """Weights (domains x features) and intercepts of domain posteriors fitted on ``labels`` (doc_id, domain).
 
     At most about ``max_labelled`` rows of each domain are used, chosen by a hash of their id; their number bounds the
-    broadcast of ids and what is trained on. Features of too few of the sample's documents have weight
-    zero. A domain without any labelled document in ``docs`` has no evidence: weights of zero, a posterior close to none.
+    broadcast of ids and what is trained on. Features of fewer documents than a
+    tenth of the sample, ``MIN_DOCS`` at most, or than its ``MIN_SHARE`` have weight zero. A domain without any labelled document in ``docs`` has no evidence: weights of zero, a posterior close to none.
     """
     number = F.create_map(*[x for n, d in enumerate(domains) for x in (F.lit(d), F.lit(n))])[F.col("domain")]
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), number.cast("double").alias("label")).where("label is not null and label_id is not null")
@@ -122,9 +122,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col:
     weight = F.create_map(*[x for n, count in used.items() for x in (F.lit(n), F.lit(scale * sizes[n] / count))])[F.col("label")]
     place = F.create_map(*[x for at, n in enumerate(found) for x in (F.lit(float(n)), F.lit(float(at)))])[F.col("label")]
     count = sum(used.values())
-    enough = max(MIN_DOCS, round(MIN_SHARE * count)) if count >= 10 * MIN_DOCS else 1
+    enough = max(min(MIN_DOCS, -(-count // 10)), round(MIN_SHARE * count))
     common = rows.select(F.explode("present").alias("feature")).groupBy("feature").count().where(F.col("count") >= enough)
     columns = np.sort(np.array([r["feature"] for r in common.select("feature").collect()], np.int64))  # at most SIZE
+    if not len(columns):  # nothing but the domains' shares is known
+        base[found] = [np.log(sizes[n]) for n in found]
+        return weights, base
 
     def vector(present):
         at = np.searchsorted(columns, present)
