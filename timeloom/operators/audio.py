@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timing
 from ..functions.text import let
-from .timeline import bucketed
+from .timeline import in_blocks, interval_cells, numbered_in_blocks, point_cells
 
 
 def audio_duration(blocks: DataFrame) -> DataFrame:
@@ -41,6 +43,60 @@ def frame_levels(samples: Column, per_frame: Column, floor_rms: float = 0.0) ->
     return F.transform(frames, lambda at: timing.dbfs(F.slice(samples, at, per_frame), floor_rms))
 
 
+def square_sums(blocks: DataFrame) -> DataFrame:
+    """Blocks with sums, the squares of their samples added up from the block's start (one number more than samples), in
+    place of samples: any stretch of a block then costs two look-ups. Rows without samples are left out."""
+    kept = ["media_id", "block_no", "sample_rate", "first_sample"]
+
+    def run(batches):
+        for batch in batches:
+            samples = batch.column("samples")
+            lengths = samples.value_lengths().to_numpy()
+            squares = samples.flatten().to_numpy().astype(np.int64) ** 2
+            running = np.concatenate([[0], np.cumsum(squares)])
+            ends = np.cumsum(lengths)
+            at = np.arange(len(squares) + len(lengths)) - np.repeat(np.arange(len(lengths)), lengths + 1)
+            sums = running[at] - np.repeat(running[ends - lengths], lengths + 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths + 1)]), pa.int32()), pa.array(sums))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [lists], names=[*kept, "sums"])
+
+    rows = blocks.where("size(samples) > 0").select(*kept, "samples")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sums array<long>")
+
+
+def framed_levels(spans: DataFrame, blocks: DataFrame, frame_s: float, floor_rms: float = 0.0) -> DataFrame:
+    """Levels of the frames of each span (media_id, seq, first, stop: samples), counted from its own first sample:
+    (media_id, seq, sample_rate, per, levels). A span meets the square sums of the blocks it touches; of a frame only its
+    sum in each block is a row, so no samples are gathered."""
+    facts = blocks.groupBy("media_id").agg(F.max("sample_rate").alias("sample_rate"), F.max(F.size("samples")).alias("size"))
+    per = F.greatest(F.floor(F.col("sample_rate") * frame_s), F.lit(1)).cast("long")
+    rows = spans.where("stop > first").join(facts.withColumn("per", per), "media_id")
+    rows = rows.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("first") / F.col("size")), F.floor((F.col("stop") - 1) / F.col("size")))))
+    met = rows.drop("sample_rate").join(square_sums(blocks).withColumnRenamed("sample_rate", "rate"), ["media_id", "block_no"])
+    low = F.greatest(F.col("first"), F.col("first_sample"))
+    high = F.least(F.col("stop"), F.col("first_sample") + F.size("sums") - 1)
+    met = met.withColumns({"low": low, "high": high}).where("high > low")
+    number = lambda at: F.floor((at - F.col("first")) / F.col("per"))
+    look_up = lambda at: F.element_at("sums", (at - F.col("first_sample") + 1).cast("int"))
+
+    def of_frame(k: Column) -> Column:
+        edge = lambda n: F.least(F.greatest(F.col("first") + n * F.col("per"), F.col("low")), F.col("high"))
+        return F.struct(k.alias("frame_no"), (look_up(edge(k + 1)) - look_up(edge(k))).alias("square"), (edge(k + 1) - edge(k)).alias("n"))
+
+    frames = F.transform(F.sequence(number(F.col("low")), number(F.col("high") - 1)), of_frame)
+    parts = met.select("media_id", "seq", F.col("rate").alias("sample_rate"), "per", F.inline(frames))
+    whole = parts.groupBy("media_id", "seq", "sample_rate", "per", "frame_no").agg(F.sum("square").alias("square"), F.sum("n").alias("n"))
+    rms = F.greatest(F.sqrt(F.col("square").cast("double") / F.col("n")), F.lit(floor_rms))
+    level = F.when(rms <= 0, -100.0).otherwise(20 * F.log10(rms / 32768.0))
+    lists = whole.groupBy("media_id", "seq", "sample_rate", "per").agg(F.array_sort(F.collect_list(F.struct("frame_no", level.alias("level")))).alias("f"))
+    return lists.select("media_id", "seq", "sample_rate", "per", F.transform("f", lambda x: x["level"]).alias("levels"))
+
+
+def _totals(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("media_id").agg(F.max("sample_rate").alias("rate"), F.max(F.col("first_sample") + F.size("samples")).alias("total"))
+
+
 def media_levels(blocks: DataFrame, frame_s: float = 0.03) -> DataFrame:
     """Frame levels of whole media (media_id, frame_no, start_s, level_db), frames counted from the first sample.
 
@@ -102,19 +158,23 @@ def _stats(levels: Column, frame_s: float) -> Column:
 
 
 def audio_stats(cues: DataFrame, blocks: DataFrame, frame_s: float = 0.05) -> DataFrame:
-    """(media_id, seq, audio) of every cue; frames are counted from the cue's own start."""
+    """(media_id, seq, audio) of every cue; frames are counted from the cue's own start, and a cue that lasts at all has
+    one sample at least. A cue behind the media's end has no frames."""
     spans = cues.select("media_id", "seq", "start_s", "end_s")
-    per = F.greatest(F.floor(F.col("sample_rate") * frame_s), F.lit(1)).cast("int")
-    levels = slice_audio(blocks, spans, rounded=False).select("media_id", "seq", frame_levels(F.col("samples"), per, floor_rms=1.0).alias("levels"))
+    first = F.greatest(F.floor(F.col("start_s") * F.col("rate")), F.lit(0))
+    length = F.greatest(F.floor((F.col("end_s") - F.col("start_s")) * F.col("rate")), F.lit(1))
+    asked = spans.where("end_s > start_s").join(_totals(blocks), "media_id").select("media_id", "seq", first.alias("first"), F.least(first + length, F.col("total")).alias("stop"))
+    levels = framed_levels(asked, blocks, frame_s, floor_rms=1.0).select("media_id", "seq", "levels")
     return spans.join(levels, ["media_id", "seq"], "left").select("media_id", "seq", _stats(F.col("levels"), frame_s).alias("audio"))
 
 
-def audio_stats_from_levels(cues: DataFrame, levels: DataFrame, frame_s: float, bucket_s: float = 30.0) -> DataFrame:
+def audio_stats_from_levels(cues: DataFrame, levels: DataFrame, frame_s: float, base_s: float = 16.0) -> DataFrame:
     """The same from a table of levels (media_id, frame_no, start_s, level_db): frames that start inside the cue, found
-    by an interval join over time buckets."""
+    by an interval join over cells of time, whose widths follow the cues' lengths."""
     spans = cues.select("media_id", "seq", "start_s", "end_s")
-    frames = levels.select("media_id", "frame_no", F.col("start_s").alias("at_s"), "level_db", F.floor(F.col("start_s") / bucket_s).alias("bucket"))
-    met = bucketed(spans, bucket_s).join(frames, ["media_id", "bucket"]).where("at_s >= start_s and at_s < end_s")
+    frames = levels.select("media_id", "frame_no", F.col("start_s").alias("at_s"), "level_db")
+    cells = interval_cells(spans, base_s)
+    met = cells.join(point_cells(frames, cells, base_s, "at_s"), ["media_id", "level", "cell"]).where("at_s >= start_s and at_s < end_s")
     lists = met.groupBy("media_id", "seq").agg(F.array_sort(F.collect_list(F.struct("at_s", "frame_no", "level_db"))).alias("f"))
     lists = lists.select("media_id", "seq", F.transform("f", lambda x: x["level_db"]).alias("levels"))
     return spans.join(lists, ["media_id", "seq"], "left").select("media_id", "seq", _stats(F.col("levels"), frame_s).alias("audio"))
@@ -127,9 +187,9 @@ def refine_span_starts(spans: DataFrame, blocks: DataFrame, threshold_db: float,
         moved = spans.withColumn("moved_s", F.lit(0.0))
     else:
         search = spans.select("media_id", "seq", "start_s", F.least("end_s", F.col("start_s") + max_adjustment_s).alias("end_s"))
-        per = F.greatest(F.floor(F.col("sample_rate") * frame_s), F.lit(1)).cast("int")
-        heard = slice_audio(blocks, search, rounded=False).withColumn("per", per)
-        heard = heard.withColumn("loud", F.transform(frame_levels(F.col("samples"), F.col("per")), lambda x: (x >= threshold_db + offset_db).cast("int")))
+        bound = lambda c: F.least(F.greatest(F.floor(F.col(c) * F.col("rate")), F.lit(0)), F.col("total"))
+        asked = search.join(_totals(blocks), "media_id").select("media_id", "seq", bound("start_s").alias("first"), bound("end_s").alias("stop"))
+        heard = framed_levels(asked, blocks, frame_s).withColumn("loud", F.transform("levels", lambda x: (x >= threshold_db + offset_db).cast("int")))
         spots = F.sequence(F.lit(0), F.greatest(F.size("loud") - consecutive, F.lit(0)))
         first = F.array_min(F.filter(spots, lambda at: F.aggregate(F.slice("loud", at + 1, consecutive), F.lit(0), lambda s, x: s + x) == consecutive))
         heard = heard.select("media_id", "seq", (first * F.col("per") / F.col("sample_rate")).alias("lead_s"), "sample_rate")
@@ -144,7 +204,35 @@ def refine_span_starts(spans: DataFrame, blocks: DataFrame, threshold_db: float,
 
 
 def active_runs(levels: DataFrame, threshold_db: float) -> DataFrame:
-    """Runs of consecutive frames at or above a level: (media_id, first_frame, last_frame, frames)."""
-    order = Window.partitionBy("media_id").orderBy("frame_no")
-    loud = levels.where(F.col("level_db") >= threshold_db).withColumn("run", F.col("frame_no") - F.row_number().over(order))
-    return loud.groupBy("media_id", "run").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count("*").alias("frames")).drop("run")
+    """Runs of consecutive frames at or above a level: (media_id, first_frame, last_frame, frames). Frames are numbered
+    block by block, and a run is what frame number and number of loud frames before it have in common."""
+    loud = numbered_in_blocks(levels.where(F.col("level_db") >= threshold_db).select("media_id", F.col("frame_no").cast("long").alias("seq")))
+    runs = loud.groupBy("media_id", (F.col("seq") - F.col("place")).alias("run"))
+    return runs.agg(F.min("seq").alias("first_frame"), F.max("seq").alias("last_frame"), F.count("*").alias("frames")).drop("run")
+
+
+def longest_runs(levels: DataFrame, threshold_db: float) -> DataFrame:
+    """(media_id, frames, loud_frames, longest_run): the longest run of consecutive frames at or above a level.
+
+    Each block of frames is one state - first and last frame, frames at its ends that belong to one run, best run inside -
+    and states of neighbours merge: a run that ends one block and one that begins the next are one. A gap in the
+    numbers of frames ends a run. No task sees more than the frames of a block, or the states of a media."""
+    rows = in_blocks(levels.select("media_id", F.col("frame_no").cast("long").alias("seq"), (F.col("level_db") >= threshold_db).alias("loud")))
+    extent = rows.groupBy("media_id", "block").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("frames"), F.count_if("loud").alias("loud_frames"))
+    order = Window.partitionBy("media_id", "block").orderBy("seq")
+    inside = rows.where("loud").withColumn("run", F.col("seq") - F.row_number().over(order))
+    inside = inside.groupBy("media_id", "block", "run").agg(F.min("seq").alias("from"), F.max("seq").alias("to"))
+    ends = inside.join(extent, ["media_id", "block"]).groupBy("media_id", "block")
+    length = F.col("to") - F.col("from") + 1
+    ends = ends.agg(F.max(F.when(F.col("from") == F.col("first"), length)).alias("leading"), F.max(F.when(F.col("to") == F.col("last"), length)).alias("trailing"), F.max(length).alias("best"))
+    states = extent.join(ends, ["media_id", "block"], "left").na.fill(0, ["leading", "trailing", "best"])
+    listed = states.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "leading", "trailing", "best"))).alias("states"), F.sum("frames").alias("frames"), F.sum("loud_frames").alias("loud_frames"))
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("trailing"), F.lit(0).cast("long").alias("best"))
+
+    def merged(acc: Column, state: Column) -> Column:
+        carried = F.when(acc["last"] + 1 == state["first"], acc["trailing"]).otherwise(0)
+        through = state["leading"] == state["last"] - state["first"] + 1
+        trailing = F.when(through, carried + state["leading"]).otherwise(state["trailing"])
+        return F.struct(state["last"].alias("last"), trailing.alias("trailing"), F.greatest(acc["best"], state["best"], carried + state["leading"]).alias("best"))
+
+    return listed.select("media_id", "frames", "loud_frames", F.aggregate("states", none, merged, lambda acc: acc["best"]).alias("longest_run"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import bucketed, greedy_groups, in_blocks, in_order, pushed_on, renumbered, with_rows_before
+from .timeline import Greedy, greedy_groups, interval_cells, point_cells, pushed_on, renumbered
 
 FIELDS = ["start_s", "end_s", "text"]
 #: Seconds that a cue without duration gets.
@@ -24,9 +24,7 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
     end = F.greatest(F.lit(0.0), F.coalesce("end_s", "start_s", F.lit(0.0)))
     rows = chunks.select("media_id", "seq", start.alias("start_s"), end.alias("end_s"), T.clean_text(F.col("text")).alias("text")).where("text <> ''")
     rows = rows.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + SLIVER).otherwise(F.col("end_s")))
-    spoken = with_rows_before(in_blocks(rows), last=["text"]).where("last_text is null or last_text <> text").select("media_id", "block", "seq", *FIELDS)
-    moved = pushed_on(with_rows_before(spoken), SLIVER)
-    return moved.select("media_id", F.col("place").alias("seq"), *FIELDS)
+    return pushed_on(rows, SLIVER).select("media_id", "seq", *FIELDS)
 
 
 def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float = 6.0, max_chars: int = 42) -> DataFrame:
@@ -34,30 +32,24 @@ def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float =
     cleaned first, so what joining adds is known from neighbours alone; times must not be null."""
     text = F.col("text")
     rows = cues.select("media_id", "seq", "start_s", "end_s", T.clean_text(text).alias("text"))
-    rows = rows.withColumns({"ends": T.ends_sentence(text), "head": T.starts_alnum(text), "tail": T.ends_alnum(text)})
-    rows = with_rows_before(in_blocks(rows), last=["end_s", "ends", "tail"], highest=["start_s"])
-    rows = rows.withColumn("space", F.coalesce(F.col("last_tail") & F.col("head"), F.lit(False)).cast("int"))
-    hard = F.col("last_ends") | (F.col("start_s") - F.col("last_end_s") > max_gap_s)
-    size = F.length("text")
-    numbered = greedy_groups(rows, hard, "start_s", "end_s", max_duration_s, sizes=[(size, size + F.col("space"), max_chars)])
-    parts = F.array_sort(F.collect_list(F.struct("seq", "space", "text")))
-    merged = numbered.groupBy("media_id", F.col("group").alias("seq")).agg(F.min_by("start_s", "place").alias("start_s"), F.max_by("end_s", "place").alias("end_s"), parts.alias("parts"))
-    spaced = F.transform("parts", lambda p, n: F.concat(F.when((n > 0) & (p["space"] == 1), " ").otherwise(""), p["text"]))
-    return merged.select("media_id", "seq", "start_s", "end_s", F.array_join(spaced, "").alias("text"))
+    rule = Greedy(max_gap_s, max_duration_s, [max_chars])
+    numbered = greedy_groups(rows, rule, F.col("start_s"), F.col("end_s"), T.ends_sentence(text), T.starts_alnum(text), T.ends_alnum(text), [F.length("text")])
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("spaced"), F.concat(F.lit(" "), text)).otherwise(text).alias("text"))))
+    merged = numbered.groupBy("media_id", "group").agg(F.min_by("start_s", "seq").alias("start_s"), F.max_by("end_s", "seq").alias("end_s"), parts.alias("parts"))
+    return merged.select("media_id", F.col("group").alias("seq"), "start_s", "end_s", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 # ---- splitting -----------------------------------------------------------------------------------------------------
 
 
-def silences_inside(cues: DataFrame, silences: DataFrame, min_s: float, bucket_s: float = 30.0) -> DataFrame:
-    """Silences strictly inside a cue with ``min_s`` of it on either side: an interval join over time buckets.
-
-    A silence inside a cue starts in one bucket, which the cue touches, so every pair is found exactly once."""
-    left = bucketed(cues.select("media_id", "seq", "start_s", "end_s"), bucket_s)
-    right = silences.select("media_id", F.col("seq").alias("silence_seq"), F.col("start_s").alias("quiet_from"), F.col("end_s").alias("quiet_to"), F.floor(F.col("start_s") / bucket_s).alias("bucket"))
+def silences_inside(cues: DataFrame, silences: DataFrame, min_s: float, base_s: float = 16.0) -> DataFrame:
+    """Silences strictly inside a cue with ``min_s`` of it on either side: an interval join over cells of time, whose
+    widths follow the cues' lengths."""
+    left = interval_cells(cues.select("media_id", "seq", "start_s", "end_s"), base_s)
+    right = silences.select("media_id", F.col("seq").alias("silence_seq"), F.col("start_s").alias("quiet_from"), F.col("end_s").alias("quiet_to"))
     inside = (F.col("quiet_from") > F.col("start_s")) & (F.col("quiet_to") < F.col("end_s"))
     wide = (F.col("quiet_from") - F.col("start_s") >= min_s) & (F.col("end_s") - F.col("quiet_to") >= min_s)
-    return left.join(right, ["media_id", "bucket"]).where(inside & wide).drop("bucket")
+    return left.join(point_cells(right, left, base_s, "quiet_from"), ["media_id", "level", "cell"]).where(inside & wide).drop("level", "cell")
 
 
 def split_cues_on_silence(cues: DataFrame, silences: DataFrame, min_s: float = 0.8) -> DataFrame:

@@ -31,17 +31,55 @@ def history_ratios(reports: DataFrame, asr_backend: str | None = None, unnamed:
     return rows.withColumns({"asr_backend": named, "ratio": positive(F.col("processing_seconds")) / media}).where("ratio is not null")
 
 
+def _joined(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+    """A join on keys that may be null, or on none where both sides are one group."""
+    right = right.withColumnsRenamed({c: f"right_{c}" for c in by}).withColumn("right_all", F.lit(1))
+    met = F.lit(1) == F.col("right_all")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"right_{c}"))
+    return left.join(right, met, how).drop("right_all", *[f"right_{c}" for c in by])
+
+
+#: Accuracy of the sketch that brackets a percentile: its rank is off by one in SKETCH at most.
+SKETCH = 10_000
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """Exact interpolated percentiles of each group by counts over value ranges: the columns ``by``, n and the names of
+    ``shares``. Nulls do not count.
+
+    A sketch of bounded size brackets each percentile; one more pass counts what lies below the bracket and each value
+    inside it, which is a few ten-thousandths of a group's values. A group without values has nulls."""
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    wanted = list(shares.items())
+    spread = 2.0 / SKETCH
+    marks = [m for _, q in wanted for m in (max(0.0, q - spread), min(1.0, q + spread))]
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", marks, SKETCH).alias("marks"))
+    met = _joined(rows, found, by, "inner").select(*by, "v", "n", "marks")
+    few = F.col("n") <= 4 * SKETCH  # where a bracket would be a rank or two, all values are counted
+    low = F.when(few, F.lit(float("-inf"))).otherwise(F.col("marks")[2 * F.col("k")])
+    high = F.when(few, F.lit(float("inf"))).otherwise(F.col("marks")[2 * F.col("k") + 1])
+    each = met.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(len(wanted))]))).where(F.col("v") <= high)
+    counted = each.groupBy(*by, "k", "n", F.when(F.col("v") >= low, F.col("v")).alias("v")).agg(F.count("*").alias("count"))  # null: below
+    order = Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first())
+    upto = counted.withColumn("upto", F.sum("count").over(order))
+    at = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(q) for _, q in wanted]), F.col("k") + 1)
+    upto = upto.withColumns({"lower": F.floor(at), "share": at - F.floor(at)})
+    rank = lambda r: F.min(F.when(F.col("upto") > r, F.struct("upto", "v")))
+    picked = upto.groupBy(*by, "k", "n", "lower", "share").agg(rank(F.col("lower")).alias("a"), rank(F.least(F.col("lower") + 1, F.col("n") - 1)).alias("b"))
+    sound = F.assert_true(F.col("a.v").isNotNull() & F.col("b.v").isNotNull(), "a percentile lies outside its bracket")
+    exact = F.when((F.col("share") == 0) | (F.col("a.v") == F.col("b.v")), F.col("a.v")).otherwise((1 - F.col("share")) * F.col("a.v") + F.col("share") * F.col("b.v"))
+    picked = picked.withColumn("p", F.when(sound.isNull(), exact))
+    return picked.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("p"))).alias(name) for k, (name, _) in enumerate(wanted)])
+
+
 def history_summary(samples: DataFrame, value: str = "realtime_factor", order: str = "mtime", by: list[str] | None = None) -> DataFrame:
-    """Count, mean, median, 75th percentile (interpolated), extremes and latest of ``value``."""
-    return samples.groupBy(*(by or [])).agg(
-        F.count(value).alias("samples"),
-        F.avg(value).alias("average"),
-        F.percentile(value, 0.5).alias("median"),
-        F.percentile(value, 0.75).alias("p75"),
-        F.min(value).alias("fastest"),
-        F.max(value).alias("slowest"),
-        F.max_by(value, order).alias("latest"),
-    )
+    """Count, mean, median, 75th percentile (interpolated), extremes and latest of ``value``; no group is held in one
+    place, whatever its size."""
+    keys = by or []
+    plain = samples.groupBy(*keys).agg(F.count(value).alias("samples"), F.avg(value).alias("average"), F.min(value).alias("fastest"), F.max(value).alias("slowest"), F.max_by(value, order).alias("latest"))
+    ranked = percentiles(samples, value, {"median": 0.5, "p75": 0.75}, keys).drop("n")
+    return _joined(plain, ranked, keys, "left").select(*keys, "samples", "average", "median", "p75", "fastest", "slowest", "latest")
 
 
 def work_estimate(targets: DataFrame, summary: DataFrame, work: str) -> DataFrame:

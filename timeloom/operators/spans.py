@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import before, greedy_groups, in_blocks, in_order, renumbered, with_rows_before
+from .timeline import Greedy, before, greedy_groups, in_order, renumbered
 
 
 def parse_silence_log(lines: DataFrame) -> DataFrame:
@@ -48,12 +48,10 @@ def merge_spans(spans: DataFrame, max_duration_s: float, merge_gap_s: float = 0.
     ``standalone`` always merges spans that overlap or touch, others up to ``merge_gap_s`` apart if the whole stays
     within ``max_duration_s``; ``docker`` asks for both conditions always.
     """
-    rows = with_rows_before(in_blocks(spans.select("media_id", "seq", "start_s", "end_s")), last=["end_s"], highest=["start_s"])
-    apart = F.col("start_s") - F.col("last_end_s") > merge_gap_s
-    glued = F.col("start_s") <= F.col("last_end_s") if profile == "standalone" else None
-    numbered = greedy_groups(rows, apart, "start_s", "end_s", max_duration_s, glued)
-    merged = numbered.groupBy("media_id", F.col("group").alias("seq")).agg(F.min_by("start_s", "place").alias("start_s"), F.max_by("end_s", "place").alias("end_s"))
-    return merged.select("media_id", "seq", "start_s", "end_s")
+    rule = Greedy(merge_gap_s, max_duration_s, [], glue=profile == "standalone")
+    numbered = greedy_groups(spans.select("media_id", "seq", "start_s", "end_s"), rule, F.col("start_s"), F.col("end_s"))
+    merged = numbered.groupBy("media_id", "group").agg(F.min_by("start_s", "seq").alias("start_s"), F.max_by("end_s", "seq").alias("end_s"))
+    return merged.select("media_id", F.col("group").alias("seq"), "start_s", "end_s")
 
 
 def normalize_spans(spans: DataFrame, media: DataFrame, min_duration_s: float, max_duration_s: float, padding_s: float = 0.0, merge_gap_s: float = 0.0, profile: str = "standalone") -> DataFrame:

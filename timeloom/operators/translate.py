@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .timeline import greedy_groups, in_blocks, with_rows_before
+from .timeline import Greedy, greedy_groups, numbered_in_blocks
 
 
 def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int = 0) -> DataFrame:
@@ -15,14 +17,12 @@ def pack_batches(entries: DataFrame, batch_size: int = 50, text_split_size: int
     A batch holds ``batch_size`` entries at most; with ``text_split_size`` it also closes before its texts, each with
     one separator, would come to that length.
     """
-    rows = with_rows_before(in_blocks(entries))
     if text_split_size <= 0:
         at = F.col("place") - 1
-        rows = rows.withColumns({"batch_no": F.floor(at / batch_size).cast("int"), "local_no": (at % batch_size + 1).cast("int")})
+        rows = numbered_in_blocks(entries).withColumns({"batch_no": F.floor(at / batch_size).cast("int"), "local_no": (at % batch_size + 1).cast("int")})
     else:
-        rows = rows.withColumns({"origin": F.lit(0.0), "highest_origin": F.lit(0.0)})
-        size, one = F.length("text") + 1, F.lit(1)
-        rows = greedy_groups(rows, F.lit(False), "origin", "origin", sizes=[(one, one, batch_size), (size, size, text_split_size - 1)])
+        rule, never = Greedy(math.inf, math.inf, [batch_size, text_split_size - 1]), F.lit(0.0)
+        rows = greedy_groups(entries, rule, never, never, sizes=[F.lit(1), F.length("text") + 1])
         rows = rows.withColumns({"batch_no": (F.col("group") - 1).cast("int"), "local_no": F.col("held").cast("int")})
     return rows.select(*entries.columns, "batch_no", "local_no")
 

@@ -47,6 +47,14 @@ _CLEAN = r"regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\s+(
 _NORM = rf"regexp_replace(regexp_replace({_CLEAN}, '\s+', '', 'g'), '[。、，．,.!?！？…]+$', '')"
 
 
+def _clean(value: str) -> str:
+    return _CLEAN.replace("trim(text,", f"trim({value},")
+
+
+def _norm(value: str) -> str:
+    return _NORM.replace("trim(text,", f"trim({value},")
+
+
 def _repaired(source: str) -> str:
     """CTEs (the last is ``repaired``) of repair_chunks, row by row."""
     return f"""said AS (SELECT media_id, seq, start_s, CASE WHEN end_s <= start_s THEN start_s + 0.01::DOUBLE ELSE end_s END AS end_s, {_CLEAN} AS text FROM {source}),
@@ -58,17 +66,31 @@ moved(media_id, n, a, b, text) AS (SELECT media_id, n, start_s, end_s, text FROM
 repaired AS MATERIALIZED (SELECT * FROM moved)"""
 
 
-def _grouped(gap: float, duration: float, chars: int) -> str:
-    """CTEs (the last is ``grouped``) of group_cues on ``repaired``: ``own`` is a row's text, ``text`` what is open."""
+def _grouped(gap: float, duration: float, chars: int, source: str = "repaired") -> str:
+    """CTEs (the last is ``grouped``) of group_cues on ``source``: ``own`` is a row's text, ``text`` what is open."""
     both = "o.text || CASE WHEN regexp_matches(o.text, '[A-Za-z0-9]$') AND regexp_matches(r.text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || r.text"
     both = _CLEAN.replace("trim(text,", f"trim({both},")
     new = f"r.a - o.b > {gap}::DOUBLE OR regexp_matches(o.own, '[。！？.!?]\\s*$') OR r.b - o.a > {duration}::DOUBLE OR length({both}) > {chars}"
-    return f"""opened(media_id, n, part, a, b, own, text) AS (SELECT media_id, n, 1, a, b, text, text FROM repaired WHERE n = 1 UNION ALL
+    return f"""opened(media_id, n, part, a, b, own, text) AS (SELECT media_id, n, 1, a, b, text, text FROM {source} WHERE n = 1 UNION ALL
   SELECT r.media_id, r.n, CASE WHEN {new} THEN o.part + 1 ELSE o.part END, CASE WHEN {new} THEN r.a ELSE o.a END, r.b, r.text, CASE WHEN {new} THEN r.text ELSE {both} END
-  FROM opened o JOIN repaired r ON r.media_id = o.media_id AND r.n = o.n + 1),
+  FROM opened o JOIN {source} r ON r.media_id = o.media_id AND r.n = o.n + 1),
 grouped AS (SELECT media_id, part AS seq, arg_max(a, n) AS start_s, arg_max(b, n) AS end_s, arg_max(text, n) AS text FROM opened GROUP BY media_id, part)"""
 
 
+def _split_long(chars: int) -> str:
+    """CTEs (the last is ``parts``) of split_long_text on the long texts of ``c`` (media_id, seq, most, text)."""
+    return f"""l AS MATERIALIZED (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([{T.SENTENCE_END}]+|{'|'.join(T.UNIT_ENDINGS)})', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_clean('x')}), lambda x: x <> '') AS units FROM c WHERE length({_norm('text')}) > {chars}),
+cut AS (SELECT media_id, seq, unnest(range(CAST(ceil(length(text)::DOUBLE / ceil(length(text) / most::DOUBLE)) AS BIGINT))) AS part, CAST(ceil(length(text) / most::DOUBLE) AS BIGINT) AS stride, text FROM l WHERE len(units) <= 1),
+u AS MATERIALIZED (SELECT media_id, seq, most, unnest(range(1, len(units) + 1)) AS k, unnest(units) AS unit, len(units) AS n FROM l WHERE len(units) > 1),
+t AS MATERIALIZED (SELECT media_id, seq, least(any_value(most), greatest(2, ceil(sum(length({_norm('unit')})) / {chars}.0::DOUBLE), least(any_value(most), max(n)))) AS goal, sum(length({_norm('unit')})) AS total FROM u GROUP BY media_id, seq),
+w(media_id, seq, k, part, open, rest, goal) AS (SELECT media_id, seq, k, 0, unit, total - length({_norm('unit')}), goal FROM u JOIN t USING (media_id, seq) WHERE k = 1 UNION ALL
+  SELECT media_id, seq, k, CASE WHEN close THEN part + 1 ELSE part END, CASE WHEN close THEN unit ELSE open || unit END, rest - length({_norm('unit')}), goal FROM (
+    SELECT w.media_id, w.seq, u.k, w.part, w.open, u.unit, w.rest, w.goal,
+      length({_norm("(w.open || u.unit)")}) > greatest(1, ceil(w.rest::DOUBLE / greatest(1, w.goal - w.part))) AND w.part < w.goal - 1 AS close FROM w JOIN u ON u.media_id = w.media_id AND u.seq = w.seq AND u.k = w.k + 1)),
+parts AS (SELECT media_id, seq, part, substring(text, part * stride + 1, stride) AS text FROM cut UNION ALL SELECT media_id, seq, part, arg_max(open, k) FROM w GROUP BY media_id, seq, part)"""
+
+
+_BARE = "regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '[\\p{L}\\p{N}\\p{M}_]')"
 _FLAGS = f"""f AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS n FROM line_cues),
 flagged AS (SELECT media_id, seq + 1 AS idx, d, list_filter([CASE WHEN d < 0.3::DOUBLE THEN 'near_zero_duration' END,
   CASE WHEN regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]') THEN 'punctuation_only' END,
@@ -106,7 +128,16 @@ def repeated_lines(spark, sf_dir):
     return rows.groupBy("media_id").agg(F.count("*").alias("cues"), F.count_if(F.col("before") == F.col("text")).alias("repeats"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, {_repaired('conversation_cues')}, {_grouped(0.5, 30.0, 400)},
+said_so AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS size, {_BARE} AS bare FROM grouped),
+kept AS MATERIALIZED (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS seq, start_s, end_s, text, d, size FROM said_so WHERE NOT (bare OR (d < 0.3::DOUBLE AND size >= 5))),
+c AS MATERIALIZED (SELECT media_id, seq, greatest(2, ceil(d / 8.0::DOUBLE)) AS most, {_CLEAN} AS text FROM kept WHERE d >= 12.0 AND size >= 25), {_split_long(28)},
+weighed AS (SELECT *, greatest(1, length({_norm('text')})) AS weight, count(*) OVER (PARTITION BY media_id, seq) AS part_count FROM parts),
+placed AS (SELECT media_id, seq, part, part_count, text, coalesce(sum(weight) OVER (PARTITION BY media_id, seq ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, weight, sum(weight) OVER (PARTITION BY media_id, seq) AS total FROM weighed),
+done AS (SELECT k.media_id, k.seq, coalesce(p.part, 0) AS part, CASE WHEN p.part IS NULL THEN k.start_s ELSE k.start_s + (k.end_s - k.start_s) * upto::DOUBLE / total::DOUBLE END AS start_s,
+  CASE WHEN p.part IS NULL OR p.part = part_count - 1 THEN k.end_s ELSE k.start_s + (k.end_s - k.start_s) * (upto + weight)::DOUBLE / total::DOUBLE END AS end_s, coalesce(p.text, k.text) AS text
+  FROM kept k LEFT JOIN placed p ON p.media_id = k.media_id AND p.seq = k.seq AND part_count > 1)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq, part) AS seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM done""")
 def standalone_chain(spark, sf_dir):
     """Repair, group, drop, flag, split, flag again: what is left of each timeline."""
     grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), 0.5, 30.0, 400)
@@ -115,7 +146,26 @@ def standalone_chain(spark, sf_dir):
     return timed(split, "text")
 
 
-@query()
+_CUT = lambda i: f"CAST(round_even(length(text) * {i} / pieces::DOUBLE, 0) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE {EVENT_SPANS}, spoken AS (SELECT media_id, seq, start_s, end_s, event_type || ' ' || round_even(value, 0)::VARCHAR || ' said.' AS text FROM event_spans WHERE event_type <> 'error'), {_repaired('spoken')},
+quiet AS (SELECT media_id, seq AS s, start_s AS qa, end_s AS qb FROM event_spans WHERE event_type = 'error'),
+inside AS (SELECT r.media_id, r.n, r.a, r.b, s, qa, qb, greatest(r.a, coalesce(max(qb) OVER (PARTITION BY r.media_id, r.n ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r.a)) AS from_s
+  FROM repaired r JOIN quiet q ON q.media_id = r.media_id AND qa > r.a AND qb < r.b AND qa - r.a >= 0.8::DOUBLE AND r.b - qb >= 0.8::DOUBLE),
+stretches AS (SELECT media_id, n, s, from_s, qa AS to_s FROM inside UNION ALL SELECT media_id, n, max(s) + 1, max(qb), any_value(b) FROM inside GROUP BY media_id, n),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY media_id, n ORDER BY s) - 1 AS piece, count(*) OVER (PARTITION BY media_id, n) AS pieces FROM stretches WHERE to_s - from_s >= 0.8::DOUBLE),
+pieced AS (SELECT r.media_id, r.n, coalesce(piece, 0) AS piece, coalesce(from_s, r.a) AS a, coalesce(to_s, r.b) AS b,
+  CASE WHEN piece IS NULL THEN text ELSE {_clean(f"substring(text, {_CUT('piece')} + 1, {_CUT('(piece + 1)')} - {_CUT('piece')})")} END AS text
+  FROM repaired r LEFT JOIN dealt d ON d.media_id = r.media_id AND d.n = r.n AND pieces > 1),
+cut_cues AS MATERIALIZED (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY n, piece) AS n, a, b, text FROM pieced WHERE text <> ''), {_grouped(0.5, 6.0, 42, 'cut_cues')},
+read AS (SELECT *, greatest(0.8::DOUBLE, least(5.0::DOUBLE, length(regexp_replace({_CLEAN}, '\\s+', '', 'g'))::DOUBLE / 5.0::DOUBLE + 0.4::DOUBLE)) AS target FROM grouped),
+tight AS (SELECT media_id, seq, start_s, CASE WHEN end_s - start_s - target > 0 AND end_s - start_s - target >= 0.1::DOUBLE THEN start_s + target ELSE end_s END AS end_s, text FROM read),
+late AS (SELECT media_id, seq, greatest(0.0::DOUBLE, start_s + 0.5::DOUBLE) AS start_s, greatest(0.0::DOUBLE, end_s + 0.5::DOUBLE) AS end_s, text, regexp_replace({_CLEAN}, '\\s+', '', 'g') AS norm FROM tight),
+left_over AS (SELECT * FROM late WHERE NOT (norm = 'click1.0said.' AND end_s - start_s <= 2.0::DOUBLE) AND norm <> 'view2.0said.' AND (norm = '' OR regexp_matches(norm, '[\\p{{L}}\\p{{N}}]'))),
+known AS (SELECT media_id, max(end_s) + 10.0::DOUBLE AS duration_s FROM event_spans GROUP BY media_id),
+clamped AS (SELECT media_id, seq, start_s, least(end_s, duration_s) AS end_s, text FROM left_over JOIN known USING (media_id))
+SELECT media_id, seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM clamped WHERE end_s > start_s""")
 def docker_chain(spark, sf_dir):
     """Repair, cut at silences, group, tighten, shift, filter, clamp: the older chain."""
     rows = event_spans(spark, sf_dir)
@@ -146,26 +196,8 @@ def turn_similarity(spark, sf_dir):
     return rows.select("media_id", "seq", F.floor(T.text_similarity(F.col("text"), F.col("after")) * 1000000).cast("long").alias("similarity"))
 
 
-def _clean(value: str) -> str:
-    return _CLEAN.replace("trim(text,", f"trim({value},")
-
-
-def _norm(value: str) -> str:
-    return _NORM.replace("trim(text,", f"trim({value},")
-
-
-@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, c AS MATERIALIZED (SELECT media_id, seq, {_CLEAN} AS text FROM conversation_cues),
-l AS MATERIALIZED (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([{T.SENTENCE_END}]+|{'|'.join(T.UNIT_ENDINGS)})', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_clean('x')}), lambda x: x <> '') AS units FROM c WHERE length({_norm('text')}) > 60),
-cut AS (SELECT media_id, seq, unnest(range(CAST(ceil(length(text)::DOUBLE / ceil(length(text) / 4.0::DOUBLE)) AS BIGINT))) AS part, CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS stride, text FROM l WHERE len(units) <= 1),
-u AS MATERIALIZED (SELECT media_id, seq, unnest(range(1, len(units) + 1)) AS k, unnest(units) AS unit, len(units) AS n FROM l WHERE len(units) > 1),
-t AS MATERIALIZED (SELECT media_id, seq, least(4, greatest(2, ceil(sum(length({_norm('unit')})) / 60.0::DOUBLE), least(4, max(n)))) AS goal, sum(length({_norm('unit')})) AS total FROM u GROUP BY media_id, seq),
-w(media_id, seq, k, part, open, rest, goal) AS (SELECT media_id, seq, k, 0, unit, total - length({_norm('unit')}), goal FROM u JOIN t USING (media_id, seq) WHERE k = 1 UNION ALL
-  SELECT media_id, seq, k, CASE WHEN close THEN part + 1 ELSE part END, CASE WHEN close THEN unit ELSE open || unit END, rest - length({_norm('unit')}), goal FROM (
-    SELECT w.media_id, w.seq, u.k, w.part, w.open, u.unit, w.rest, w.goal,
-      length({_norm("(w.open || u.unit)")}) > greatest(1, ceil(w.rest::DOUBLE / greatest(1, w.goal - w.part))) AND w.part < w.goal - 1 AS close FROM w JOIN u ON u.media_id = w.media_id AND u.seq = w.seq AND u.k = w.k + 1))
-SELECT media_id, seq, CAST(0 AS INTEGER) AS part, text FROM c WHERE length({_norm('text')}) <= 60 UNION ALL
-SELECT media_id, seq, CAST(part AS INTEGER), substring(text, part * stride + 1, stride) FROM cut UNION ALL
-SELECT media_id, seq, CAST(part AS INTEGER), arg_max(open, k) FROM w GROUP BY media_id, seq, part""")
+@query(f"""WITH RECURSIVE {CONVERSATION_CUES}, c AS MATERIALIZED (SELECT media_id, seq, 4 AS most, {_CLEAN} AS text FROM conversation_cues), {_split_long(60)}
+SELECT media_id, seq, CAST(0 AS INTEGER) AS part, text FROM c WHERE length({_norm('text')}) <= 60 UNION ALL SELECT media_id, seq, CAST(part AS INTEGER), text FROM parts""")
 def long_text_parts(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir)
     parts = T.split_long_text(F.col("text"), F.lit(4), 60)
@@ -355,6 +387,110 @@ def cue_audio(spark, sf_dir):
     return found.select("media_id", "seq", F.col("audio.frame_count").cast("long").alias("frame_count"), F.floor(F.col("audio.max_db") * 100 + 0.5).cast("long").alias("max_cdb"))
 
 
+_STATS = """ranked AS (SELECT media_id, seq, k, x, median(x) OVER w AS med, count(*) OVER w AS n FROM frames WINDOW w AS (PARTITION BY media_id, seq)),
+loud AS (SELECT *, x > med + 8.0::DOUBLE AS active FROM ranked),
+islands AS (SELECT media_id, seq, count(*) AS size FROM (SELECT *, k - row_number() OVER (PARTITION BY media_id, seq ORDER BY k) AS run FROM loud WHERE active) GROUP BY media_id, seq, run),
+best AS (SELECT media_id, seq, max(size) AS island FROM islands GROUP BY media_id, seq),
+stats AS (SELECT media_id, seq, any_value(n) AS n, any_value(med) AS med, max(x) AS top, list_sort(list(x))[least(any_value(n), CAST(floor(any_value(n) * 0.9::DOUBLE) AS BIGINT) + 1)] AS p90,
+  count(*) FILTER (WHERE active) AS actives, coalesce(min(k) FILTER (WHERE active), any_value(n)) AS lead FROM loud GROUP BY media_id, seq)"""
+_CENTI = lambda c: f"CAST(floor(round_even({c}, 3) * 100 + 0.5) AS BIGINT)"
+_STAT_COLUMNS = lambda frame_s: f"""coalesce(n, 0) AS frame_count, {_CENTI('coalesce(med, -120.0::DOUBLE)')} AS median_cdb, {_CENTI('coalesce(top, -120.0::DOUBLE)')} AS max_cdb, {_CENTI('coalesce(p90, -120.0::DOUBLE)')} AS p90_cdb,
+{_CENTI('coalesce(actives::DOUBLE / n::DOUBLE, 0.0::DOUBLE)')} AS speech_percent, {_CENTI(f'coalesce(island, 0) * {frame_s}::DOUBLE')} AS island_cs, {_CENTI(f'coalesce(lead, 0) * {frame_s}::DOUBLE')} AS leading_cs"""
+
+
+def _stat_columns(found: DataFrame) -> DataFrame:
+    centi = lambda field: F.floor(F.col(f"audio.{field}") * 100 + 0.5).cast("long")
+    named = {"median_db": "median_cdb", "max_db": "max_cdb", "p90_db": "p90_cdb", "speech_ratio": "speech_percent", "longest_island_s": "island_cs", "leading_quiet_s": "leading_cs"}
+    return found.select("media_id", "seq", F.col("audio.frame_count").cast("long").alias("frame_count"), *[centi(field).alias(name) for field, name in named.items()])
+
+
+@query(f"""WITH {EVENT_SPANS}, f AS (SELECT media_id, seq AS frame_no, start_s AS t, value / 5.0::DOUBLE - 60.0::DOUBLE AS x FROM event_spans),
+frames AS (SELECT c.media_id, c.seq, row_number() OVER (PARTITION BY c.media_id, c.seq ORDER BY t, frame_no) - 1 AS k, x FROM event_spans c JOIN f ON c.media_id = f.media_id AND f.t >= c.start_s AND f.t < c.end_s WHERE event_type <> 'error'), {_STATS}
+SELECT c.media_id, c.seq, {_STAT_COLUMNS(0.05)} FROM event_spans c LEFT JOIN stats USING (media_id, seq) LEFT JOIN best USING (media_id, seq) WHERE event_type <> 'error'""")
+def cue_audio_statistics(spark, sf_dir):
+    """All statistics of the levels under each cue."""
+    rows = event_spans(spark, sf_dir).where("event_type <> 'error'")
+    return _stat_columns(audio.audio_stats_from_levels(rows, _levels(spark, sf_dir), 0.05))
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    """Events of a user as samples, ten a second, in blocks of 16."""
+    rows = event_spans(spark, sf_dir).select("media_id", (F.col("seq") - 1).alias("i"), F.least(F.lit(32767), F.floor(F.col("value") * 100)).cast("short").alias("x"))
+    lists = rows.groupBy("media_id", F.floor(F.col("i") / 16).alias("block_no")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return lists.select("media_id", "block_no", F.lit(10).alias("sample_rate"), (F.col("block_no") * 16).alias("first_sample"), F.transform("s", lambda x: x["x"]).alias("samples"))
+
+
+_SAMPLES = "samples AS (SELECT media_id, seq - 1 AS i, least(32767, CAST(floor(value * 100) AS BIGINT)) AS s FROM event_spans), totals AS (SELECT media_id, count(*) AS total FROM samples GROUP BY media_id)"
+
+
+def _sample_cues(spark, sf_dir) -> DataFrame:
+    at = (F.col("seq") - 1) / 10.0
+    return event_spans(spark, sf_dir).select("media_id", "seq", at.alias("start_s"), (at + F.col("seq") % 29 / 4.0).alias("end_s"))
+
+
+_SAMPLE_CUES = "sample_cues AS (SELECT media_id, seq, (seq - 1)::DOUBLE / 10.0::DOUBLE AS start_s, (seq - 1)::DOUBLE / 10.0::DOUBLE + (seq % 29)::DOUBLE / 4.0::DOUBLE AS end_s FROM event_spans)"
+
+
+@query(f"""WITH {EVENT_SPANS}, {_SAMPLES}, {_SAMPLE_CUES},
+asked AS (SELECT media_id, seq, CAST(floor(start_s * 10) AS BIGINT) AS first, least(CAST(floor(start_s * 10) AS BIGINT) + greatest(1, CAST(floor((end_s - start_s) * 10) AS BIGINT)), total) AS stop FROM sample_cues JOIN totals USING (media_id) WHERE end_s > start_s),
+frames AS (SELECT a.media_id, a.seq, (i - first) // 3 AS k, 20 * log10(greatest(sqrt(sum(s * s)::DOUBLE / count(*)::DOUBLE), 1.0::DOUBLE) / 32768.0::DOUBLE) AS x FROM asked a JOIN samples m ON m.media_id = a.media_id AND i >= first AND i < stop GROUP BY ALL), {_STATS}
+SELECT media_id, seq, {_STAT_COLUMNS(0.3)} FROM sample_cues LEFT JOIN stats USING (media_id, seq) LEFT JOIN best USING (media_id, seq)""")
+def sample_statistics(spark, sf_dir):
+    """The same statistics out of samples: frames count from each cue's start and cross blocks."""
+    return _stat_columns(audio.audio_stats(_sample_cues(spark, sf_dir), _blocks(spark, sf_dir), 0.3))
+
+
+@query(f"""WITH {EVENT_SPANS}, {_SAMPLES}, {_SAMPLE_CUES},
+asked AS (SELECT media_id, seq, CAST(floor(start_s * 10) AS BIGINT) AS first, least(CAST(floor(least(end_s, start_s + 2.0::DOUBLE) * 10) AS BIGINT), total) AS stop FROM sample_cues JOIN totals USING (media_id)),
+frames AS (SELECT a.media_id, a.seq, (i - first) // 2 AS k, sum(s * s)::DOUBLE / count(*)::DOUBLE AS square FROM asked a JOIN samples m ON m.media_id = a.media_id AND i >= first AND i < stop GROUP BY ALL),
+loud AS (SELECT *, 20 * log10(sqrt(square) / 32768.0::DOUBLE) >= -22.0::DOUBLE AS up FROM frames WHERE square > 0),
+onset AS (SELECT x.media_id, x.seq, min(x.k) AS k FROM loud x JOIN loud y ON x.media_id = y.media_id AND x.seq = y.seq AND y.k = x.k + 1 AND x.up AND y.up GROUP BY ALL),
+moved AS (SELECT c.*, greatest(start_s, least(greatest(start_s, floor(start_s * 10) / 10 + k * 2 / 10.0::DOUBLE) - 0.1::DOUBLE, end_s)) AS late FROM sample_cues c LEFT JOIN onset USING (media_id, seq))
+SELECT media_id, seq, {_ms('CASE WHEN late > start_s AND late < end_s THEN late ELSE start_s END')} AS start_ms, {_ms('end_s')} AS end_ms FROM moved""")
+def refined_starts(spark, sf_dir):
+    """Starts moved up to where two loud frames follow one another."""
+    moved, _ = audio.refine_span_starts(_sample_cues(spark, sf_dir), _blocks(spark, sf_dir), -25.0, 3.0, 0.1, 0.2, 2, 2.0)
+    return timed(moved)
+
+
+@query(f"""WITH {EVENT_SPANS}, l AS (SELECT media_id, seq, value / 5.0::DOUBLE - 60.0::DOUBLE >= -50.0::DOUBLE AS loud FROM event_spans),
+r AS (SELECT media_id, count(*) AS size FROM (SELECT *, seq - row_number() OVER (PARTITION BY media_id ORDER BY seq) AS run FROM l WHERE loud) GROUP BY media_id, run)
+SELECT media_id, frames, loud_frames, coalesce(longest, 0) AS longest_run, coalesce(runs, 0) AS runs FROM (SELECT media_id, count(*) AS frames, count(*) FILTER (WHERE loud) AS loud_frames FROM l GROUP BY media_id)
+  LEFT JOIN (SELECT media_id, max(size) AS longest, count(*) AS runs FROM r GROUP BY media_id) USING (media_id)""")
+def loud_runs(spark, sf_dir):
+    """Runs of loud frames of each media, and the longest, out of states of blocks."""
+    levels = _levels(spark, sf_dir)
+    runs = audio.active_runs(levels, -50.0).groupBy("media_id").agg(F.count("*").alias("runs"))
+    return audio.longest_runs(levels, -50.0).join(runs, "media_id", "left").na.fill(0, ["runs"])
+
+
+def _slowed(cues_: DataFrame) -> DataFrame:
+    """Cues with the texts of every other turn cut down to twelve characters, so that some are slow."""
+    return cues_.withColumn("text", F.when(F.col("seq") % 2 == 1, F.substring("text", 1, 12)).otherwise(F.col("text")))
+
+
+@query(f"""WITH {CONVERSATION_CUES}, slowed AS (SELECT media_id, seq, start_s, end_s, CASE WHEN seq % 2 = 1 THEN substring(text, 1, 12) ELSE text END AS text FROM conversation_cues),
+f AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS n, {_BARE} AS bare, length(text) AS size,
+  (-10 - length(text) % 50)::DOUBLE AS top, (-10 - length(text) % 50 - seq % 20)::DOUBLE AS p90, (length(text) % 10)::DOUBLE / 20.0::DOUBLE AS ratio, (seq % 5)::DOUBLE / 4.0::DOUBLE AS island, (length(text) % 4)::DOUBLE / 3.0::DOUBLE AS lead FROM slowed),
+g AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS idx, list_filter([CASE WHEN d < 0.3::DOUBLE THEN 'near_zero_duration' END, CASE WHEN bare THEN 'punctuation_only' END, CASE WHEN d >= 8.0 AND n <= 30 THEN 'long_duration_short_text' END,
+  CASE WHEN d >= 12.0 AND n >= 25 THEN 'long_subtitle_split_candidate' END, CASE WHEN d >= 8.0 AND n::DOUBLE / d < 2.0 THEN 'low_chars_per_second' END, CASE WHEN d <= 3.0 AND top < -45.0 THEN 'flat_audio' END,
+  CASE WHEN d >= 8.0 AND top < -22.0 AND p90 < -30.0 THEN 'weak_audio_peak' END, CASE WHEN d >= 8.0 AND top >= -22.0 AND p90 >= -30.0 THEN 'strong_audio' END, CASE WHEN d >= 8.0 AND ratio < 0.18::DOUBLE AND island < 0.8::DOUBLE THEN 'low_speech_density' END,
+  CASE WHEN d >= 8.0 AND island < 0.8::DOUBLE THEN 'fragmented_energy' END, CASE WHEN d >= 1.5 AND d < 8.0 AND lead >= 0.7::DOUBLE THEN 'early_start_candidate' END], lambda x: x IS NOT NULL) AS flags FROM f),
+h AS (SELECT *, list_contains(flags, 'low_chars_per_second') AS slow, list_contains(flags, 'strong_audio') AS strong, list_contains(flags, 'fragmented_energy') AS broken FROM g WHERE len(flags) > 0)
+SELECT media_id, idx, array_to_string(flags, ',') AS flags, CASE WHEN list_contains(flags, 'punctuation_only') OR list_contains(flags, 'near_zero_duration') THEN 'drop'
+  WHEN slow AND (list_contains(flags, 'flat_audio') OR list_contains(flags, 'weak_audio_peak') OR (broken AND NOT strong)) THEN 'drop_candidate' WHEN slow AND strong AND broken THEN 'resegment_candidate'
+  WHEN list_contains(flags, 'long_subtitle_split_candidate') THEN 'split_candidate' WHEN list_contains(flags, 'early_start_candidate') THEN 'refine_start_candidate' ELSE 'review' END AS recommended_action FROM h""")
+def audio_issues(spark, sf_dir):
+    """Flags and actions where text and audio speak together."""
+    rows = _slowed(conversation_cues(spark, sf_dir))
+    size, seq = F.length("text"), F.col("seq")
+    loudest = (-10 - size % 50).cast("double")
+    stats = F.struct(loudest.alias("max_db"), (loudest - seq % 20).alias("p90_db"), (size % 10 / 20.0).alias("speech_ratio"), (seq % 5 / 4.0).alias("longest_island_s"), (size % 4 / 3.0).alias("leading_quiet_s"))
+    number = F.row_number().over(Window.partitionBy("media_id").orderBy("seq")).cast("long")
+    found = quality.quality_issues(rows, rows.select("media_id", number.alias("seq"), stats.alias("audio")))
+    return found.select("media_id", "idx", F.array_join("flags", ",").alias("flags"), "recommended_action")
+
+
 # ---- translation ---------------------------------------------------------------------------------------------------
 
 
