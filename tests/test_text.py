@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,27 +56,22 @@ def test_split_chars(spark):
     assert value(spark, T.split_chars(F.lit("abcdefg"), F.lit(3))) == ["abc", "def", "g"]
 
 
-def balanced(units, max_parts, max_chars):
-    size = len
-    total = sum(map(size, units))
-    goal = min(max_parts, max(2, -(-total // max_chars), min(max_parts, len(units))))
-    parts, open_, rest = [], "", total
-    for unit in units:
-        share = max(1, -(-rest // max(1, goal - len(parts))))
-        if open_ and size(open_ + unit) > share and len(parts) < goal - 1:
-            parts.append(open_)
-            open_ = unit
-        else:
-            open_ += unit
-        rest -= size(unit)
-    return parts + [open_]
-
-
-def test_balance_units(spark):
+def test_parts_are_balanced(spark):
+    """Parts keep the units in order; each but the last is as full as an equal share of what is left allows."""
     for units in (["aaa", "bb", "cccc", "d", "eeeee"], ["a"] * 7, ["aaaaaaaaaa", "b"]):
         for most in (2, 3, 4):
-            got = value(spark, T.balance_units(F.array(*map(F.lit, units)), F.lit(most), 6))
-            assert got == balanced(units, most, 6)
+            parts = value(spark, T.balance_units(F.array(*map(F.lit, units)), F.lit(most), 6))
+            ends = {sum(map(len, units[:n])) for n in range(len(units) + 1)}
+            assert "".join(parts) == "".join(units) and 1 <= len(parts) <= most
+            wanted = min(most, max(2, math.ceil(len("".join(units)) / 6), min(most, len(units))))
+            at = 0
+            for n, part in enumerate(parts[:-1]):
+                first = next(len(u) for k, u in enumerate(units) if sum(map(len, units[:k])) == at)
+                following = next(len(u) for k, u in enumerate(units) if sum(map(len, units[:k])) == at + len(part))
+                left = len("".join(units)) - at  # the share may only shrink while a part is filled
+                assert at + len(part) in ends and (len(part) == first or len(part) <= math.ceil(left / (wanted - n)))
+                assert len(part) + following > math.ceil((left - len(part)) / (wanted - n))
+                at += len(part)
 
 
 def test_allocate(spark):
