@@ -598,6 +598,66 @@ def raw_results(spark, sf_dir):
     return found.select("media_id", "segment_no", "seq", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
 
 
+def _listed(spark, sf_dir, item: Column) -> DataFrame:
+    """Turns of each conversation as a JSON list, and all of its text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", item.alias("item"))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "item", "text"))).alias("l"))
+    joined = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["item"]), ","), F.lit("]"))
+    kept = F.col("conv_id") % 5 != 0  # one in five has no list, so its text stands for all
+    return lists.select(F.col("conv_id").alias("media_id"), F.when(kept, joined).alias("items"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"), F.lit(7.5).alias("duration_s"))
+
+
+_WHOLE_TEXT = lambda length: f"SELECT conv_id AS media_id, 1 AS seq, 0 AS start_ms, {length} AS end_ms, trim(string_agg(text, ' ' ORDER BY turn), ' ' || chr(10)) AS text FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id"
+
+
+@query(f"""WITH i AS (SELECT conv_id AS media_id, turn, text, turn * 1000 AS a, CASE turn % 4 WHEN 2 THEN turn * 1000 ELSE turn * 1000 + 250 END AS b FROM conversations WHERE conv_id % 5 <> 0 AND turn % 7 <> 3)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY turn) AS seq, a AS start_ms, CASE WHEN b <= a THEN a + 10 ELSE b END AS end_ms, text FROM i UNION ALL {_WHOLE_TEXT(7500)}""")
+def word_results(spark, sf_dir):
+    """Words in four shapes, some without a readable time; conversations without words fall back to their text."""
+    turn, text = F.col("turn"), F.col("text")
+    a, b = turn * 1.0, turn + 0.25
+    shape = lambda n, value: F.when((turn % 4 == n) & (turn % 7 != 3), value)
+    named = F.struct(
+        F.when((turn % 4 == 0) | (turn % 7 == 3), text).alias("text"), shape(1, text).alias("word"), shape(2, text).alias("unit"), shape(0, a).alias("start_time"), shape(0, b).alias("end_time"),
+        F.when(turn % 7 == 3, F.lit("soon")).otherwise(shape(1, a.cast("string"))).alias("start"), F.when(turn % 7 == 3, F.lit("later")).otherwise(shape(1, b.cast("string"))).alias("end"), shape(2, F.array(a, a)).alias("timestamp"),
+    )
+    triple = F.to_json(F.array(text, a.cast("string"), b.cast("string")))
+    return timed(recognition.adapt_word_timestamps(_listed(spark, sf_dir, F.when((turn % 4 == 3) & (turn % 7 != 3), triple).otherwise(F.to_json(named)))), "text")
+
+
+@query(f"""WITH i AS (SELECT conv_id AS media_id, turn, trim(text, ' ' || chr(10)) AS text, turn * 1000 AS a, turn * 1000 + 500 AS b FROM conversations WHERE conv_id % 5 <> 0 AND turn % 3 <> 1)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY turn) AS seq, a AS start_ms, b AS end_ms, text FROM i WHERE text <> '' UNION ALL {_WHOLE_TEXT(7500)}""")
+def segment_results(spark, sf_dir):
+    """Segments by start and end or by timestamp, blank ones left out."""
+    turn = F.col("turn")
+    text = F.when(turn % 3 == 1, F.lit("  ")).otherwise(F.concat(F.lit(" "), "text"))
+    item = F.struct(text.alias("text"), F.when(turn % 2 == 0, turn * 1.0).alias("start"), F.when(turn % 2 == 0, turn + 0.5).alias("end"), F.when(turn % 2 == 1, F.array(turn * 1.0, turn + 0.5)).alias("timestamp"))
+    listed = _listed(spark, sf_dir, F.to_json(item))
+    even = F.col("media_id") % 2 == 0  # odd ones come as chunks
+    found = recognition.adapt_segments(listed.select("media_id", "text", "duration_s", F.when(even, F.col("items")).alias("segments"), F.when(~even, F.col("items")).alias("chunks")))
+    return timed(found, "text")
+
+
+@query(f"""WITH i AS (SELECT conv_id AS media_id, turn, trim(text, ' ' || chr(10)) AS text, CASE WHEN turn % 2 = 0 THEN turn * 1000 ELSE 0 END AS a, turn * 1000 + 500 AS b FROM conversations WHERE conv_id % 5 <> 0)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY turn) AS seq, a AS start_ms, b AS end_ms, text FROM i WHERE text <> '' UNION ALL {_WHOLE_TEXT(10)}""")
+def plain_results(spark, sf_dir):
+    """Segments with some starts missing."""
+    turn = F.col("turn")
+    listed = _listed(spark, sf_dir, F.to_json(F.struct("text", F.when(turn % 2 == 0, turn * 1.0).alias("start"), (turn + 0.5).alias("end"))))
+    return timed(recognition.adapt_plain_segments(listed.withColumnRenamed("items", "segments")), "text")
+
+
+@query("""SELECT conv_id AS media_id, turn AS segment_no, 1 AS seq, turn * 1000 AS start_ms, CASE turn % 3 WHEN 1 THEN turn * 1000 ELSE turn * 1000 + 500 END AS end_ms, text FROM conversations WHERE turn % 5 <> 4""")
+def stamped_results(spark, sf_dir):
+    """Results of a speaker each, with time stamps as lists, as maps, with an open end, and unreadable."""
+    turn = F.col("turn")
+    pair = F.when(turn % 3 == 0, F.array(turn * 1.0, turn + 0.5)).when(turn % 3 == 1, F.array(turn * 1.0, F.lit(None).cast("double")))
+    chunk = F.struct(F.when(turn % 5 != 4, pair).alias("timestamp"), F.when((turn % 3 == 2) & (turn % 5 != 4), F.struct((turn * 1.0).alias("start"), (turn + 0.5).alias("end"))).alias("timestamps"), F.col("text"))
+    raw = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), turn.alias("segment_no"), F.to_json(F.struct(F.lit(1).alias("version"), F.array(chunk).alias("chunks/SPEAKER_00"))).alias("raw"))
+    found = recognition.explode_raw_chunks(raw).where("valid")
+    return found.select("media_id", F.col("segment_no").cast("long").alias("segment_no"), "seq", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "text")
+
+
 @query(f"""WITH {CONVERSATION_CUES}, i AS (SELECT *, CAST(round_even(greatest(start_s, 0.0) * 1000, 0) AS BIGINT) AS ms_a FROM conversation_cues) SELECT media_id, seq, {_TIME('a')} AS code, ms_a AS back_ms FROM i""")
 def time_codes(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir).withColumn("code", timing.format_srt_time(F.col("start_s")))
