@@ -218,14 +218,34 @@ def test_arriving_files(spark, tmp_path):
 
 
 def test_cue_stream(spark, tmp_path):
+    """Segments of a media that come in two batches give what they give together; one that lacks some is given up."""
     source = tmp_path / "raw"
     source.mkdir()
-    result = {"chunks": [{"timestamp": [0, 0.3], "text": "Hello"}, {"timestamp": [0.35, 0.6], "text": "world."}, {"timestamp": [9, 9.1], "text": "!"}]}
-    (source / "1.json").write_text(json.dumps({"media_id": "m", "segment_no": 0, "raw": json.dumps(result)}))
-    kept = []
-    stream = spark.readStream.schema("media_id string, segment_no int, raw string").json(str(source))
-    watch.cue_stream(stream, lambda cues, issues: kept.append((cues.collect(), issues.collect())), str(tmp_path / "ck")).awaitTermination(60)
-    assert [r.text for r in kept[0][0]] == ["Hello world.", "!"] and kept[0][1][0].recommended_action == "drop"
+    chunk = lambda at, text: {"timestamp": [at, at + 0.3], "text": text}
+    results = {("m", 0): [chunk(0, "Hello"), chunk(0.35, "world.")], ("m", 1): [chunk(9, "Again"), chunk(9.3, "and")], ("n", 0): [chunk(1, "one.")], ("n", 1): [chunk(2, "two.")], ("o", 0): [chunk(1, "alone")]}
+    lines = {k: json.dumps({"media_id": k[0], "segment_no": k[1], "segments": 1 + (k[0] != "x"), "raw": json.dumps({"chunks": v})}) for k, v in results.items()}
+    schema = "media_id string, segment_no int, segments int, raw string"
+    cues, left = [], []
+
+    def sink(found, issues, given_up):
+        cues.append(sorted((r.media_id, r.seq, r.start_s, r.end_s, r.text) for r in found.collect()))
+        left.extend((r.media_id, r.segment_no) for r in given_up.collect())
+        assert issues.columns[:2] == ["media_id", "idx"]
+
+    def batch(number, *keys, patience_s=3600.0):
+        (source / f"{number}.json").write_text("\n".join(lines[k] for k in keys))
+        stream = spark.readStream.schema(schema).json(str(source))
+        assert watch.cue_stream(stream, sink, str(tmp_path / "ck"), patience_s, {"once": True}).awaitTermination(180)
+
+    batch(1, ("m", 1), ("n", 0), ("o", 0), patience_s=1.0)
+    assert not any(cues)
+    batch(2, ("m", 0), ("n", 0))
+    batch(3, ("n", 1), ("m", 1))
+    raw_table = spark.createDataFrame([(*k, json.dumps({"chunks": v})) for k, v in results.items() if k[0] != "o"], "media_id string, segment_no int, raw string")
+    want = watch.C.group_cues(watch.C.repair_chunks(watch.C.concat_segments(recognition.explode_raw_chunks(raw_table))))
+    want = sorted((r.media_id, r.seq, r.start_s, r.end_s, r.text) for r in want.collect())
+    assert sorted(row for own in cues for row in own) == want and {r[0] for r in want} == {"m", "n"}
+    assert left == [("o", 0)]
 
 
 def test_health_and_progress(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators import cues as C
@@ -140,12 +141,73 @@ def in_flight_once(paths: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return paths.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-def cue_stream(raw: DataFrame, sink: Callable[[DataFrame, DataFrame], None], checkpoint: str, **limits):
-    """Start a query over a stream of raw results (media_id, segment_no, raw), each batch holding whole media: chunks are
-    repaired and grouped, and ``sink`` gets (cues, issues) of each batch."""
+class HeldSegments(StatefulProcessor):
+    """Holds the segments of a media until all of them are there, whatever batches bring them."""
+
+    def __init__(self, patience_ms: int) -> None:
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "segment_no int", "raw string")
+        self.done = handle.getValueState("done", "done boolean", self.patience_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        wanted = 0
+        for part in rows:
+            for number, total, raw in zip(part["segment_no"], part["segments"], part["raw"]):
+                wanted = max(wanted, int(total))
+                if not self.parts.containsKey((int(number),)):  # a segment that comes again counts as it came first
+                    self.parts.updateValue((int(number),), (raw,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if self.done.exists():
+            self.parts.clear()
+        elif sum(1 for _ in self.parts.keys()) >= wanted:
+            yield self._given(key, True)
+            self.done.update((True,))
+        else:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._given(key, False)
+
+    def _given(self, key, complete: bool) -> pd.DataFrame:
+        found = sorted((number[0], raw[0]) for number, raw in self.parts.iterator())
+        self.parts.clear()
+        return pd.DataFrame({"media_id": [key[0]] * len(found), "segment_no": [n for n, _ in found], "raw": [r for _, r in found], "complete": complete})
+
+    def close(self) -> None:
+        pass
+
+
+def whole_media(raw: DataFrame, patience_s: float = 3600.0) -> DataFrame:
+    """Stream of the segments of media that are complete: media_id, segment_no, raw, complete.
+
+    ``raw`` is a stream (media_id, segment_no, segments, raw), segments being how many the media has. Segments are held in
+    state until that many different ones are there, and then given together, in one batch; a media that waits longer than
+    ``patience_s`` for its next one is given as it is, with complete false. Once a media is given, segments that come again
+    within that time are dropped. Needs the state store that transformWithState asks for, which is set for the session."""
+    raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = raw.schema["media_id"].dataType.simpleString()
+    named = raw.select("media_id", F.col("segment_no").cast("int").alias("segment_no"), F.col("segments").cast("int").alias("segments"), "raw")
+    out = f"media_id {kind}, segment_no int, raw string, complete boolean"
+    return named.groupBy("media_id").transformWithStateInPandas(HeldSegments(int(patience_s * 1000)), out, "Append", "processingTime")
+
+
+def cue_stream(raw: DataFrame, sink: Callable[[DataFrame, DataFrame, DataFrame], None], checkpoint: str, patience_s: float = 3600.0, trigger: dict | None = None, **limits):
+    """Start a query over a stream of raw results (media_id, segment_no, segments, raw): of media that are complete,
+    whichever batches brought their segments, chunks are repaired and grouped, and ``sink`` gets (cues, issues, given_up),
+    the last with the segments of media that were not completed in time. ``trigger`` says how the query runs, every ten
+    seconds if not given; one that ends by itself has to be {"once": True}, as waiting media keep others from ending."""
 
     def one(batch: DataFrame, number: int) -> None:
-        cues = C.group_cues(C.repair_chunks(C.concat_segments(explode_raw_chunks(batch).where("valid"))), **limits)
-        sink(cues, Q.quality_issues(cues))
-
-    return raw.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        try:
+            cues = C.group_cues(C.repair_chunks(C.concat_segments(explode_raw_chunks(batch.where("complete")).where("valid"))), **limits)
+            sink(cues, Q.quality_issues(cues), batch.where("not complete").drop("complete"))
+        finally:
+            batch.unpersist()
+
+    held = whole_media(raw, patience_s)
+    return held.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
