@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -238,13 +239,27 @@ def test_unlike_sets_stay_apart(spark, narrow, monkeypatch):
     assert sorted(found.values(), key=str) == sorted([{1, 3, None}, {2}, {4}, {5}, {6, 7}], key=str)
 
 
-def test_crowded_keys():
+@pytest.mark.parametrize("which", [0, 1, 2])
+def test_crowded_keys(which):
+    """Fingerprints under one key agree in its exact segment; links are those of all pairs, and comparisons stay few."""
     chance = np.random.default_rng(1)
-    fps = np.unique(np.concatenate([np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64) | np.uint64(1) << chance.integers(0, 64, 3000).astype(np.uint64), chance.integers(0, 1 << 63, 500).astype(np.uint64)]))
-    a, b = simhash.linked(np.zeros(len(fps), np.int64), fps, 2)
+    low, size = simhash.SEGMENTS[(which + 1) % 3]
+    fixed = np.uint64(((1 << size) - 1) << low)
+    fps = chance.integers(0, 1 << 64, 1500, dtype=np.uint64)
+    near = np.repeat(fps[:300], 3) ^ (np.uint64(1) << chance.integers(0, 64, 900, dtype=np.uint64)) ^ (np.uint64(1) << chance.integers(0, 64, 900, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, near]) & ~fixed)
+    keys = np.full(len(fps), which << 60, np.int64)
+    a, b = simhash.linked(keys, fps, 2)
     label = simhash._forest(len(fps), a, b)
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
-    assert (label == simhash._forest(len(fps), i, j)).all()
+    assert (label == simhash._forest(len(fps), i, j)).all() and len(np.unique(label)) < len(fps) - 200
+    took = []
+    for count in (25_000, 100_000):
+        crowd = np.unique(chance.integers(0, 1 << 64, count, dtype=np.uint64) & ~fixed)
+        began = time.process_time()
+        simhash.linked(np.full(len(crowd), which << 60, np.int64), crowd, 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1  # four times the rows; all pairs would take sixteen times as long
 
 
 def test_components(spark):

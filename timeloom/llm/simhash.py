@@ -129,9 +129,21 @@ def _pairs(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate(left or [empty]), np.concatenate(right or [empty])
 
 
+def _further_groups() -> np.ndarray:
+    """Masks (segment x 3): the bits outside each segment, parted in three."""
+    masks = []
+    for low, size in SEGMENTS:
+        others = [bit for bit in range(64) if not low <= bit < low + size]
+        masks.append([sum(1 << bit for bit in part) for part in (others[0::3], others[1::3], others[2::3])])
+    return np.array(masks, np.uint64)
+
+
+_FURTHER = _further_groups()
+
+
 def linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key. In a crowded key the bits are parted once more: with at most two errors one of
-    three further groups of bits is exact."""
+    """Links among rows of equal key. In a crowded key the bits outside the segment that the key fixes are parted in
+    three: with at most two errors one of these groups is exact, so rows that agree in one are compared."""
     _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
     few = np.flatnonzero(size[group] <= CROWD)
     few = few[np.argsort(group[few], kind="stable")]
@@ -139,10 +151,11 @@ def linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray
     left, right = [few[a]], [few[b]]
     many = np.flatnonzero(size[group] > CROWD)
     if len(many):
-        for low, size_bits in ((0, 22), (22, 21), (43, 21)):
-            part = fps[many] >> np.uint64(low) & np.uint64((1 << size_bits) - 1)
-            order = many[np.lexsort((part, group[many]))]
-            part = fps[order] >> np.uint64(low) & np.uint64((1 << size_bits) - 1)
+        exact = ((keys[many] >> 60) + 1) % 3
+        for further in range(3):
+            part = fps[many] & _FURTHER[exact, further]
+            at = np.lexsort((part, group[many]))
+            order, part = many[at], part[at]
             new = np.ones(len(order), bool)
             new[1:] = (group[order[1:]] != group[order[:-1]]) | (part[1:] != part[:-1])
             a, b = _pairs(np.cumsum(new), fps[order], distance)
