@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import translated_name
+from ..functions.timing import realtime_factor
+from .quality import stage_counters
 
 #: Suffixes of supported media.
 VIDEO = ("mp4", "mkv", "avi", "mov", "webm", "m4v", "ts", "m2ts")
@@ -79,13 +81,17 @@ def outcome_rollup(reports: DataFrame, by: str = "status") -> DataFrame:
     return reports.groupBy(by).agg(F.count("*").alias("files"))
 
 
-def process_report(cues: DataFrame, issues: DataFrame, media: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per media: status, durations, counts and speed; ``runs`` has (media_id, processing_seconds)."""
-    counts = cues.groupBy("media_id").agg(F.count("*").alias("subtitle_count"))
-    flagged = issues.groupBy("media_id").agg(F.count("*").alias("issue_count"))
-    rows = coverage_status(cues, media).join(counts, "media_id", "left").join(flagged, "media_id", "left").join(runs, "media_id", "left")
-    speed = F.when(F.col("duration_s") > 0, F.bround(F.col("processing_seconds") / F.col("duration_s"), 6))
-    return rows.na.fill(0, ["subtitle_count", "issue_count"]).withColumn("realtime_factor", speed)
+def process_report(cues: DataFrame, issues: DataFrame, media: DataFrame, runs: DataFrame, **stages: DataFrame) -> DataFrame:
+    """One row per media: status, durations, speed and counts. ``runs`` has (media_id, processing_seconds); issues are
+    also counted by action. Each further table by name, such as silences, spans, dropped, tail_refined, split or aligned,
+    gives its rows of the media as <name>_count; what a table does not mention is 0."""
+    counts = [cues.groupBy("media_id").agg(F.count("*").alias("subtitle_count")), stage_counters(issues), runs.select("media_id", "processing_seconds")]
+    counts += [rows.groupBy("media_id").agg(F.count("*").alias(f"{name}_count")) for name, rows in stages.items()]
+    report = coverage_status(cues, media)
+    for own in counts:
+        report = report.join(own, "media_id", "left")
+    report = report.na.fill(0, [c for c in report.columns if c.endswith("_count")])
+    return report.withColumn("realtime_factor", realtime_factor(F.col("processing_seconds"), F.col("duration_s")))
 
 
 def split_failures(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:

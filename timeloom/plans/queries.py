@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import timing
 from ..operators import align, audio, cues, history, jobs, quality, spans, translate
-from ..sources import recognition, subtitles
+from ..sources import recognition, reports, subtitles
 from ..streaming import watch
 from .views import CONVERSATION_CUES, EVENT_SPANS, LINE_CUES, conversation_cues, event_spans, line_cues, run_history, span_media, table
 
@@ -750,10 +750,49 @@ def first_paths(spark, sf_dir):
     return jobs.distinct_paths(rows.select(F.concat_ws("/", "user_id", "event_type").alias("path"), F.col("event_id").alias("position")))
 
 
-@query(f"""WITH {CONVERSATION_CUES}, m AS (SELECT media_id, count(*) AS subtitle_count, max(end_s) + 1.0::DOUBLE AS d, arg_max(end_s, seq) AS e FROM conversation_cues GROUP BY media_id)
-SELECT media_id, subtitle_count, CASE WHEN e / d < 0.7::DOUBLE AND d - e > 300.0 THEN 'suspicious_incomplete' ELSE 'success' END AS status, CAST(floor(round_even(30.0 / d, 6) * 1000000 + 0.5) AS BIGINT) AS speed FROM m""")
+_TRUTH = "(CASE WHEN turn % 4 = 0 THEN true WHEN turn % 4 = 1 THEN false END)"
+
+
+@query(f"""WITH {CONVERSATION_CUES}, m AS (SELECT media_id, count(*) AS subtitle_count, max(end_s) + 1.0::DOUBLE AS d, arg_max(end_s, seq) AS e FROM conversation_cues GROUP BY media_id), {_FLAGS.replace('FROM line_cues', 'FROM conversation_cues')},
+n AS ({_COUNTERS}), q AS (SELECT media_id, count(*) AS k FROM conversation_cues WHERE length(text) % 3 = 0 GROUP BY media_id)
+SELECT media_id, subtitle_count, CASE WHEN e / d < 0.7::DOUBLE AND d - e > 300.0 THEN 'suspicious_incomplete' ELSE 'success' END AS status, CAST(floor(round_even(30.0 / d, 6) * 1000000 + 0.5) AS BIGINT) AS speed,
+  {_ms('e')} AS last_end_ms, coalesce(issue_count, 0) AS issue_count, coalesce(split_candidate_count, 0) AS split_candidate_count, coalesce(drop_count, 0) AS drop_count, coalesce(review_count, 0) AS review_count, coalesce(k, 0) AS tail_refined_count, 0::BIGINT AS aligned_count
+FROM m LEFT JOIN n USING (media_id) LEFT JOIN q USING (media_id)""")
 def process_reports(spark, sf_dir):
     rows = conversation_cues(spark, sf_dir)
     media = rows.groupBy("media_id").agg((F.max("end_s") + 1.0).alias("duration_s"))
-    found = jobs.process_report(rows, quality.quality_issues(rows), media, media.select("media_id", F.lit(30.0).alias("processing_seconds")))
-    return found.select("media_id", "subtitle_count", "status", F.floor(F.col("realtime_factor") * 1000000 + 0.5).cast("long").alias("speed"))
+    stages = {"tail_refined": rows.where(F.length("text") % 3 == 0), "aligned": rows.where("seq < 0")}
+    found = jobs.process_report(rows, quality.quality_issues(rows), media, media.select("media_id", F.lit(30.0).alias("processing_seconds")), **stages)
+    counts = ["issue_count", "split_candidate_count", "drop_count", "review_count", "tail_refined_count", "aligned_count"]
+    return found.select("media_id", "subtitle_count", "status", F.floor(F.col("realtime_factor") * 1000000 + 0.5).cast("long").alias("speed"), ms("last_end_s").alias("last_end_ms"), *counts)
+
+
+@query("""SELECT conv_id AS media_id, 'no subtitle entries' AS reason FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id""")
+def unreadable_subtitles(spark, sf_dir):
+    """Subtitle texts without an entry, as rows with a reason."""
+    rows = subtitles.render_srt(conversation_cues(spark, sf_dir))
+    broken = F.when(F.col("media_id") % 3 == 0, F.regexp_replace("body", "-->", "to")).otherwise(F.col("body"))
+    return subtitles.strict_entries(rows.withColumn("body", broken))[1]
+
+
+@query(f"""SELECT conv_id * 100 + turn AS media_id, CASE WHEN ok THEN threshold END AS silence_threshold_db, CASE WHEN ok THEN seconds END AS min_silence_cs, CASE WHEN ok THEN kept END AS delete_source_on_success, reason FROM (
+  SELECT *, reason IS NULL AS ok FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 1 THEN 'loud' WHEN turn % 5 <> 4 THEN '-' || turn || '.5dB' END AS threshold, CASE WHEN turn % 6 <> 5 THEN turn % 6 * 25 END AS seconds, {_TRUTH} AS kept,
+    CASE WHEN turn % 9 = 8 THEN 'expected object' WHEN turn % 5 = 1 THEN 'silence_threshold_db must look like -35dB' WHEN turn % 6 = 0 THEN 'min_silence_duration_s must be > 0' END AS reason FROM conversations))""")
+def job_options(spark, sf_dir):
+    """Options of jobs as typed columns, or the reason why they are not valid."""
+    turn = F.col("turn")
+    truth = F.when(turn % 4 == 0, True).when(turn % 4 == 1, False)
+    threshold = F.when(turn % 5 == 1, "loud").when(turn % 5 != 4, F.concat(F.lit("-"), turn.cast("string"), F.lit(".5dB")))
+    options = F.to_json(F.struct(threshold.alias("silence_threshold_db"), F.when(turn % 6 != 5, turn % 6 / 4.0).alias("min_silence_duration_s"), truth.alias("delete_source_on_success")))
+    given = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + turn).alias("media_id"), F.when(turn % 9 == 8, F.concat(F.lit("["), options, F.lit("]"))).otherwise(options).alias("options"))
+    found = reports.parse_job_options(given)
+    return found.select("media_id", "silence_threshold_db", F.floor(F.col("min_silence_duration_s") * 100).cast("long").alias("min_silence_cs"), "delete_source_on_success", "reason")
+
+
+@query(f"""SELECT CAST(l_returnflag AS VARCHAR) AS asr_backend, count(*) AS runs, {_MICRO('max(l_quantity / l_extendedprice)')} AS slowest FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_returnflag""")
+def history_variant(spark, sf_dir):
+    """Runs of any status that name their media's or else their audio's length."""
+    rows = run_history(spark, sf_dir).where(F.col("mtime.l_linenumber") <= 3)
+    first = F.col("mtime.l_linenumber") == 1
+    rows = rows.withColumns({"audio_duration_seconds": F.when(first, F.col("media_duration_seconds")), "media_duration_seconds": F.when(~first, F.col("media_duration_seconds")), "status": F.lit("failed")})
+    return history.history_ratios(rows).groupBy("asr_backend").agg(F.count("*").alias("runs"), F.floor(F.max("ratio") * 1000000 + 0.5).cast("long").alias("slowest"))

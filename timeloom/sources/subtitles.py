@@ -44,6 +44,14 @@ def parse_srt_entries(texts: DataFrame) -> DataFrame:
     return blocks.select("media_id", seq.alias("seq"), T.strip(F.get("lines", F.lit(1))).alias("timecode"), text.alias("text"))
 
 
+def strict_entries(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, errors): subtitle texts (media_id, body) without any entry, null ones too, are errors (media_id, reason),
+    where one file would stop a run."""
+    entries = parse_srt_entries(texts)
+    bad = texts.join(entries.select("media_id").distinct(), "media_id", "left_anti")
+    return entries, bad.select("media_id", F.lit("no subtitle entries").alias("reason"))
+
+
 def count_srt_blocks(body: Column) -> Column:
     """Blocks with a time line; none is null."""
     blocks = F.split(F.regexp_replace(F.regexp_replace(body, "^\ufeff", ""), "\r\n", "\n"), "\n\n")
