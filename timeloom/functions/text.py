@@ -70,9 +70,10 @@ def is_punctuation_only(text: Column, profile: str = "standalone") -> Column:
     return (bare != "") & ~bare.rlike(r"[\p{L}\p{N}]")
 
 
-def looks_like_garbage_cjk(text: Column) -> Column:
+def looks_like_garbage_cjk(text: Column, min_share: float = 0.8) -> Column:
+    """Eight ideographs at least, ``min_share`` of the text, and no kana."""
     cjk = F.length(F.regexp_replace(text, r"[^㐀-鿿]", ""))
-    return (F.length(text) >= 8) & (cjk >= 8) & ~text.rlike(r"[぀-ヿ]") & (cjk / F.greatest(F.length(text), F.lit(1)) >= 0.8)
+    return (F.length(text) >= 8) & (cjk >= 8) & ~text.rlike(r"[぀-ヿ]") & (cjk / F.greatest(F.length(text), F.lit(1)) >= min_share)
 
 
 def char_ngrams(text: Column, size: int = 2) -> Column:

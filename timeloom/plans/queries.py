@@ -5,6 +5,7 @@ Times are reported in whole milliseconds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -796,3 +797,100 @@ def history_variant(spark, sf_dir):
     first = F.col("mtime.l_linenumber") == 1
     rows = rows.withColumns({"audio_duration_seconds": F.when(first, F.col("media_duration_seconds")), "media_duration_seconds": F.when(~first, F.col("media_duration_seconds")), "status": F.lit("failed")})
     return history.history_ratios(rows).groupBy("asr_backend").agg(F.count("*").alias("runs"), F.floor(F.max("ratio") * 1000000 + 0.5).cast("long").alias("slowest"))
+
+
+# ---- remaining rules -----------------------------------------------------------------------------------------------
+
+_CJK = "translate(text, 'aeiourstn', '漢字文書語学生物理')"
+
+
+@query(f"""WITH {LINE_CUES}, c AS (SELECT media_id, seq, CASE WHEN seq % 4 = 3 THEN {_CJK} || 'の' ELSE {_CJK} END AS text FROM line_cues), n AS (SELECT *, length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) AS cjk FROM c)
+SELECT media_id, seq, length(text) >= 8 AND cjk >= 8 AND NOT regexp_matches(text, '[぀-ヿ]') AND cjk::DOUBLE / greatest(length(text), 1)::DOUBLE >= 0.6::DOUBLE AS garbage FROM n""")
+def garbage_texts(spark, sf_dir):
+    """Texts that are nearly all ideographs, without any kana."""
+    text = F.translate("text", "aeiourstn", "漢字文書語学生物理")
+    rows = line_cues(spark, sf_dir).withColumn("text", F.when(F.col("seq") % 4 == 3, F.concat(text, F.lit("の"))).otherwise(text))
+    return rows.select("media_id", "seq", T.looks_like_garbage_cjk(F.col("text"), 0.6).alias("garbage"))
+
+
+@query(f"""WITH {CONVERSATION_CUES}, e AS (SELECT media_id, seq, CASE seq % 4 WHEN 0 THEN 'うん、うん。' WHEN 1 THEN 'うんと' ELSE text END AS text, CASE WHEN seq % 3 <> 2 THEN ' [' || seq || '] ' || text || ' ' END AS reply FROM conversation_cues),
+m AS (SELECT *, CASE WHEN seq % 4 = 0 THEN '응' ELSE coalesce(trim(reply, ' ' || chr(10)), '') END AS translation FROM e)
+SELECT media_id, count(*) AS subtitle_count, count(*) FILTER (WHERE translation = '') AS missing_count, count(*) FILTER (WHERE translation = '응') AS fixed_count, max(length(translation)) AS longest, 40 AS batch_size, 'some' AS model FROM m GROUP BY media_id""")
+def translation_reports(spark, sf_dir):
+    """Replies merged with fixed translations of short reactions, and what is known of each media after that."""
+    seq, text = F.col("seq"), F.col("text")
+    rows = conversation_cues(spark, sf_dir)
+    replies = rows.where(seq % 3 != 2).select("media_id", "seq", F.concat(F.lit(" ["), seq.cast("string"), F.lit("] "), text, F.lit(" ")).alias("text"))
+    entries = rows.select("media_id", "seq", F.when(seq % 4 == 0, "うん、うん。").when(seq % 4 == 1, "うんと").otherwise(text).alias("text"))
+    merged = translate.merge_replies(entries, replies)
+    more = merged.groupBy("media_id").agg(F.count_if(F.col("translation") == "응").alias("fixed_count"), F.max(F.length("translation")).cast("long").alias("longest"))
+    return translate.translation_metadata(merged, 40, "some").join(more, "media_id")
+
+
+@query(f"""WITH {CONVERSATION_CUES}, c AS (SELECT media_id, count(*) AS expected, count(*) FILTER (WHERE seq % 5 <> 4 OR media_id % 2 = 0) AS found FROM conversation_cues GROUP BY media_id) SELECT * FROM c WHERE expected <> found""")
+def count_mismatches(spark, sf_dir):
+    rows = conversation_cues(spark, sf_dir)
+    return translate.cardinality_check(rows, rows.where("seq % 5 <> 4 or media_id % 2 = 0"))
+
+
+@query(f"""WITH {CONVERSATION_CUES} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM conversation_cues""")
+def json_texts(spark, sf_dir):
+    """Cues written as JSON, and read from it again."""
+    bodies = subtitles.render_json(conversation_cues(spark, sf_dir))
+    read = bodies.select("media_id", F.posexplode(F.from_json("body", "array<struct<start: double, end: double, text: string>>")).alias("at", "c"))
+    return timed(read.select("media_id", (F.col("at") + 1).cast("long").alias("seq"), F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), F.col("c.text").alias("text")), "text")
+
+
+@query(f"""WITH {EVENT_SPANS} SELECT media_id, seq, CAST(floor(round_even(start_s, 1) * 10 + 0.5) AS BIGINT) AS start_ds, CAST(floor(round_even(end_s, 1) * 10 + 0.5) AS BIGINT) AS end_ds, event_type = 'error' AS transcribed FROM event_spans""")
+def vad_reports(spark, sf_dir):
+    """Reports of detected spans and of those that are transcribed, taken apart again."""
+    rows = event_spans(spark, sf_dir)
+    found = reports.vad_report(rows, rows.where("event_type = 'error'"), {"engine": "events"}, 1)
+    kept = F.transform(F.coalesce("transcription_spans", F.array().cast("array<struct<start: double, end: double, duration: double>>")), lambda x: F.struct(x["start"], x["end"]))
+    each = found.select("media_id", kept.alias("kept"), F.posexplode("speech_spans").alias("at", "s"))
+    tenths = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("long")
+    return each.select("media_id", (F.col("at") + 1).cast("long").alias("seq"), tenths("s.start").alias("start_ds"), tenths("s.end").alias("end_ds"), F.array_contains("kept", F.struct(F.col("s.start"), F.col("s.end"))).alias("transcribed"))
+
+
+@query(f"""WITH {CONVERSATION_CUES}, r AS (SELECT media_id, seq, start_s, end_s, text, greatest(start_s, end_s - 5.0::DOUBLE) AS tail, CASE seq % 3 WHEN 0 THEN substring(text, length(text) // 2 + 1) WHEN 1 THEN 'zq' END AS heard, (seq % 4)::DOUBLE AS first FROM conversation_cues),
+n AS (SELECT *, {_norm('text')} AS a, coalesce({_norm('heard')}, '') AS b FROM r),
+t AS (SELECT *, heard IS NOT NULL AND length(b) >= 4 AND length(b)::DOUBLE / length(a)::DOUBLE >= 0.35::DOUBLE AND contains(a, b) AND a <> '' AND b <> '' AS accepted FROM n),
+m AS (SELECT *, accepted AND tail + first > start_s AND tail + first < end_s AS moved FROM t)
+SELECT media_id, seq, {_ms('CASE WHEN moved THEN tail + first ELSE start_s END')} AS start_ms, {_ms('end_s')} AS end_ms, moved FROM m""")
+def moved_tails(spark, sf_dir):
+    """Tails that were recognised again: accepted by likeness and length, applied where they lie inside their cues."""
+    rows, seq = conversation_cues(spark, sf_dir), F.col("seq")
+    requests = quality.tail_requests(rows.select("media_id", seq.alias("idx"), "start_s", "end_s"))
+    heard = F.when(seq % 3 == 0, F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")).when(seq % 3 == 1, "zq")
+    tails = rows.select("media_id", seq.alias("idx"), F.lit(1).alias("seq"), (seq % 4).cast("double").alias("start_s"), heard.alias("text")).where("text is not null")
+    moved, applied = quality.apply_tail(rows, quality.tail_attempts(rows, requests, tails))
+    found = applied.select("media_id", F.col("idx").alias("seq"), F.lit(True).alias("moved"))
+    return timed(moved).join(found, ["media_id", "seq"], "left").na.fill(False, ["moved"])
+
+
+@query("""WITH b AS (SELECT user_id || '' AS worker, ts, CASE WHEN event_type = 'error' THEN 'busy' ELSE 'ready' END AS status, event_id % 3 <> 0 AS model_loaded, event_id % 5 <> 0 AS gpu_available, event_id % 7 <> 0 AS watcher_running, event_id FROM events),
+l AS (SELECT worker, max(ts) AS ts, arg_max(status, (ts, event_id)) AS status, arg_max(model_loaded, (ts, event_id)) AS m, arg_max(gpu_available, (ts, event_id)) AS g, arg_max(watcher_running, (ts, event_id)) AS w FROM b GROUP BY worker),
+r AS (SELECT worker, CASE WHEN (SELECT max(ts) FROM events) - ts > INTERVAL 12 HOUR THEN 'stale' WHEN NOT m THEN 'bad model_loaded' WHEN NOT g THEN 'bad gpu_available' WHEN NOT w THEN 'bad watcher_running' WHEN status <> 'ready' THEN 'bad status' END AS reason FROM l)
+SELECT worker, reason, reason IS NULL AS healthy FROM r""")
+def worker_states(spark, sf_dir):
+    """Workers by their newest beat, as of the last event."""
+    events, number = table(spark, sf_dir, "events"), F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "busy").otherwise("ready")
+    beats = events.select(F.col("user_id").cast("string").alias("worker"), F.col("ts").alias("updated_at"), status.alias("status"), (number % 3 != 0).alias("model_loaded"), (number % 5 != 0).alias("gpu_available"), (number % 7 != 0).alias("watcher_running"))
+    now = events.agg(F.max("ts").alias("now"))
+    return watch.worker_health(beats, now.first()["now"], 12 * 3600.0).select("worker", "reason", "healthy")
+
+
+@query(f"""WITH {EVENT_SPANS}, {_SAMPLES}, {_SAMPLE_CUES},
+asked AS (SELECT media_id, seq, CAST(floor(start_s * 10) AS BIGINT) AS first, least(CAST(floor(least(end_s, start_s + 2.0::DOUBLE) * 10) AS BIGINT), total) AS stop FROM sample_cues JOIN totals USING (media_id)),
+loud AS (SELECT a.media_id, a.seq, (i - first) AS k FROM asked a JOIN samples m ON m.media_id = a.media_id AND i >= first AND i < stop WHERE s >= 3000),
+onset AS (SELECT media_id, seq, min(k) AS k FROM loud GROUP BY ALL),
+moved AS (SELECT c.*, greatest(start_s, least(greatest(start_s, floor(start_s * 10) / 10 + k / 10.0::DOUBLE), end_s)) AS late FROM sample_cues c LEFT JOIN onset USING (media_id, seq)),
+d AS (SELECT media_id, CASE WHEN late > start_s AND late < end_s THEN late - start_s END AS lag FROM moved)
+SELECT media_id, count(lag) AS adjusted_count, CAST(floor(coalesce(round_even(avg(lag), 3), 0) * 100 + 0.5) AS BIGINT) AS average_cs, CAST(floor(coalesce(round_even(max(lag), 3), 0) * 100 + 0.5) AS BIGINT) AS longest_cs FROM d GROUP BY media_id""")
+def refinement_statistics(spark, sf_dir):
+    """How many starts of each media were moved, and how far."""
+    level = 20 * math.log10(2999.5 / 32768)
+    _, stats = audio.refine_span_starts(_sample_cues(spark, sf_dir), _blocks(spark, sf_dir), level, 0.0, 0.0, 0.1, 1, 2.0)
+    centi = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("long")
+    return stats.select("media_id", "adjusted_count", centi("average_adjustment_s").alias("average_cs"), centi("max_adjustment_s").alias("longest_cs"))
