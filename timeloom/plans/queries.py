@@ -472,7 +472,7 @@ def _slowed(cues_: DataFrame) -> DataFrame:
 
 @query(f"""WITH {CONVERSATION_CUES}, slowed AS (SELECT media_id, seq, start_s, end_s, CASE WHEN seq % 2 = 1 THEN substring(text, 1, 12) ELSE text END AS text FROM conversation_cues),
 f AS (SELECT *, end_s - start_s AS d, length({_NORM}) AS n, {_BARE} AS bare, length(text) AS size,
-  (-10 - length(text) % 50)::DOUBLE AS top, (-10 - length(text) % 50 - seq % 20)::DOUBLE AS p90, (length(text) % 10)::DOUBLE / 20.0::DOUBLE AS ratio, (seq % 5)::DOUBLE / 4.0::DOUBLE AS island, (length(text) % 4)::DOUBLE / 3.0::DOUBLE AS lead FROM slowed),
+  (-10 - (length(text) + 7 * media_id) % 50)::DOUBLE AS top, (-10 - (length(text) + 7 * media_id) % 50 - seq % 20)::DOUBLE AS p90, (length(text) % 10)::DOUBLE / 20.0::DOUBLE AS ratio, (seq % 5)::DOUBLE / 4.0::DOUBLE AS island, (length(text) % 4)::DOUBLE / 3.0::DOUBLE AS lead FROM slowed),
 g AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS idx, list_filter([CASE WHEN d < 0.3::DOUBLE THEN 'near_zero_duration' END, CASE WHEN bare THEN 'punctuation_only' END, CASE WHEN d >= 8.0 AND n <= 30 THEN 'long_duration_short_text' END,
   CASE WHEN d >= 12.0 AND n >= 25 THEN 'long_subtitle_split_candidate' END, CASE WHEN d >= 8.0 AND n::DOUBLE / d < 2.0 THEN 'low_chars_per_second' END, CASE WHEN d <= 3.0 AND top < -45.0 THEN 'flat_audio' END,
   CASE WHEN d >= 8.0 AND top < -22.0 AND p90 < -30.0 THEN 'weak_audio_peak' END, CASE WHEN d >= 8.0 AND top >= -22.0 AND p90 >= -30.0 THEN 'strong_audio' END, CASE WHEN d >= 8.0 AND ratio < 0.18::DOUBLE AND island < 0.8::DOUBLE THEN 'low_speech_density' END,
@@ -485,7 +485,7 @@ def audio_issues(spark, sf_dir):
     """Flags and actions where text and audio speak together."""
     rows = _slowed(conversation_cues(spark, sf_dir))
     size, seq = F.length("text"), F.col("seq")
-    loudest = (-10 - size % 50).cast("double")
+    loudest = (-10 - (size + 7 * F.col("media_id")) % 50).cast("double")
     stats = F.struct(loudest.alias("max_db"), (loudest - seq % 20).alias("p90_db"), (size % 10 / 20.0).alias("speech_ratio"), (seq % 5 / 4.0).alias("longest_island_s"), (size % 4 / 3.0).alias("leading_quiet_s"))
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("seq")).cast("long")
     found = quality.quality_issues(rows, rows.select("media_id", number.alias("seq"), stats.alias("audio")))
