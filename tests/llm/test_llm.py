@@ -480,20 +480,6 @@ def test_mixing_once(spark, caplog):
     assert loss(np.array(reached)) <= 1.02 * loss(rate @ tokens_of) + 1e-3
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf).cache()
-        assert after.columns == docs.columns and 0 < after.count() <= before.count(), name
-        before = after
-    packed = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in before.collect()}
-
-
 def test_local_search_against_all_exchanges():
     """No move, one-for-one or two-for-one exchange is left that fills the fuller of two underfull bins further."""
     chance = random.Random(12)
