@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timeloom.operators import jobs, quality
 from timeloom.operators.spans import span_report
 from timeloom.sources import media, recognition, reports, sinks, subtitles
 from timeloom.streaming import watch
@@ -252,3 +253,62 @@ def test_health_and_progress(spark):
     beats = spark.createDataFrame([("w", "2024-01-01 00:00:00", "ready", True, True, True), ("v", "2024-01-01 00:05:00", "ready", True, False, True)], "worker string, updated_at string, status string, model_loaded boolean, gpu_available boolean, watcher_running boolean")
     got = {r.worker: r.reason for r in watch.worker_health(beats, "2024-01-01 00:05:30").collect()}
     assert got == {"w": "stale", "v": "bad gpu_available"}
+
+
+def test_media_below_a_folder(spark, tmp_path):
+    for path in ("a.mp4", "b.WAV", "c.txt", "x/d.mkv", "x/y/e.mp3", "x/.f.mp4.part"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"12345")
+    found = lambda recurse: sorted((r.media_id, r.ext, r.size) for r in media.scan_media(spark, str(tmp_path), recurse).collect())
+    assert found(False) == [("a", "mp4", 5), ("b", "wav", 5)]
+    assert found(True) == [("a", "mp4", 5), ("b", "wav", 5), ("d", "mkv", 5), ("e", "mp3", 5)]
+
+
+def test_quality_report(spark):
+    cue = "media_id string, seq long, start_s double, end_s double, text string"
+    rows = spark.createDataFrame([("m", 1, 0.0, 20.0, "a long text that stands for twenty seconds. and more"), ("m", 2, 20.0, 20.1, "..."), ("n", 1, 0.0, 2.0, "fine")], cue)
+    issues = quality.quality_issues(rows)
+    _, dropped = quality.split_hallucinations(rows)
+    none = issues.limit(0)
+    report = {r.media_id: r for r in quality.quality_report(rows, issues, dropped, none, none).collect()}
+    assert (report["m"].cue_count, report["m"].issues_count, report["m"].dropped_count, report["m"].split_count) == (2, 2, 1, 0)
+    assert [x.idx for x in report["m"].issues] == [1, 2] and report["m"].dropped[0].text == "..."
+    assert (report["n"].cue_count, report["n"].issues_count) == (1, 0) and report["n"].issues is None
+
+
+def test_quarantine(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", -1)], "media_id string, n int")
+    reason = F.when(F.col("n").isNull(), "no number").when(F.col("n") < 0, "below zero")
+    good, bad = jobs.split_failures(rows, reason)
+    assert [r.media_id for r in good.collect()] == ["a"] and good.columns == rows.columns
+    reports.write_quarantine(bad, str(tmp_path / "q"))
+    reports.write_quarantine(bad.where("n < 0"), str(tmp_path / "q"))
+    kept = spark.read.json(str(tmp_path / "q")).collect()
+    assert sorted((r.reason, r.media_id) for r in kept) == [("below zero", "c"), ("below zero", "c"), ("no number", "b")]
+
+
+def test_paths_in_flight_once(spark, tmp_path):
+    source = tmp_path / "seen"
+    source.mkdir()
+    line = lambda path, at: json.dumps({"path": path, "seen_at": f"2024-01-01 00:{at:02d}:00"})
+    schema = "path string, seen_at timestamp"
+
+    def told(number, *lines):
+        (source / f"{number}.json").write_text("\n".join(lines))
+        once = watch.in_flight_once(spark.readStream.schema(schema).json(str(source)), "10 minutes")
+        out = []
+        query = once.writeStream.foreachBatch(lambda batch, _: out.extend(r.path for r in batch.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return sorted(out)
+
+    assert told(1, line("a", 0), line("a", 1), line("b", 1)) == ["a", "b"]
+    assert told(2, line("a", 5), line("c", 5)) == ["c"]
+    assert told(3, line("d", 40)) == ["d"]
+    assert told(4, line("a", 41)) == ["a"]  # forgotten by then
+
+
+def test_strict_subtitles(spark):
+    texts = spark.createDataFrame([("a", "1\n00:00:01,000 --> 00:00:02,000\nx\n"), ("b", "1\nno time\nx\n"), ("c", ""), ("d", None)], "media_id string, body string")
+    entries, errors = subtitles.strict_entries(texts)
+    assert [(r.media_id, r.text) for r in entries.collect()] == [("a", "x")]
+    assert sorted((r.media_id, r.reason) for r in errors.collect()) == [(m, "no subtitle entries") for m in "bcd"]
