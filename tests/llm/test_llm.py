@@ -216,7 +216,7 @@ def test_similar_documents(spark, block, monkeypatch):
     assert sorted(kept) == sorted(set(root.values())) and shingles.one_of_each_similar(empty(spark)).count() == 0
 
 
-def thue_morse(n, a, b):
+def morse_words(n, a, b):
     out = [a, b]
     for _ in range(n):
         out, a, b = [a, b], "".join([a, b]), "".join([b, a])
@@ -229,7 +229,7 @@ def test_unlike_sets_stay_apart(spark, narrow, monkeypatch):
     if narrow:
         digests = shingles.set_digests
         monkeypatch.setattr(shingles, "set_digests", lambda *x: digests(*x) * np.array([0, 1]))
-    left, right = thue_morse(11, "a", "b")
+    left, right = morse_words(11, "a", "b")
     assert left != right and len(left) == len(right) >= 2048
     words = ["four common words first"]
     texts = [(1, left), (2, right), (3, left), (4, " ".join([*words, left])), (5, " ".join([*words, right])), (6, ""), (7, None), (None, left)]
