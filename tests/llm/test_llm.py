@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from timeloom.llm import components, fragments, lines, mixing, nearest, packing, quality, rlz, shingles, simhash, suffix, tokens, urls
+from timeloom.llm import common, components, fragments, lines, mixing, nearest, packing, quality, rlz, shingles, simhash, suffix, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside, as clashing extra columns.
@@ -268,7 +268,9 @@ def test_components(spark):
     assert {r.node: r.root for r in found.collect()} == {**{n: 0 for n in range(1, 31)}, 101: 100, 102: 100}
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("many", [1, 1 << 40], ids=["joined", "looked up"])
+def test_lines(spark, many, monkeypatch):
+    monkeypatch.setattr(lines, "MANY", many)
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
     docs = list(dict.fromkeys(TEXTS))
     count = collections.Counter(k for _, t in docs for k in {key(x) for x in (t or "").split("\n")})
@@ -282,6 +284,44 @@ def test_lines(spark):
     first = by_id(lines.drop_lines(table(spark, TEXTS), min_docs=10, keep_first=True, carry=True), "n_dropped")
     assert first[13] == [(0,)] and first[25] == [(2,)]
     assert lines.drop_lines(empty(spark)).count() == 0
+    nulls = [(None, f"shared\nown {n}") for n in range(3)] + [(None, None), (4, "SHARED "), (4, "SHARED ")]
+    found = by_id(lines.drop_lines(table(spark, nulls), min_docs=4), "n_lines", "n_dropped", "kept")
+    assert sorted(found[None]) == [(1, 0, ""), *[(2, 1, f"own {n}") for n in range(3)]] and found[4] == [(1, 1, "")] * 2
+    found = by_id(lines.drop_lines(table(spark, nulls), min_docs=4, keep_first=True), "n_dropped")
+    assert sorted(x for (x,) in found[None]) == [0, 0, 1, 1] and found[4] == [(1,)] * 2
+    assert spark.sql("SHOW TABLES").where("tableName LIKE 'run%'").count() == 0
+
+
+def test_line_index(spark):
+    chance = random.Random(5)
+    pairs = [(n, n, int(chance.paretovariate(0.6)), n % 11) for n in range(700) for _ in range(4)]
+    rows = spark.createDataFrame([(a, b, h, h * 7, batch) for a, b, h, batch in pairs], "doc_id long, rk long, h1 long, h2 long, batch int")
+    rows = common.saved(rows.repartition(3), "rows")
+    index, whole, merges = lines.LineIndex(spark, 10), collections.Counter(h for h, _ in {(h, n) for n, _, h, _ in pairs}), 0
+    for batch in range(11):
+        with common.bucket_order(spark):
+            found = index.unsettled(rows.where(F.col("batch") == batch))
+            plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            merges += plan.count("SortMergeJoin")
+            # the batch is exchanged twice and sorted once, in front of all runs; these are neither
+            assert plan.count("Exchange") == 2 and plan.count("Sort [") == (1 if batch else 0)
+        index.add(rows.where(F.col("batch") == batch))
+        held = {n for n in range(batch + 1)}
+        assert [run is not None for run in index.levels] == [bool(batch + 1 >> level & 1) for level in range((batch + 1).bit_length())]
+        if batch == 5:
+            with common.bucket_order(spark):
+                plan = index.merged(*index.runs())._jdf.queryExecution().executedPlan().toString()
+            assert "FullOuter" in plan and "Exchange" not in plan and "Sort [" not in plan
+            so_far = collections.Counter(h for h, _ in {(h, n) for n, _, h, b in pairs if b in held})
+            settled = {h for h, n in so_far.items() if n >= 10}
+            kept = [(r.h1, r.docs) for run in index.runs() for r in run.collect()]
+            assert {h for h, _ in kept} == set(so_far)
+            for h, n in so_far.items():
+                docs = sum(d for own, d in kept if own == h)
+                assert docs == n or h in settled and 10 <= docs <= n
+    assert merges > 15
+    found, counted = index.frequent()
+    assert {r.h1 for r in found.collect()} == {h for h, n in whole.items() if n >= 10} and len(pairs) >= counted >= len(whole)
 
 
 def test_quality(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def saved_in_buckets(df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+    """Like ``saved``, in ``buckets`` parts by the hash of ``keys``, each sorted by them: what joins such tables on the
+    keys under ``bucket_order`` neither moves nor sorts them. ``df`` has to hold a bucket in one task at most."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{table}"
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _WRITTEN.append(path)
+    out = spark.table(table)
+    out.scratch_path, out.scratch_table = path, table
+    return out
+
+
+@contextmanager
+def bucket_order(spark: SparkSession):
+    """Plans made inside rely on the order in the files of ``saved_in_buckets``."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -48,6 +74,8 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def forget(table: DataFrame) -> None:
     """Delete a saved table that nothing reads any more."""
+    if hasattr(table, "scratch_table"):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.scratch_table}")
     _delete(table.sparkSession, table.scratch_path)
     _WRITTEN.remove(table.scratch_path)
 
