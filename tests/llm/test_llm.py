@@ -501,6 +501,26 @@ def test_mixing(spark):
     assert mixing.mix_rates(empty(spark), labels, {"good": 0.9, "bad": 0.1}).count() == 0
 
 
+@pytest.mark.parametrize("share", [[0.6, 0.3, 0.1], [0.9, 0.09, 0.01], [1, 0, 0], [0.02, 0.02, 0.96]], ids=["inside", "edge", "zero", "out of reach"])
+def test_mixing_least_squares(spark, share):
+    chance = np.random.default_rng(3)
+    p, n = chance.dirichlet([2, 0.5, 0.5], 400), 50.0 + np.arange(400) % 7
+    tokens_of = n[:, None] * p
+    own, rate = tokens_of.sum(0), np.ones(400)
+    goal = np.array(share) * min(o / s for o, s in zip(own, share) if s > 0)
+    loss = lambda x: ((x - goal) ** 2 / own).sum()
+    steps, reached, final = mixing.descend(lambda steps: mixing.batch_sums(p, n, steps, None), goal, own, 3, 1e-3, None)
+    for _ in range(60000):  # plain projected gradient over all rates at once
+        rate = np.maximum(rate - p @ ((rate @ tokens_of - goal) / own), 0)
+    assert loss(reached) <= loss(rate @ tokens_of) + 1e-3 * loss(own) and len(steps) < 100
+    assert final == (np.abs(reached - goal) <= 1e-3 * np.where(goal > 0, goal, goal.sum())).all()
+    if share[0] == 0.9:
+        scored = spark.createDataFrame([(at, int(size), x.tolist()) for at, (size, x) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p array<double>")
+        rated, totals, wanted = mixing.solve_rates(scored, lambda _: goal, 3)
+        rates = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+        assert (rates >= 0).all() and rates @ tokens_of == pytest.approx(totals) and totals == pytest.approx(wanted, rel=2e-3) and totals == pytest.approx(reached.tolist())
+
+
 def test_mixing_once(spark, caplog):
     chance = np.random.default_rng(3)
     p = chance.dirichlet([2, 0.5, 0.5], 400)

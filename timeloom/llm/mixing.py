@@ -30,7 +30,9 @@ FEATURES = 1 << 17
 SAMPLE_PARTS = 4
 #: Iterations and L2 penalty of the fit; stopping early does better on held-out labels than the converged fit.
 MAX_STEPS, PENALTY = 40, 1e-4
-#: Share of all target tokens below which a pass of a bounded solution counts as standing still.
+#: Halvings of a whitened step before plain steps take over.
+HALVED = 6
+#: Share of all target tokens below which a plain pass counts as standing still.
 STILL = 1e-4
 #: Documents of the sample, and share of them, that a feature has to occur in; chosen on held-out labels.
 MIN_DOCS, MIN_SHARE = 5, 0.001
@@ -195,38 +197,36 @@ def descend(totals, goal: np.ndarray, own: np.ndarray, k: int, tolerance: float,
     reach and whether these are final.
 
     A step is the projected gradient of the squared distance with the domains' equations whitened by the products of
-    domains over the documents that can still move, so domains that overlap do not hinder each other; it is halved
-    while it brings no progress. With ``once`` the goal may be out of reach, where whitening would move the
-    solution: steps are plain ones then (each equation divided by its own total, a step of 1 never overshoots) with
-    momentum, which starts anew whenever the distance grows.
+    domains over the documents that can still move, so domains that overlap do not hinder each other; it is halved up to
+    ``HALVED`` times while it brings no progress. If that does not help, or with ``once``, the goal may be out of reach,
+    where whitening would move the solution: steps are plain ones then (each equation divided by its own total, a step of
+    1 never overshoots) with momentum, which starts anew whenever the distance grows, until the totals stand still.
     """
     scale = np.where(own > 0, own, 1.0)
     distance = lambda x: ((x - goal) ** 2 / scale).sum()
     near = lambda x: bool((np.abs(x - goal) <= tolerance * np.where(goal > 0, goal, goal.sum() + 1e-9)).all())
     steps: list[tuple[np.ndarray, float]] = []
     reached, ahead, products = np.split(totals(steps), [k, 2 * k])
-    pace, before = 1.0, np.inf
+    pace, before, whitened = 1.0, np.inf, once is None
     while not near(reached):
-        if once is None:
+        if whitened:
             step = np.linalg.pinv(products.reshape(k, k), rcond=1e-9, hermitian=True) @ (reached - goal)
-            while True:
-                tried = np.split(totals([*steps, (step, 0.0)]), [k, 2 * k])
+            for halved in range(HALVED + 1):
+                tried = np.split(totals([*steps, (step / 2**halved, 0.0)]), [k, 2 * k])
                 if distance(tried[0]) < (1 - tolerance) * distance(reached):
+                    steps.append((step / 2**halved, 0.0))
+                    reached, ahead, products = tried
                     break
-                step = step / 2
-                if np.abs(step).max() < tolerance**2:
-                    return steps, reached, False
-            steps.append((step, 0.0))
-            reached, _, products = tried
-        else:
-            pace = 1.0 if distance(reached) > before else pace
-            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-            steps.append(((ahead - goal) / scale, (pace - 1) / faster))
-            before, pace, last = distance(reached), faster, reached
-            reached, ahead, _ = np.split(totals(steps), [k, 2 * k])
-            moved = max(np.abs(reached - last).max(), np.abs(ahead - reached).max())
-            if moved <= STILL * goal.sum():
-                return steps, reached, True
+            else:
+                whitened = False
+            continue
+        pace = 1.0 if distance(reached) > before else pace
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append(((ahead - goal) / scale, (pace - 1) / faster))
+        before, pace, last = distance(reached), faster, reached
+        reached, ahead, _ = np.split(totals(steps), [k, 2 * k])
+        if max(np.abs(reached - last).max(), np.abs(ahead - reached).max()) <= STILL * goal.sum():
+            return steps, reached, once is not None
     return steps, reached, True
 
 
@@ -235,8 +235,8 @@ def solve_rates(scored: DataFrame, targets, k: int, tolerance: float = 1e-3, onc
     distance of sum(r * n_tokens * p) from the targets. ``targets`` maps the domains' own totals to target totals.
 
     Every pass sends the steps so far, a few numbers each, and gets sums over domains back. Passes end when every
-    domain's total is within ``tolerance`` of its target or, where no step brings that nearer, with a warning. Also
-    returns the expected totals reached and the targets.
+    domain's total is within ``tolerance`` of its target or, where the targets cannot be reached, with a warning once the
+    totals stand still. Also returns the expected totals reached and the targets.
 
     With ``once``, the number of a domain, rates are at most 1, and 1 for the documents that this domain leads. The
     targets may be out of reach then; passes end once the totals stand still.
