@@ -350,6 +350,8 @@ def test_depleted_documents(spark):
     texts = [(n, f"{shared}\nw{n} x{n} y{n}") for n in range(30)] + [(99, unique), *[(200 + n, unique + " nu xi") for n in range(40)]]
     kept = by_id(quality.quality_rules(table(spark, texts)), "kept")
     assert not any(kept[n][0][0] for n in range(30)) and kept[99] == [(True,)] and kept[200] == [(True,)]
+    kept = by_id(quality.quality_rules(table(spark, texts + [texts[30]] * 40), count_copies=True), "kept")
+    assert not any(x for n in [*range(30), *range(200, 240)] for (x,) in kept[n]) and kept[99] == [(True,)] * 41  # one row 41 times
 
 
 def test_boilerplate_blocks(spark):

@@ -65,17 +65,18 @@ def text_statistics(text: Column) -> Column:
     )
 
 
-def frequent_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int) -> DataFrame:
+def frequent_line_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, count_copies: bool = False) -> DataFrame:
     """(rk, doc_id, common_words): words of each document that stand in lines above the limit of its host.
 
     A line is normalised (blanks stripped, lower case) and hashed. Its documents within a host are counted by their whole
-    text, so that exact copies of one document count once and all others, near copies too, count each.
+    text, so that exact copies of one document count once and all others, near copies too, count each; with
+    ``count_copies`` by their id and text, so that copies under ids of their own count each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
     normal = F.transform(F.split("text", "\n", -1), lambda line: F.lower(F.btrim(line, F.lit(BLANKS))))
     entry = F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("h"), F.size(F.split(line, _GAP)).alias("words")))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("whole"), "host", entry.alias("entries"))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), (F.xxhash64("doc_id", "text") if count_copies else F.xxhash64("text")).alias("whole"), "host", entry.alias("entries"))
     lines = base.select("doc_id", "rk", "whole", "host", F.posexplode("entries").alias("at", "e"))
     lines = saved(lines.select("doc_id", "rk", "whole", "at", "host", F.col("e.h").alias("h"), F.col("e.words").alias("words")), "host-lines")
     per = lines.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("docs"))
@@ -93,13 +94,14 @@ def quality_rules(
     min_words: int = 10,
     max_repeat_percent: int = 20,
     min_left_percent: int = 20,
+    count_copies: bool = False,
 ) -> DataFrame:
     """Judge documents; returns one row per input row: doc_id, rk (a key that also depends on the text), n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, common_words, base_failed and kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` % of words in 5-word windows that
-    repeat within the text. Others fail if lines that stand in more than ``max_docs`` distinct documents (texts) of their
-    host are removed and then fewer than ``min_words`` words or ``min_left_percent`` % of its words are left.
+    repeat within the text. Others fail if lines that stand in more than ``max_docs`` distinct documents (texts, or with
+    ``count_copies`` ids and texts) of their host are removed and then fewer than ``min_words`` words or ``min_left_percent`` % of its words are left.
 
     Null text has no words. A null host is a host of its own. Rows that repeat an id are separate documents; rows equal
     in id and text share one verdict. An empty table gives an empty result; further columns are not read.
@@ -108,7 +110,7 @@ def quality_rules(
     judged = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     judged = judged.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), text_statistics(F.col("text")).alias("s"))
     judged = judged.select("doc_id", "rk", F.col("s.words.n").alias("n_words"), F.col("s.words.chars").alias("word_chars"), "s.n_symbols", "s.n_dup_lines", F.col("s.words.repeated").alias("n_repeat_words"))
-    common = frequent_line_words(docs, id_col, text_col, host_col, max_docs)
+    common = frequent_line_words(docs, id_col, text_col, host_col, max_docs, count_copies)
     n_words, repeats = F.col("n_words"), F.col("n_repeat_words")
     base_failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
     key = (judged["rk"] == common["rk"]) & judged["doc_id"].eqNullSafe(common["doc_id"])
