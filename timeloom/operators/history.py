@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import positive
@@ -101,6 +101,14 @@ def most_recent(rows: DataFrame, n: int, order: str = "mtime", by: list[str] | N
     return rows.withColumn("recency", F.row_number().over(window)).where(F.col("recency") <= n).drop("recency")
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles whose order does not matter: up to nine decimals (below 1e15) add up as decimals, and what these
+    leave of a number as doubles. So sums of hundredths that end in a half round alike on any number of tasks."""
+    whole = F.coalesce(F.when(F.abs(value) < 1e15, value.cast("decimal(24,9)")), F.lit(0).cast("decimal(24,9)"))
+    return F.sum(whole).cast("double") + F.sum(value - whole.cast("double"))
+
+
 def folder_totals(rows: DataFrame, columns: list[str], by: str = "folder") -> DataFrame:
     """Sums over a folder; a sum of nothing above zero is null."""
-    return rows.groupBy(by).agg(*[F.nullif(F.coalesce(F.sum(positive(F.col(c))), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
+    total = lambda c: exact_sum(F.coalesce(positive(F.col(c)), F.lit(0.0)))
+    return rows.groupBy(by).agg(*[F.nullif(total(c), F.lit(0.0)).alias(c) for c in columns])
