@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timeloom.operators import jobs, quality
 from timeloom.operators.spans import span_report
+from timeloom.plans.queries import QUERIES
 from timeloom.sources import media, recognition, reports, sinks, subtitles
 from timeloom.streaming import watch
 
@@ -167,6 +168,14 @@ def test_span_report(spark):
     assert reports.vad_report(table, table, {"engine": "x"}).first().parameters == {"engine": "x"}
 
 
+def test_reports_tell_spans_apart_that_round_alike(spark, tmp_path):
+    found = [(1, "2024-01-01 00:10:00", 7, "error", 1.0), (2, "2024-01-01 00:10:01", 7, "view", 1.0), (3, "2024-01-01 01:00:00", 7, "view", 2.0)]
+    table = spark.createDataFrame(found, "event_id long, at string, user_id long, event_type string, value double")
+    table.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq: (r.start_ds, r.end_ds, r.transcribed) for r in QUERIES["vad_reports"](spark, str(tmp_path)).collect()}
+    assert got == {1: (6, 7, True), 2: (6, 7, False), 3: (36, 38, False)}
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -96,9 +96,12 @@ def chunk_grid(media: DataFrame, chunk_s: float = 1800.0, overlap_s: float = 1.0
     return grid.select("media_id", "chunk_no", first.alias("first_frame"), F.least(F.col("size"), F.col("total") - first).alias("frames"))
 
 
-def span_report(spans: DataFrame, digits: int = 3) -> DataFrame:
-    """One row per media: its spans with rounded times."""
+def span_report(spans: DataFrame, digits: int = 3, numbered: bool = False) -> DataFrame:
+    """One row per media: its spans with rounded times and, if ``numbered``, their seq, which tells spans apart that
+    rounding makes alike."""
     rounded = lambda c: F.bround(c, digits)
     entry = F.struct("seq", rounded(F.col("start_s")).alias("start"), rounded(F.col("end_s")).alias("end"), rounded(F.col("end_s") - F.col("start_s")).alias("duration"))
     listed = spans.groupBy("media_id").agg(F.array_sort(F.collect_list(entry)).alias("spans"))
+    if numbered:
+        return listed
     return listed.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["duration"].alias("duration"))))

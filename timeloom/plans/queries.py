@@ -845,11 +845,11 @@ def json_texts(spark, sf_dir):
 def vad_reports(spark, sf_dir):
     """Reports of detected spans and of those that are transcribed, taken apart again."""
     rows = event_spans(spark, sf_dir)
-    found = reports.vad_report(rows, rows.where("event_type = 'error'"), {"engine": "events"}, 1)
-    kept = F.transform(F.coalesce("transcription_spans", F.array().cast("array<struct<start: double, end: double, duration: double>>")), lambda x: F.struct(x["start"], x["end"]))
-    each = found.select("media_id", kept.alias("kept"), F.posexplode("speech_spans").alias("at", "s"))
-    tenths = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("long")
-    return each.select("media_id", (F.col("at") + 1).cast("long").alias("seq"), tenths("s.start").alias("start_ds"), tenths("s.end").alias("end_ds"), F.array_contains("kept", F.struct(F.col("s.start"), F.col("s.end"))).alias("transcribed"))
+    found = reports.vad_report(rows, rows.where("event_type = 'error'"), {"engine": "events"}, 1, numbered=True)
+    spans_of = lambda column, kept: found.select("media_id", F.inline(column)).withColumn("kept", F.lit(kept))
+    each = spans_of("speech_spans", False).unionByName(spans_of("transcription_spans", True)).groupBy("media_id", "seq")
+    tenths = lambda c: F.floor(F.max(c) * 10 + 0.5).cast("long")
+    return each.agg(tenths("start").alias("start_ds"), tenths("end").alias("end_ds"), F.max("kept").alias("transcribed"))
 
 
 @query(f"""WITH {CONVERSATION_CUES}, r AS (SELECT media_id, seq, start_s, end_s, text, greatest(start_s, end_s - 5.0::DOUBLE) AS tail, CASE seq % 3 WHEN 0 THEN substring(text, length(text) // 2 + 1) WHEN 1 THEN 'zq' END AS heard, (seq % 4)::DOUBLE AS first FROM conversation_cues),

@@ -48,11 +48,12 @@ def parse_job_options(jobs: DataFrame) -> DataFrame:
     )
 
 
-def vad_report(raw_spans: DataFrame, spans: DataFrame, parameters: dict[str, str], digits: int = 3) -> DataFrame:
-    """One row per media: parameters, detected spans and the spans that are transcribed."""
+def vad_report(raw_spans: DataFrame, spans: DataFrame, parameters: dict[str, str], digits: int = 3, numbered: bool = False) -> DataFrame:
+    """One row per media: parameters, detected spans and the spans that are transcribed, ``numbered`` with their seq."""
     from ..operators.spans import span_report
 
-    both = span_report(raw_spans, digits).withColumnRenamed("spans", "speech_spans").join(span_report(spans, digits).withColumnRenamed("spans", "transcription_spans"), "media_id", "full")
+    listed = lambda rows, name: span_report(rows, digits, numbered).withColumnRenamed("spans", name)
+    both = listed(raw_spans, "speech_spans").join(listed(spans, "transcription_spans"), "media_id", "full")
     return both.withColumn("parameters", F.create_map(*[F.lit(x) for pair in sorted(parameters.items()) for x in pair]) if parameters else F.lit(None).cast("map<string, string>"))
 
 
