@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import lines, mixing, packing, quality, queries, shingles
+from timeloom.llm import lines, mixing, packing, quality, queries, shingles, simhash
 from timeloom.llm.common import clear_scratch, replaced, saved, scratch_mark
+from timeloom.llm.components import joined
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +26,14 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates, with keys of minima in the place of operator 4's Golay keys: of documents whose sets of five-word
-    shingles have a Jaccard index of 0.8 or more, the first stays. Fingerprints two bits apart are much closer than that,
-    so they would miss most such pairs (README has figures). First is the
-    smallest id, a null id before all; repeated rows become one; texts without words are copies of one another."""
-    return shingles.one_of_each_similar(docs, shingle_words=5, percent=80)
+    """Operator 4, on five-word shingles: of documents whose fingerprints, found by their Golay keys, differ in at most
+    two bits, the first stays. Such fingerprints are much closer than a Jaccard index of 0.8 (README has figures), so sets
+    of shingles as similar as that, found by keys of minima and compared in full, link as well, and so does any chain of
+    both. First is the smallest id, a null id before all; repeated rows become one; texts without words are copies of
+    one another."""
+    near = simhash.near_duplicates(docs, shingle_words=5, max_distance=2)
+    similar = shingles.similar_classes(docs, shingle_words=5, percent=80)
+    return simhash.first_of_each(docs, joined(similar, near))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

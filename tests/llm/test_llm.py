@@ -216,6 +216,24 @@ def test_similar_documents(spark, block, monkeypatch):
     assert sorted(kept) == sorted(set(root.values())) and shingles.one_of_each_similar(empty(spark)).count() == 0
 
 
+def test_one_copy_by_fingerprints_and_by_sets(spark):
+    """Fingerprints count repeats, sets do not: what either links goes, also along a chain of both."""
+    import corpus_pipeline
+
+    verse = [f"v{n}" for n in range(5)] * 60
+    tail = lambda name, n: [f"{name}{k}" for k in range(n)]
+    plain = tail("p", 80)
+    texts = [(1, verse + tail("a", 30)), (2, verse + tail("b", 30)), (3, verse[:40] + tail("b", 30)), (4, plain), (5, plain[:-6] + tail("o", 6)), (6, tail("q", 80)), (7, []), (8, [])]
+    texts = [(n, " ".join(words)) for n, words in texts]
+    bits = {n: simhash.fingerprint_of(t.encode(), 5) & (1 << 64) - 1 for n, t in texts}
+    near = lambda a, b: (bits[a] ^ bits[b]).bit_count() <= 2
+    root = similar_roots(texts)
+    assert near(1, 2) and root[1] != root[2] and root[2] == root[3] and not near(2, 3) and not near(1, 3)
+    assert root[4] == root[5] and not near(4, 5)
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_copy(spark, table(spark, texts), "").collect()]
+    assert sorted(kept) == [1, 4, 6, 7]
+
+
 def morse_words(n, a, b):
     out = [a, b]
     for _ in range(n):

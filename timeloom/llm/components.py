@@ -36,3 +36,18 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+
+
+def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Classes that hold together what either side does: both give doc_id, rk and component (long) for the same rows.
+
+    A class of ``right`` links the classes of ``left`` that it meets, as a star; the result is one row a key."""
+    met = left.select("doc_id", "rk", "component").distinct()
+    other = right.select("doc_id", "rk", F.col("component").alias("other")).distinct()
+    both = saved(met.join(other, (met["rk"] == other["rk"]) & met["doc_id"].eqNullSafe(other["doc_id"])).select(met["doc_id"], met["rk"], "component", "other"), "classes")
+    pairs = both.select("component", "other").distinct()
+    centres = pairs.groupBy("other").agg(F.min("component").alias("a"), F.count("*").alias("n")).where("n > 1")
+    links = pairs.join(centres, "other").where("a <> component").select("a", F.col("component").alias("b"))
+    roots = components(links)
+    named = both.join(roots, both["component"] == roots["node"], "left")
+    return named.select("doc_id", "rk", F.coalesce("root", "component").alias("component"))

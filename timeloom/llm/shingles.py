@@ -24,6 +24,7 @@ from .common import keyed_texts, same_doc, saved, slices, utf8_parts
 from .components import components
 from .rolling import mixed, word_bounds, word_values
 from .simhash import _forest as forest
+from .simhash import first_of_each
 
 #: Keys of a set, and minima in each; see above for the pairs they find.
 BANDS, ROWS = 24, 5
@@ -199,10 +200,5 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each class of similar documents keeps one: that with the smallest id (null
-    first), and among rows of that id one. All columns stay."""
-    found = similar_classes(docs, id_col, text_col, shingle_words, percent)
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.*")
-    keyed = keyed_texts(docs, id_col, text_col, carry=True)
-    kept = keyed.join(first, same_doc(keyed, first), "left_semi").dropDuplicates(["doc_id", "rk"])
-    return kept.select("row.*")
+    """The rows of ``docs`` that stay when each class of similar documents keeps one."""
+    return first_of_each(docs, similar_classes(docs, id_col, text_col, shingle_words, percent), id_col, text_col)

@@ -247,11 +247,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "component", "rk")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of near-duplicates keeps one: that with the smallest id (null
+def first_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each class (doc_id, rk, component) keeps one: that with the smallest id (null
     first), and among rows of that id one. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle_words, max_distance)
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.*")
+    first = classes.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.*")
     keyed = keyed_texts(docs, id_col, text_col, carry=True)
     kept = keyed.join(first, same_doc(keyed, first), "left_semi").dropDuplicates(["doc_id", "rk"])
     return kept.select("row.*")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near-duplicates keeps one."""
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle_words, max_distance), id_col, text_col)
