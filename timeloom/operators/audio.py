@@ -67,8 +67,8 @@ def square_sums(blocks: DataFrame) -> DataFrame:
 
 def framed_levels(spans: DataFrame, blocks: DataFrame, frame_s: float, floor_rms: float = 0.0) -> DataFrame:
     """Levels of the frames of each span (media_id, seq, first, stop: samples), counted from its own first sample:
-    (media_id, seq, sample_rate, per, levels). A span meets the square sums of the blocks it touches; of a frame only its
-    sum in each block is a row, so no samples are gathered."""
+    (media_id, seq, sample_rate, per, levels). A span meets the square sums of the blocks it touches, and each block
+    gives one row with its sums of the span's frames, so neither samples nor rows of frames are moved."""
     facts = blocks.groupBy("media_id").agg(F.max("sample_rate").alias("sample_rate"), F.max(F.size("samples")).alias("size"))
     per = F.greatest(F.floor(F.col("sample_rate") * frame_s), F.lit(1)).cast("long")
     rows = spans.where("stop > first").join(facts.withColumn("per", per), "media_id")
@@ -78,19 +78,39 @@ def framed_levels(spans: DataFrame, blocks: DataFrame, frame_s: float, floor_rms
     high = F.least(F.col("stop"), F.col("first_sample") + F.size("sums") - 1)
     met = met.withColumns({"low": low, "high": high}).where("high > low")
     number = lambda at: F.floor((at - F.col("first")) / F.col("per"))
+    edge = lambda n, low, high: F.least(F.greatest(F.col("first") + n * F.col("per"), low), high)
     look_up = lambda at: F.element_at("sums", (at - F.col("first_sample") + 1).cast("int"))
+    own = lambda n: look_up(edge(n, F.col("low"), F.col("high")))
+    squares = F.transform(F.sequence(number(F.col("low")), number(F.col("high") - 1)), lambda k: own(k + 1) - own(k))
+    parts = met.select("media_id", "seq", F.col("rate").alias("sample_rate"), "per", "first", F.struct("low", "high", squares.alias("squares")).alias("part"))
+    lists = parts.groupBy("media_id", "seq", "sample_rate", "per", "first").agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
-    def of_frame(k: Column) -> Column:
-        edge = lambda n: F.least(F.greatest(F.col("first") + n * F.col("per"), F.col("low")), F.col("high"))
-        return F.struct(k.alias("frame_no"), (look_up(edge(k + 1)) - look_up(edge(k))).alias("square"), (edge(k + 1) - edge(k)).alias("n"))
+    def frames_of(part: Column) -> Column:
+        def frame(square: Column, at: Column) -> Column:
+            k = number(part["low"]) + at
+            n = edge(k + 1, part["low"], part["high"]) - edge(k, part["low"], part["high"])
+            return F.struct(k.alias("frame_no"), square.alias("square"), n.alias("n"))
 
-    frames = F.transform(F.sequence(number(F.col("low")), number(F.col("high") - 1)), of_frame)
-    parts = met.select("media_id", "seq", F.col("rate").alias("sample_rate"), "per", F.inline(frames))
-    whole = parts.groupBy("media_id", "seq", "sample_rate", "per", "frame_no").agg(F.sum("square").alias("square"), F.sum("n").alias("n"))
-    rms = F.greatest(F.sqrt(F.col("square").cast("double") / F.col("n")), F.lit(floor_rms))
-    level = F.when(rms <= 0, -100.0).otherwise(20 * F.log10(rms / 32768.0))
-    lists = whole.groupBy("media_id", "seq", "sample_rate", "per").agg(F.array_sort(F.collect_list(F.struct("frame_no", level.alias("level")))).alias("f"))
-    return lists.select("media_id", "seq", "sample_rate", "per", F.transform("f", lambda x: x["level"]).alias("levels"))
+        return F.transform(part["squares"], frame)
+
+    def level(square: Column, n: Column) -> Column:
+        return let(F.greatest(F.sqrt(square.cast("double") / n), F.lit(floor_rms)), lambda rms: F.when(rms <= 0, -100.0).otherwise(20 * F.log10(rms / 32768.0)))
+
+    def levels(frames: Column) -> Column:
+        """A frame that blocks share stands in each of them, one after the other."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(frames)), lambda at: (at == 1) | (F.get(frames, at - 1)["frame_no"] != F.get(frames, at - 2)["frame_no"]))
+
+        def summed(starts: Column) -> Column:
+            def whole(at: Column, n: Column) -> Column:
+                same = F.slice(frames, at, F.coalesce(F.get(starts, n + 1), F.size(frames) + 1) - at)
+                total = lambda name: F.aggregate(same, F.lit(0).cast("long"), lambda s, x: s + x[name])
+                return level(total("square"), total("n"))
+
+            return F.transform(starts, whole)
+
+        return let(starts, summed)
+
+    return lists.select("media_id", "seq", "sample_rate", "per", let(F.flatten(F.transform("parts", frames_of)), levels).alias("levels"))
 
 
 def _totals(blocks: DataFrame) -> DataFrame:
