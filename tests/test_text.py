@@ -1,3 +1,6 @@
+import random
+import re
+
 import math
 
 import pytest
@@ -101,3 +104,27 @@ def test_numbers(spark):
     assert value(spark, timing.positive(F.lit("x"))) is None
     assert value(spark, timing.realtime_factor(F.lit(125.0), F.lit(1000.0))) == 0.125
     assert value(spark, timing.dbfs(F.array(F.lit(0), F.lit(0)))) == -100.0
+
+
+def test_one_pass_cleans_like_three(spark):
+    """Against the rules one after the other, for all white space and marks."""
+    chance = random.Random(5)
+    parts = ["a", "日", "1", "_", "́", "。", ",", ".", "!", "…", "、", "「", "（", "」", "）", " ", " ", "\n", "　", " ", "\x85", "​", "\x1c"]
+    texts = ["".join(chance.choice(parts) for _ in range(chance.randint(0, 12))) for _ in range(3000)]
+    white = f"[{T.WHITE}]"
+
+    def clean(t):
+        t = re.sub(white + r"+([。！？、,.!?])", r"\1", t.strip(T.WHITE))
+        return re.sub(white + "+([」』）])", r"\1", re.sub("([「『（])" + white + "+", r"\1", t))
+
+    bare = {t: re.sub(white, "", clean(t)) for t in texts}
+    columns = {"c": T.clean_text(F.col("t")), "n": T.normalize_phrase(F.col("t")), "d": T.normalize_phrase(F.col("t"), "docker"), "p": T.is_punctuation_only(F.col("t")), "q": T.is_punctuation_only(F.col("t"), "docker")}
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumns(columns).collect():
+        assert (r.c, r.d, r.n) == (clean(r.t), bare[r.t], bare[r.t].rstrip("。、，．,.!?！？…"))
+        assert r.q == (bare[r.t] != "" and not set(bare[r.t]) & {"a", "日", "1"})
+        assert r.p == (bare[r.t] != "" and not set(bare[r.t]) & {"a", "日", "1", "_", "́"})
+
+
+def test_cleaning_is_one_expression(spark):
+    plan = spark.range(1).select(T.normalize_phrase(T.clean_text(F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4

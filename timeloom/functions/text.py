@@ -30,16 +30,15 @@ def strip(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Strip; no white space before closing marks and after opening brackets."""
-    text = F.regexp_replace(strip(text), r"(?U)\s+([。！？、,.!?])", "$1")
-    text = F.regexp_replace(text, r"(?U)([「『（])\s+", "$1")
-    return F.regexp_replace(text, r"(?U)\s+([」』）])", "$1")
+    """Strip; no white space before closing marks and after opening brackets. Whether a run of white space goes depends on
+    its neighbours alone, so one pass does for all."""
+    return F.regexp_replace(strip(text), r"(?U)\s+(?=[。！？、,.!?」』）])|(?<=[「『（])\s+", "")
 
 
 def normalize_phrase(text: Column, profile: str = "standalone") -> Column:
     """Clean without any white space; ``standalone`` also drops marks at the end, ``docker`` keeps them."""
-    text = F.regexp_replace(clean_text(text), r"(?U)\s+", "")
-    return F.regexp_replace(text, r"[。、，．,.!?！？…]+$", "") if profile == "standalone" else text
+    text = F.regexp_replace(text, r"(?U)\s+", "")  # cleaning takes nothing but white space
+    return F.rtrim(text, F.lit("。、，．,.!?！？…")) if profile == "standalone" else text
 
 
 def ends_alnum(text: Column) -> Column:
@@ -63,16 +62,13 @@ def ends_sentence(text: Column) -> Column:
 
 
 def is_punctuation_only(text: Column, profile: str = "standalone") -> Column:
-    if profile == "standalone":
-        bare = F.regexp_replace(text, r"(?U)\s+", "")
-        return (bare != "") & ~bare.rlike(r"(?U)[\w぀-ヿ㐀-鿿]")
-    bare = F.regexp_replace(clean_text(text), r"(?U)\s+", "")
-    return (bare != "") & ~bare.rlike(r"[\p{L}\p{N}]")
+    says = r"(?U)[\w぀-ヿ㐀-鿿]" if profile == "standalone" else r"[\p{L}\p{N}]"
+    return text.rlike(r"(?U)\S") & ~text.rlike(says)
 
 
 def looks_like_garbage_cjk(text: Column, min_share: float = 0.8) -> Column:
     """Eight ideographs at least, ``min_share`` of the text, and no kana."""
-    cjk = F.length(F.regexp_replace(text, r"[^㐀-鿿]", ""))
+    cjk = F.length(F.regexp_replace(text, r"[^㐀-鿿]+", ""))
     return (F.length(text) >= 8) & (cjk >= 8) & ~text.rlike(r"[぀-ヿ]") & (cjk / F.greatest(F.length(text), F.lit(1)) >= min_share)
 
 
