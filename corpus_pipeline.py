@@ -31,8 +31,9 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     of shingles as similar as that, found by keys of minima and compared in full, link as well, and so does any chain of
     both. First is the smallest id, a null id before all; repeated rows become one; texts without words are copies of
     one another."""
-    near = simhash.near_duplicates(docs, shingle_words=5, max_distance=2)
-    similar = shingles.similar_classes(docs, shingle_words=5, percent=80)
+    marked = shingles.described(docs, shingle_words=5, with_fp=True)
+    near = simhash.near_duplicates(docs, shingle_words=5, max_distance=2, marked=marked)
+    similar = shingles.similar_classes(docs, shingle_words=5, percent=80, marked=marked)
     return simhash.first_of_each(docs, joined(similar, near))
 
 

@@ -576,3 +576,34 @@ def test_local_search_against_all_exchanges():
                 gains = [sizes[p] for p in source] + [sizes[p] - sizes[q] for p in source for q in target]
                 gains += [sizes[p] + sizes[r] - sizes[q] for n, p in enumerate(source) for r in source[n + 1 :] for q in target]
                 assert not any(0 < g <= 100 - fill[i] for g in gains)
+
+
+def shuffled_bytes(spark):
+    jvm, sc = spark._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_texts_without_copies_do_not_travel(spark):
+    """The near-duplicate stage shuffles keys, and texts only of documents that have a partner: not all texts, twice."""
+    import corpus_pipeline
+
+    chance = random.Random(5)
+    texts = [(n, " ".join(f"{chance.getrandbits(64):x}" for _ in range(1200))) for n in range(120)]
+    texts += [(200, texts[7][1]), (201, texts[8][1] + " more"), (202, None), (203, ""), (None, texts[9][1]), (5, texts[5][1])]
+    docs, before = table(spark, texts), shuffled_bytes(spark)
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([*(n for n in range(120) if n != 9), 202, None], key=str)
+    assert shuffled_bytes(spark) - before < sum(len(t or "") for _, t in texts) / 4
+
+
+def test_bit_maps_miss_nothing(spark, monkeypatch):
+    chance = random.Random(3)
+    for size in (1 << 24, 1 << 16, 8):
+        monkeypatch.setattr(common, "BITS", size)
+        keys = [chance.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, 1, -1, 32768, 32769, (1 << 63) - 1]
+        rows = spark.createDataFrame([(k,) for k in keys], "rk long")
+        found = {r.rk: r.maybe for r in common.may_be_among(rows, rows.where("rk % 3 = 0")).collect()}
+        among = {k % size for k in keys if k % 3 == 0}
+        assert found == {k: k % size in among for k in keys}
+    assert not any(r.maybe for r in common.may_be_among(rows, rows.where("false")).collect())

@@ -116,6 +116,21 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return (left["rk"] == right["rk"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+#: Bits of the map behind ``may_be_among``, 2 MB: bounds what is broadcast, not results.
+BITS = 1 << 24
+
+
+def may_be_among(rows: DataFrame, keys: DataFrame, key: str = "rk") -> DataFrame:
+    """Rows with maybe: false where no row of ``keys`` has the row's ``key`` (a long that is a hash), so that such rows need
+    not travel to be joined; true for all others and, by chance, for some more. A map of BITS bits is broadcast."""
+    place = F.pmod(F.col(key), F.lit(BITS)) + 1  # from 1 on, as Spark numbers the bits of its bitmaps
+    bits = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bit_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bit_map"))
+    rows = rows.withColumns({"bit_bucket": F.bitmap_bucket_number(place), "bit_at": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.expr("substring(bit_map, cast(bit_at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, F.col("bit_at").cast("int") % 8) == 1, F.lit(False))
+    return rows.join(F.broadcast(bits), "bit_bucket", "left").withColumn("maybe", found).drop("bit_bucket", "bit_map", "bit_at")
+
+
 def replaced(df: DataFrame, row_type, changes: dict) -> DataFrame:
     """The columns that ``row`` carried, with those in ``changes`` given anew."""
     return df.select(*[changes[f.name].alias(f.name) if f.name in changes else F.col(f"row.`{f.name}`").alias(f.name) for f in row_type.fields])

@@ -41,8 +41,8 @@ def components(links: DataFrame) -> DataFrame:
 def joined(left: DataFrame, right: DataFrame) -> DataFrame:
     """Classes that hold together what either side does: both give doc_id, rk and component (long) for the same rows.
 
-    A class of ``right`` links the classes of ``left`` that it meets, as a star; the result is one row a key."""
-    met = left.select("doc_id", "rk", "component").distinct()
+    A class of ``right`` links the classes of ``left`` that it meets, as a star; the result is one row for each of ``left``."""
+    met = left.select("doc_id", "rk", "component")
     other = right.select("doc_id", "rk", F.col("component").alias("other")).distinct()
     both = saved(met.join(other, (met["rk"] == other["rk"]) & met["doc_id"].eqNullSafe(other["doc_id"])).select(met["doc_id"], met["rk"], "component", "other"), "classes")
     pairs = both.select("component", "other").distinct()

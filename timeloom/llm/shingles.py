@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, same_doc, saved, slices, utf8_parts
+from .common import keyed_texts, may_be_among, same_doc, saved, slices, utf8_parts
 from .components import components
 from .rolling import mixed, word_bounds, word_values
 from .simhash import _forest as forest
-from .simhash import first_of_each
+from .simhash import fingerprints_of, first_of_each
 
 #: Keys of a set, and minima in each; see above for the pairs they find.
 BANDS, ROWS = 24, 5
@@ -87,7 +87,10 @@ def set_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _described(shingle_words: int):
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, with_fp: bool = False) -> DataFrame:
+    """Saved: digest (d1, d2), size and keys of each document's (doc_id, rk) set and, if ``with_fp``, the fingerprint (fp) of
+    operator 4 on the same shingles, so that texts are read once for both."""
+
     def run(batches):
         for batch in slices(batches, SLICE):
             hashes, bounds = shingle_sets(batch.column("text"), shingle_words)
@@ -95,9 +98,11 @@ def _described(shingle_words: int):
             at = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
             halves = [pa.array(digests[:, n].copy()) for n in (0, 1)]
             columns = [batch.column("doc_id"), batch.column("rk"), *halves, pa.array(np.diff(bounds)), pa.ListArray.from_arrays(at, keys.ravel().view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "d1", "d2", "size", "keys"])
+            columns += [fingerprints_of(batch.column("text"), shingle_words)] if with_fp else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "d1", "d2", "size", "keys", "fp"][: len(columns)])
 
-    return run
+    ddl = "doc_id long, rk long, d1 long, d2 long, size long, keys array<long>" + ", fp long" * with_fp
+    return saved(keyed_texts(docs, id_col, text_col).mapInArrow(run, ddl), "described")
 
 
 def _sets(shingle_words: int):
@@ -154,20 +159,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, marked: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, rk and component, a key of the documents reachable by links.
 
     Documents link if the Jaccard index of their shingle sets is at least ``percent`` / 100; texts without words link
     among themselves. Rows that repeat an id are separate documents of one name. An empty table gives an empty result.
+    ``marked`` is what ``described`` saved of the documents, if it has been called before. Only texts that may be of a set
+    which meets another travel, told by a map of bits.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    marked = saved(texts.mapInArrow(_described(shingle_words), "doc_id long, rk long, d1 long, d2 long, size long, keys array<long>"), "described")
+    marked = described(docs, id_col, text_col, shingle_words) if marked is None else marked
     distinct = saved(marked.where("size > 0").dropDuplicates(["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()), "distinct")
     keyed = distinct.select("node", "size", F.posexplode("keys").alias("band", "key"))
     keyed = keyed.select(F.xxhash64("band", "key").alias("key"), "node", "size")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keyed = saved(keyed.join(shared, "key", "left_semi"), "keyed")
-    meeting = distinct.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "rk")
+    meeting = saved(distinct.join(keyed.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "rk"), "meeting")
+    texts = may_be_among(texts, meeting).where("maybe")
     sets = texts.join(meeting, same_doc(texts, meeting)).select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(shingle_words), "node long, shingles array<long>")
     sets = saved(sets, "sets")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, same_doc, saved, utf8_parts
+from .common import keyed_texts, may_be_among, same_doc, saved, utf8_parts
 from .components import components
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -56,16 +56,20 @@ def fingerprint_of(text: bytes, shingle_words: int) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprints_of(text: pa.Array, shingle_words: int) -> pa.Array:
+    raw, offsets = utf8_parts(text)
+    data = raw.tobytes()
+    return pa.array([fingerprint_of(data[a:b], shingle_words) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64())
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """(doc_id, rk, fp): the majority bits of the XXH64 hashes (seed 42) of all word shingles, repeats included."""
     texts = keyed_texts(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
-            raw, offsets = utf8_parts(batch.column("text"))
-            data = raw.tobytes()
-            found = [fingerprint_of(data[a:b], shingle_words) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(found, pa.int64())], names=["doc_id", "rk", "fp"])
+            found = fingerprints_of(batch.column("text"), shingle_words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), found], names=["doc_id", "rk", "fp"])
 
     return texts.mapInArrow(run, "doc_id long, rk long, fp long")
 
@@ -228,7 +232,7 @@ def links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
 # ---- the operator --------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 2, marked: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links), and
     component and rk, keys of the component and, with doc_id, of the row.
 
@@ -236,8 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with fewer words than a shingle is one shingle; a text without words (null, empty, blank) has fingerprint zero and
     links like any other. Rows that repeat an id are separate documents of one name. Null ids are never the smallest;
     a component of null ids only has a null id. An empty table gives an empty result; further columns are not read.
+    ``marked`` is a saved table of the documents' fingerprints (doc_id, rk, fp), if there is one.
     """
-    marked = saved(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    marked = saved(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints") if marked is None else marked
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, max_distance))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -248,12 +253,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each class (doc_id, rk, component) keeps one: that with the smallest id (null
-    first), and among rows of that id one. All columns stay."""
-    first = classes.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("at.*")
-    keyed = keyed_texts(docs, id_col, text_col, carry=True)
-    kept = keyed.join(first, same_doc(keyed, first), "left_semi").dropDuplicates(["doc_id", "rk"])
-    return kept.select("row.*")
+    """The rows of ``docs`` that stay when each class (doc_id, rk, component; a row for each of ``docs``) keeps one: that with
+    the smallest id (null first), and among rows of that id one. All columns stay.
+
+    Rows that stay and stand once are told by a map of bits and stay where they are; only the others travel."""
+    keys = saved(classes.groupBy("doc_id", "rk", "component").agg(F.count("*").alias("copies")), "keys")
+    first = saved(keys.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("at")).select("component", "at.*"), "first")
+    alone = keys.where("copies = 1").join(first, same_doc(keys, first), "left_semi")
+    others = keys.join(alone, same_doc(keys, alone), "left_anti")
+    keyed = may_be_among(keyed_texts(docs, id_col, text_col, carry=True), saved(others.select("rk"), "others"))
+    judged = keyed.where("maybe")
+    kept = judged.join(first, same_doc(judged, first), "left_semi").dropDuplicates(["doc_id", "rk"])
+    return keyed.where("not maybe").select("row.*").unionByName(kept.select("row.*"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_distance: int = 2) -> DataFrame:
