@@ -607,3 +607,19 @@ def test_bit_maps_miss_nothing(spark, monkeypatch):
         among = {k % size for k in keys if k % 3 == 0}
         assert found == {k: k % size in among for k in keys}
     assert not any(r.maybe for r in common.may_be_among(rows, rows.where("false")).collect())
+
+
+def test_words_that_come_once_are_not_remembered(monkeypatch):
+    """Rare words do not push out frequent ones, and ids are the tokeniser's own whatever is remembered or forgotten."""
+    from tokenizers import Tokenizer
+
+    own, chance = Tokenizer.from_file(tokens.default_vocabulary()), random.Random(4)
+    rare = lambda: "".join(chance.choices("abcdefghijklmnopqrstuvwxyzé", k=12))
+    many = [[f"The {rare()}, said {rare().title()}. The-end 3x {rare()}*** THE the, (said)" for _ in range(20)] for _ in range(12)]
+    for room, marks in ((1 << 20, 1 << 22), (2000, 1 << 22), (1 << 20, 8)):
+        monkeypatch.setattr(tokens, "ROOM", room)
+        monkeypatch.setattr(tokens, "SEEN", marks)
+        coder = tokens.WordIds(tokens.default_vocabulary())
+        for texts in many:
+            assert coder.texts(texts) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert marks == 8 or room == 2000 or ({"The", "said", "the,", "THE", "3x"} <= coder.memory.keys() and len(coder.memory) < 40)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -19,11 +18,13 @@ from .common import slices, utf8_parts
 
 #: Bytes of remembered words in a worker, and what an entry takes besides its word and ids; bound memory, not results.
 ROOM, ENTRY = 128 << 20, 250
+#: Marks for words seen before; they start anew once a quarter is set. A power of two; changes no result.
+SEEN = 1 << 22
 #: Bytes of texts in one unit of work.
 SLICE = 1 << 19
 #: White space that Python and the tokeniser see alike, and what needs the tokeniser itself on the whole text:
 #: separators that only Python counts as space, and the marks of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Marks that may follow a word and are one unit of their own; the apostrophe is not among them.
 _MARKS = ".,;:!?*$%&#|()-"
 
@@ -39,7 +40,8 @@ def default_vocabulary() -> str:
 
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes. The tokeniser parts words at white space and looks at nothing
-    beyond a word, so each distinct word is encoded once and remembered; a worker's tasks share what it remembers."""
+    beyond a word, so each distinct word of some texts is encoded once, and remembered from the second texts on that hold
+    it: most distinct words never come back. A worker's tasks share what it remembers."""
 
     _shared: dict[str, "WordIds"] = {}
 
@@ -53,6 +55,7 @@ class WordIds:
         self.closes[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
         self.held = 0
+        self.seen, self.marked = bytearray(SEEN), 0
 
     @classmethod
     def shared(cls, path: str) -> WordIds:
@@ -68,7 +71,7 @@ class WordIds:
         out = {}
         for at in range(0, len(units), 1024):
             part = units[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokeniser parts words in a way of its own")
@@ -78,51 +81,58 @@ class WordIds:
                 begin = end
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words, remembered. Where there is no room all is forgotten first: frequent words come back soon."""
-        memory, split, units, odd = self.memory, [], set(), []
+    def learn(self, words: set[str]) -> list[str]:
+        """Put the ids of new words, and of the units they are made of, into memory; returns what was put."""
+        memory, cased, marked, units, odd = self.memory, [], [], set(), []
         for word in words:
             core = word.rstrip(_MARKS)
-            if core.isalpha() and max(core) < "\u0130":
-                low, marks = core.lower(), word[len(core) :]
-                split.append((word, low, marks))
-                units.update(x for x in (low, marks) if x and x not in memory)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                low = core.lower()
+                if low not in memory:
+                    units.add(low)
+                if len(core) < len(word):
+                    marks = word[len(core) :]
+                    if marks not in memory:
+                        units.add(marks)
+                    marked.append((word, low, marks))
+                elif low != word:
+                    cased.append((word, low))
             else:
                 odd.append(word)
         known = self.plain(list(units))
-        for word, low, marks in split:
-            first = known.get(low) or memory[low]
-            known[word] = first + (known.get(marks) or memory[marks]) if marks else first
+        memory.update(known)
+        learnt = [*known, *[word for word, _ in cased], *[word for word, _, _ in marked], *odd]
+        for word, low in cased:
+            memory[word] = memory[low]
+        for word, low, marks in marked:
+            memory[word] = memory[low] + memory[marks]
         for word, encoding in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
-            known[word] = np.array(encoding.ids, "<u4").tobytes()
-        size = sum(ENTRY + len(word) + len(ids) for word, ids in known.items())
-        if self.held + size > ROOM:
+            memory[word] = np.array(encoding.ids, "<u4").tobytes()
+        return learnt
+
+    def settle(self, learnt: list[str]) -> None:
+        """Forget of the new words those not seen before, and all once there is no room: frequent ones come back soon."""
+        memory, seen = self.memory, self.seen
+        for word in learnt:
+            at = hash(word) & SEEN - 1
+            if seen[at]:
+                self.held += ENTRY + len(word) + len(memory[word])
+            else:
+                seen[at] = 1
+                self.marked += 1
+                del memory[word]
+        if self.marked > SEEN // 4:
+            self.seen, self.marked = bytearray(SEEN), 0
+        if self.held > ROOM:
             self.memory, self.held = {}, 0
-        if size <= ROOM:
-            self.memory.update(known)
-            self.held += size
-        return known
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        later: list[tuple[int, list[str], list]] = []
-        new: set[str] = set()
-        get = self.memory.get
-        for text in texts:
-            if _WHOLE.search(text):
-                out.append(self.encoded(text))
-                continue
-            words = text.split()
-            ids = list(map(get, words))
-            if None in ids:
-                new.update(w for w, known in zip(words, ids) if known is None)
-                later.append((len(out), words, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        learnt = self.learn(new)
-        for at, words, ids in later:
-            out[at] = b"".join([known if known is not None else learnt[w] for w, known in zip(words, ids)])
+        words = [None if any(mark in text for mark in _WHOLE) else text.split() for text in texts]
+        new = set().union(*[own for own in words if own is not None])
+        learnt = self.learn(new.difference(self.memory))
+        find = self.memory.__getitem__
+        out = [self.encoded(text) if own is None else b"".join(map(find, own)) for text, own in zip(texts, words)]
+        self.settle(learnt)
         return out
 
 
