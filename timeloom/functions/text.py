@@ -16,7 +16,6 @@ BLOCKED_PHRASES = ("ごめん", "ありがとうございました", "ありが
 
 #: The characters that Unicode counts as white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
 _CUT = "\x01"
 
 
@@ -32,7 +31,7 @@ def strip(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Strip; no white space before closing marks and after opening brackets. Whether a run of white space goes depends on
     its neighbours alone, so one pass does for all."""
-    return F.regexp_replace(strip(text), r"(?U)\s+(?=[。！？、,.!?」』）])|(?<=[「『（])\s+", "")
+    return F.regexp_replace(strip(text), r"(?U)(?=\s)(?:\s++(?=[。！？、,.!?」』）])|(?<=[「『（])\s++)", "")
 
 
 def normalize_phrase(text: Column, profile: str = "standalone") -> Column:
@@ -42,7 +41,7 @@ def normalize_phrase(text: Column, profile: str = "standalone") -> Column:
 
 
 def ends_alnum(text: Column) -> Column:
-    return text.rlike(r"[A-Za-z0-9]\z")
+    return F.substring(text, -1, 1).rlike("[A-Za-z0-9]")  # a search of the whole text tries every character
 
 
 def starts_alnum(text: Column) -> Column:
@@ -58,7 +57,7 @@ def join_text(left: Column, right: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return text.rlike(r"(?U)[。！？.!?]\s*\z")
+    return F.substring(F.rtrim(text, F.lit(WHITE)), -1, 1).isin(*SENTENCE_END)
 
 
 def is_punctuation_only(text: Column, profile: str = "standalone") -> Column:

@@ -22,16 +22,17 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
     before dropped, times above zero, every cue longer than nothing and none starting before the one before ends."""
     start = F.greatest(F.lit(0.0), F.coalesce("start_s", F.lit(0.0)))
     end = F.greatest(F.lit(0.0), F.coalesce("end_s", "start_s", F.lit(0.0)))
-    rows = chunks.select("media_id", "seq", start.alias("start_s"), end.alias("end_s"), T.clean_text(F.col("text")).alias("text")).where("text <> ''")
+    said = chunks.where(T.strip(F.col("text")) != "")  # cleaning leaves nothing of these alone, and is not done twice
+    rows = said.select("media_id", "seq", start.alias("start_s"), end.alias("end_s"), T.clean_text(F.col("text")).alias("text"))
     rows = rows.withColumn("end_s", F.when(F.col("end_s") <= F.col("start_s"), F.col("start_s") + SLIVER).otherwise(F.col("end_s")))
     return pushed_on(rows, SLIVER).select("media_id", "seq", *FIELDS)
 
 
-def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float = 6.0, max_chars: int = 42) -> DataFrame:
+def group_cues(cues: DataFrame, max_gap_s: float = 0.5, max_duration_s: float = 6.0, max_chars: int = 42, cleaned: bool = False) -> DataFrame:
     """Merge cues into longer ones until a pause, the end of a sentence, or a limit on duration or length. Texts are
-    cleaned first, so what joining adds is known from neighbours alone; times must not be null."""
+    cleaned first, unless they are ``cleaned``, so what joining adds is known from neighbours alone; times must not be null."""
     text = F.col("text")
-    rows = cues.select("media_id", "seq", "start_s", "end_s", T.clean_text(text).alias("text"))
+    rows = cues.select("media_id", "seq", "start_s", "end_s", (text if cleaned else T.clean_text(text)).alias("text"))
     rule = Greedy(max_gap_s, max_duration_s, [max_chars])
     numbered = greedy_groups(rows, rule, F.col("start_s"), F.col("end_s"), T.ends_sentence(text), T.starts_alnum(text), T.ends_alnum(text), [F.length("text")])
     parts = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("spaced"), F.concat(F.lit(" "), text)).otherwise(text).alias("text"))))

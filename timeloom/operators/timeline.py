@@ -133,7 +133,7 @@ def scanned(rows: DataFrame, rule, adds: list[StructField], drop: list[str] = ()
         for batch, new in rule.run(batches):
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + new, names=[f.name for f in kept] + [f.name for f in adds])
 
-    described = blocks.select(*KEY, "at", *rule.columns).mapInArrow(profiles, told)
+    described = blocks.mapInArrow(profiles, told)  # all columns: with fewer, the exchange and all before it would be made twice
     several = described.withColumn("blocks", F.count("*").over(Window.partitionBy("media_id"))).where("blocks > 1").drop("blocks")
     entries = several.groupBy("media_id").applyInArrow(chained, states).select(*KEY, F.struct("numbers", "word").alias("entry"))
     entered = blocks.join(entries, KEY, "left").sortWithinPartitions(*KEY, "seq")

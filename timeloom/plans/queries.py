@@ -109,7 +109,7 @@ count(*) FILTER (WHERE action = 'split_candidate') AS split_candidate_count, 0::
 @query(f"""WITH RECURSIVE {CONVERSATION_CUES}, {_repaired('conversation_cues')}, {_grouped(0.5, 20.0, 400)}, {_FLAGS.replace('FROM line_cues', 'FROM grouped')} {_COUNTERS}""")
 def timeline_health(spark, sf_dir):
     """Which timelines hold suspicious cues, and why: repair, group, flag, count."""
-    grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), max_gap_s=0.5, max_duration_s=20.0, max_chars=400)
+    grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), max_gap_s=0.5, max_duration_s=20.0, max_chars=400, cleaned=True)
     return quality.stage_counters(quality.quality_issues(grouped))
 
 
@@ -117,7 +117,7 @@ def timeline_health(spark, sf_dir):
 SELECT media_id, seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM grouped""")
 def line_grouping(spark, sf_dir):
     """Lines of all documents repaired and grouped into cues."""
-    return timed(cues.group_cues(cues.repair_chunks(line_cues(spark, sf_dir)), 0.5, 12.0, 120), "text")
+    return timed(cues.group_cues(cues.repair_chunks(line_cues(spark, sf_dir)), 0.5, 12.0, 120, cleaned=True), "text")
 
 
 @query(f"""WITH {LINE_CUES}, shown AS (SELECT * FROM line_cues WHERE trim(text, ' ' || chr(9) || chr(13)) <> ''),
@@ -141,7 +141,7 @@ done AS (SELECT k.media_id, k.seq, coalesce(p.part, 0) AS part, CASE WHEN p.part
 SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq, part) AS seq, {_ms('start_s')} AS start_ms, {_ms('end_s')} AS end_ms, text FROM done""")
 def standalone_chain(spark, sf_dir):
     """Repair, group, drop, flag, split, flag again: what is left of each timeline."""
-    grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), 0.5, 30.0, 400)
+    grouped = cues.group_cues(cues.repair_chunks(conversation_cues(spark, sf_dir)), 0.5, 30.0, 400, cleaned=True)
     kept, _ = quality.split_hallucinations(grouped)
     split, _ = cues.split_long_cues(kept, quality.quality_issues(kept))
     return timed(split, "text")
@@ -172,7 +172,7 @@ def docker_chain(spark, sf_dir):
     rows = event_spans(spark, sf_dir)
     said = rows.where("event_type <> 'error'").withColumn("text", F.concat_ws(" ", "event_type", F.bround("value").cast("string"), F.lit("said.")))
     cut = cues.split_cues_on_silence(cues.repair_chunks(said), rows.where("event_type = 'error'"), 0.8)
-    tight = cues.shift_cues(cues.tighten_cues(cues.group_cues(cut)), 0.5)
+    tight = cues.shift_cues(cues.tighten_cues(cues.group_cues(cut, cleaned=True)), 0.5)
     filtered = cues.drop_punctuation_only(cues.drop_phrases(cues.drop_short_phrases(tight, ["click 1.0 said."], 2.0), ["view 2.0 said."]))
     return timed(cues.clamp_cues(filtered, span_media(rows)), "text")
 
