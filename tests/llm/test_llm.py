@@ -623,3 +623,15 @@ def test_words_that_come_once_are_not_remembered(monkeypatch):
         for texts in many:
             assert coder.texts(texts) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert marks == 8 or room == 2000 or ({"The", "said", "the,", "THE", "3x"} <= coder.memory.keys() and len(coder.memory) < 40)
+
+
+def test_stars_need_no_step(spark, monkeypatch):
+    """Links that are stars already, each below its smallest node, are the components: nothing is joined again."""
+    steps = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: steps.append(large) or star(edges, large))
+    link = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = lambda pairs: sorted(map(tuple, components.components(link(pairs)).collect()))
+    assert roots([(1, 4), (5, 1), (1, 5), (2, 2), (7, 8)]) == [(4, 1), (5, 1), (8, 7)] and roots([]) == [] and not steps
+    assert roots([(4, 1), (4, 2)]) == [(2, 1), (4, 1)] and len(steps) == 2
+    assert roots([(n, n + 1) for n in range(40)]) == [(n, 0) for n in range(1, 41)]

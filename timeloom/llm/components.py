@@ -21,6 +21,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: every node has one link at most, to a node that has none."""
+    ends = edges.select("u", F.lit(1).alias("up")).unionAll(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+    return ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b) but the roots; the root is the smallest node reachable.
 
@@ -28,14 +34,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = saved(edges, "edges")
-    state = None
-    while True:
+    while not settled(edges):
         before, edges = edges, saved(_star(_star(edges, large=True), large=False), "edges")
         forget(before)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def joined(left: DataFrame, right: DataFrame) -> DataFrame:
